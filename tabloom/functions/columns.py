@@ -42,6 +42,12 @@ def is_infinite(column: Column) -> Column:
     return F.abs(column) == F.lit(float("inf"))
 
 
+def is_missing(df: DataFrame, name: str) -> Column:
+    """NULL, or NaN in a floating column."""
+    value = quoted(name)
+    return value.isNull() | F.isnan(value) if is_floating(field_type(df, name)) else value.isNull()
+
+
 def missing_to_null(df: DataFrame) -> DataFrame:
     """NaN becomes NULL and -0.0 becomes 0.0, so missing and equal each have one form.
 

@@ -15,8 +15,10 @@ from tabloom.functions.columns import (
     field_type,
     is_floating,
     is_infinite,
+    is_missing,
     is_number,
     is_numeric,
+    missing_to_null,
     number_of,
     quoted,
 )
@@ -35,9 +37,9 @@ def validate_columns(df: DataFrame, required: Sequence[str]) -> None:
 def unmapped_labels(df: DataFrame, target: str, mapping: Mapping[Any, int]) -> DataFrame:
     """Labels present in the table but not in the mapping, with their row counts."""
     known = _usable_keys(field_type(df, target), mapping)
-    value = quoted(target)
+    value = number_of(df, target)
     outside = value.isNotNull() & ~value.isin(*known) if known else value.isNotNull()
-    return df.filter(outside).groupBy(value.alias("label")).agg(F.count(F.lit(1)).alias("rows"))
+    return df.filter(outside).groupBy(quoted(target).alias("label")).agg(F.count(F.lit(1)).alias("rows"))
 
 
 def encode_target(df: DataFrame, target: str, mapping: Mapping[Any, int]) -> DataFrame:
@@ -55,14 +57,12 @@ def encode_target(df: DataFrame, target: str, mapping: Mapping[Any, int]) -> Dat
 
 
 def _lookup(df: DataFrame, target: str, mapping: Mapping[Any, int]) -> Column:
-    dtype = field_type(df, target)
-    usable = _usable_keys(dtype, mapping)
+    value = number_of(df, target)
+    usable = _usable_keys(field_type(df, target), mapping)
     if not usable:
         return F.lit(None).cast("bigint")
-    pairs = chain.from_iterable(
-        (F.lit(key).cast(dtype), F.lit(mapping[key]).cast("bigint")) for key in usable
-    )
-    return F.create_map(*pairs)[quoted(target)]
+    codes = chain.from_iterable((F.lit(key), F.lit(mapping[key])) for key in usable)
+    return F.create_map(*codes)[value].cast("bigint")
 
 
 def _usable_keys(dtype: T.DataType, mapping: Mapping[Any, int]) -> list[Any]:
@@ -78,7 +78,7 @@ def _usable_keys(dtype: T.DataType, mapping: Mapping[Any, int]) -> list[Any]:
 
 
 def drop_missing_target(df: DataFrame, target: str) -> DataFrame:
-    return df.filter(quoted(target).isNotNull())
+    return df.filter(~is_missing(df, target))
 
 
 def valid_values(df: DataFrame, ranges: Mapping[str, ValueRange]) -> Column:
@@ -87,7 +87,7 @@ def valid_values(df: DataFrame, ranges: Mapping[str, ValueRange]) -> Column:
     Missing values pass; bounds on absent or non-numeric columns are ignored.
     """
     conditions = [
-        quoted(f.name).isNull() | ~is_infinite(quoted(f.name))
+        is_missing(df, f.name) | ~is_infinite(quoted(f.name))
         for f in df.schema.fields
         if is_floating(f.dataType)
     ]
@@ -96,9 +96,9 @@ def valid_values(df: DataFrame, ranges: Mapping[str, ValueRange]) -> Column:
             continue
         value = number_of(df, name)
         if bounds.minimum is not None:
-            conditions.append(value.isNull() | (value >= F.lit(bounds.minimum)))
+            conditions.append(is_missing(df, name) | (value >= F.lit(bounds.minimum)))
         if bounds.maximum is not None:
-            conditions.append(value.isNull() | (value <= F.lit(bounds.maximum)))
+            conditions.append(is_missing(df, name) | (value <= F.lit(bounds.maximum)))
     return all_of(conditions)
 
 
@@ -130,5 +130,5 @@ def clean_dataset(
     """
     modelling = [*features, target]
     validate_columns(df, modelling)
-    narrowed = df.distinct().select(*map(quoted, modelling))
+    narrowed = missing_to_null(df).distinct().select(*map(quoted, modelling))
     return usable_rows(narrowed, modelling, target, ranges or {})

@@ -329,6 +329,8 @@ def _connect(estimator: Estimator) -> Estimator:
     for name, column in columns.items():
         if estimator.hasParam(name):
             estimator.set(estimator.getParam(name), column)
+    if estimator.hasParam("classifier"):
+        _connect(estimator.getOrDefault("classifier"))
     return estimator
 
 

@@ -291,10 +291,10 @@ def _count_prefixes(
         part = part.withColumn("place", F.substring("prefix", 1, length)).join(
             F.broadcast(places), ["name", "place"], "left_semi"
         )
-    counted = part.groupBy("name", "prefix").agg(F.count(F.lit(1)).alias("rows")).collect()
+    counted = part.groupBy("name", "prefix").agg(F.count(F.lit(1)).alias("rows"))
     cells: dict[tuple[Any, str], list[tuple[str, int, int]]] = defaultdict(list)
     seen: dict[tuple[Any, str], int] = defaultdict(int)
-    for row in sorted(counted, key=lambda row: row["prefix"]):
+    for row in sorted(counted.toArrow().to_pylist(), key=lambda row: row["prefix"]):
         place = (row["name"], row["prefix"][:length])
         cells[place].append((row["prefix"], seen[place], row["rows"]))
         seen[place] += row["rows"]

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.functions.columns import quoted, row_key
+from tabloom.functions.columns import missing_to_null, quoted, row_key
 from tabloom.operators.clean import encode_target, usable_rows, validate_columns
 from tabloom.operators.quality import COPIES, PROCESSED, RAW, Report, count_copies, validate_dataset
 from tabloom.operators.split import ROW_KEY
@@ -38,10 +38,15 @@ class Staged:
 
 
 def stage(raw: DataFrame, spec: TableSpec, area: WorkArea) -> Staged:
-    """Encode labels and shuffle the wide table once, for raw checks and cleaning alike."""
+    """Encode labels and shuffle the wide table once, for raw checks and cleaning alike.
+
+    Columns that place or identify rows must exist; absent modelling columns are left for
+    the schema check to report.
+    """
+    validate_columns(raw, [*spec.id_cols, *spec.order_by])
     if spec.target in raw.columns:
         raw = encode_target(raw, spec.target, spec.target_mapping)
-    counted = count_copies(raw)
+    counted = count_copies(missing_to_null(raw))
     keyed = counted.withColumn(ROW_KEY, row_key(counted.drop(COPIES), spec.id_cols))
     kept = [
         name
