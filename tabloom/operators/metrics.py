@@ -128,27 +128,23 @@ def classification_metrics(
     if score is not None:
         hits = (quoted(actual) == F.lit(found["positive"]).cast(dtype)).cast("int")
         ranked = df.select(quoted(score).cast("double").alias("score"), hits.alias("actual"))
-        metrics |= ranking_metrics(ranked)
+        metrics |= ranking_frame(ranked, rows=found["rows"]).first().asDict()
     return metrics
 
 
-def ranking_metrics(df: DataFrame, score: str = "score", actual: str = "actual") -> dict[str, Any]:
-    """ROC area (ties count half) and average precision of 0/1 `actual` ranked by `score`."""
-    row = ranking_frame(df, score, actual).first()
-    return {"roc_auc": row["roc_auc"], "average_precision": row["average_precision"]}
-
-
 def ranking_frame(
     df: DataFrame,
     score: str = "score",
     actual: str = "actual",
     scores_per_task: int = SCORES_PER_TASK,
+    rows: int | None = None,
 ) -> DataFrame:
-    """One row with `roc_auc` and `average_precision`.
+    """One row with the ROC area (ties count half) and average precision of 0/1 `actual`.
 
     Rows are first combined per distinct score. The scores are then cut into intervals,
     each summed by its own task; interval totals, of which there are few, carry the sums
-    from one interval to the next. NULL where a class is absent.
+    from one interval to the next. NULL where a class is absent. `rows`, if known, saves
+    counting the scores of a small table.
     """
     narrow = df.select(
         quoted(score).cast("double").alias("score"), quoted(actual).cast("bigint").alias("actual")
@@ -156,7 +152,8 @@ def ranking_frame(
     counts = narrow.groupBy("score").agg(
         F.sum("actual").alias("p"), F.sum(1 - F.col("actual")).alias("n")
     )
-    splits = _score_splits(narrow, scores_per_task)
+    small = rows is not None and rows <= scores_per_task
+    splits = [] if small else _score_splits(narrow, scores_per_task)
     if splits:
         bucketizer = Bucketizer(splits=splits, inputCol="score", outputCol="interval")
         counts = bucketizer.transform(counts)

@@ -14,6 +14,7 @@ from typing import Any
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, PipelineModel
+from pyspark.ml.classification import OneVsRestModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -346,4 +347,9 @@ def save_pipeline(pipeline: PipelineModel, path: str) -> None:
 def load_pipeline(spark: SparkSession, path: str) -> PipelineModel:
     if not path_exists(spark, path):
         raise FileNotFoundError(f"no trained pipeline at {path}; run training first")
-    return PipelineModel.load(path)
+    pipeline = PipelineModel.load(path)
+    for model in pipeline.stages:
+        # The one column name this model does not keep when saved.
+        if isinstance(model, OneVsRestModel):
+            model.setRawPredictionCol(RAW)
+    return pipeline
