@@ -292,6 +292,7 @@ def folds_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _dirty_halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     dirty = _view(spark, sf_dir, "orders_dirty").distinct()
     usable = clean.usable_rows(dirty, DIRTY.modelling_columns, "label", DIRTY.value_ranges)
+    usable = WorkArea(spark, "usable").table(usable, "usable")
     return usable.filter("o_orderdate < timestamp_ntz'1997-01-01'"), usable
 
 
@@ -352,10 +353,13 @@ def group_rate_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
 def group_rate_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Held-out rows encoded from training rows, unseen groups imputed."""
     baskets = _view(spark, sf_dir, "baskets")
+    area = WorkArea(spark, "halves")
+    baskets = area.table(baskets, "baskets")
     halves = split.hold_out_latest(baskets, 0.2, ["o_orderdate"], ["o_orderkey"])
     train, test = halves.filter("NOT is_test"), halves.filter("is_test")
     rates = group_rate.fit_rates(train, "basket", "label")
     seen = group_rate.encode_leave_one_out(train, rates, "label", "rate", "known")
+    seen = area.table(seen, "seen")
     counts = seen.agg(F.count("rate").alias("rate")).first().asDict()
     fill = features.exact_medians(seen, ["rate"], counts, counts)["rate"]
     encoded = group_rate.encode_rates(test, rates, "rate", "known")

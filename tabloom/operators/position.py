@@ -9,10 +9,11 @@ Pivots come from a sample, but they steer the search only; they never change the
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import datetime, timedelta
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -27,6 +28,8 @@ SAMPLE_ROWS = 4000
 DIRECT_ROWS = 4096
 # Histogram cells one pass over the hash order may return to the driver.
 HASH_CELLS = 65536
+# So many places are looked for by a condition, more by a join.
+FEW_PLACES = 64
 
 HASH = "__hash"
 
@@ -69,13 +72,35 @@ class _Span:
     ranks: tuple[int, ...]
 
 
-def literal(value: Any, dtype: T.DataType) -> Column:
-    """A driver value as a literal of the column's type, so comparisons can be pushed down."""
+def sql_literal(value: Any, dtype: T.DataType) -> str:
+    """A driver value as a SQL literal of the column's type.
+
+    Literals, unlike casts of text, cost nothing to plan and reach the file scan.
+    """
+    if isinstance(dtype, T.BooleanType):
+        return "TRUE" if value else "FALSE"
+    if isinstance(dtype, T.IntegralType):
+        return f"{value}L"
+    if isinstance(dtype, T.DecimalType):
+        return f"{value:f}BD"
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        name, suffix = ("FLOAT", "F") if isinstance(dtype, T.FloatType) else ("DOUBLE", "D")
+        return f"{value!r}{suffix}" if math.isfinite(value) else f"{name}('{value}')"
+    if isinstance(dtype, T.DateType):
+        return f"DATE'{value.isoformat()}'"
+    if isinstance(dtype, T.TimestampNTZType):
+        return f"TIMESTAMP_NTZ'{value.isoformat(sep=' ')}'"
     if isinstance(dtype, T.TimestampType):
-        return F.timestamp_micros(F.lit(value))
-    if isinstance(value, datetime):
-        return F.lit(value.isoformat(sep=" ")).cast(dtype)
-    return F.lit(value).cast(dtype)
+        moment = datetime(1970, 1, 1) + timedelta(microseconds=value)
+        return f"TIMESTAMP'{moment.isoformat(sep=' ')}Z'"
+    if isinstance(dtype, T.StringType):
+        plain = value.isprintable() and not set(value) & set("'\\")
+        return f"'{value}'" if plain else f"CAST(X'{value.encode().hex()}' AS STRING)"
+    raise TypeError(f"cannot order rows by a column of type {dtype.simpleString()}")
+
+
+def literal(value: Any, dtype: T.DataType) -> Column:
+    return F.expr(sql_literal(value, dtype))
 
 
 def _to_driver(column: Column, dtype: T.DataType) -> Column:
@@ -126,16 +151,55 @@ def cuts_at_ranks(
             cuts[rank] = Cut((spot.value,))
         else:
             inside_ties[spot.value].append(rank)
+    if inside_ties and not rest:
+        raise ValueError(f"rows share all sort keys {list(keys)}; add a column that differs")
+    few = direct_rows // max(1, len(inside_ties))
+    listed = {v: tied for v, tied in inside_ties.items() if spots[tied[0]].equal <= few}
+    cuts |= _cuts_in_short_ties(df, keys, listed, spots)
     for value, tied in inside_ties.items():
-        if not rest:
-            raise ValueError(f"rows share all sort keys {list(keys)}; add a column that differs")
-        spot = spots[tied[0]]
-        ties = df.filter(quoted(key) == literal(value, field_type(df, key)))
-        inner = cuts_at_ranks(
-            ties, rest, [rank - spot.before for rank in tied], spot.equal, direct_rows
-        )
-        for rank in tied:
-            cuts[rank] = Cut((value, *inner[rank - spot.before].values))
+        if value not in listed:
+            spot = spots[tied[0]]
+            ties = df.filter(quoted(key) == literal(value, field_type(df, key)))
+            local = [rank - spot.before for rank in tied]
+            inner = cuts_at_ranks(ties, rest, local, spot.equal, direct_rows)
+            for rank in tied:
+                cuts[rank] = Cut((value, *inner[rank - spot.before].values))
+    return cuts
+
+
+def _cuts_in_short_ties(
+    df: DataFrame,
+    keys: Sequence[str],
+    tied: Mapping[Any, Sequence[int]],
+    spots: Mapping[int, Spot],
+) -> dict[int, Cut]:
+    """Cuts within values shared by few rows, all from one job."""
+    if not tied:
+        return {}
+    types = [field_type(df, name) for name in keys]
+    sort_keys = [
+        _to_driver(quoted(name), dtype).alias(f"k{index}")
+        for index, (name, dtype) in enumerate(zip(keys, types, strict=True))
+    ]
+    names = [f"k{index}" for index in range(len(keys))]
+    rows = df.filter(quoted(keys[0]).isin([literal(value, types[0]) for value in tied]))
+    counted = rows.select(*sort_keys).groupBy(*names).agg(F.count(F.lit(1)).alias("rows"))
+    ordered: dict[Any, list[tuple[tuple[Any, ...], int]]] = defaultdict(list)
+    for row in sorted(tuple(row) for row in counted.collect()):
+        ordered[row[0]].append((row[:-1], row[-1]))
+    cuts = {}
+    for value, ranks in tied.items():
+        seen = spots[ranks[0]].before
+        ends = {}
+        for values, count in ordered[value]:
+            seen += count
+            ends[seen] = values
+        for rank in ranks:
+            if rank not in ends:
+                raise ValueError(
+                    f"rows share all sort keys {list(keys)}; add a column that differs"
+                )
+            cuts[rank] = Cut(ends[rank])
     return cuts
 
 
@@ -191,7 +255,9 @@ def _choose_pivots(
     fraction = min(1.0, SAMPLE_ROWS / total)
     drawn = part.sample(fraction, seed=attempt).select(_to_driver(F.col("value"), dtype))
     sample = sorted(row[0] for row in drawn.collect())
-    wanted = min(MAX_PIVOTS, max(15, 8 * total // max(direct_rows, 1)))
+    # Enough that the cells around the wanted ranks hold few rows in the end.
+    ranks = sum(len(span.ranks) for span in spans)
+    wanted = min(MAX_PIVOTS, max(15, 2 * ranks * total // max(direct_rows, 1)))
     step = max(1, len(sample) // wanted)
     bounds = {bound for span in spans for bound in (span.low, span.high) if bound is not None}
     return sorted(set(sample[step // 2 :: step]) | bounds)
@@ -199,20 +265,20 @@ def _choose_pivots(
 
 def _count_between(part: DataFrame, pivots: Sequence[Any], dtype: T.DataType) -> dict[int, int]:
     """Rows per cell: cell 2i lies before pivot i, cell 2i+1 equals it."""
-    value = F.col("value")
 
-    def search(low: int, high: int) -> Column:
+    def search(low: int, high: int) -> str:
         if low == high:
-            return F.lit(2 * low)
+            return str(2 * low)
         middle = (low + high) // 2
-        pivot = literal(pivots[middle], dtype)
+        pivot = sql_literal(pivots[middle], dtype)
         return (
-            F.when(value < pivot, search(low, middle))
-            .when(value == pivot, F.lit(2 * middle + 1))
-            .otherwise(search(middle + 1, high))
+            f"CASE WHEN value < {pivot} THEN {search(low, middle)} "
+            f"WHEN value = {pivot} THEN {2 * middle + 1} "
+            f"ELSE {search(middle + 1, high)} END"
         )
 
-    cells = part.groupBy(search(0, len(pivots)).alias("cell")).agg(F.count(F.lit(1)).alias("rows"))
+    cell = F.expr(search(0, len(pivots))).alias("cell")
+    cells = part.groupBy(cell).agg(F.count(F.lit(1)).alias("rows"))
     return {row["cell"]: row["rows"] for row in cells.collect()}
 
 
@@ -247,6 +313,7 @@ def hash_cuts(
     """
     thresholds: dict[tuple[Any, int], str] = {}
     active: dict[tuple[Any, str], list[tuple[int, int]]] = defaultdict(list)
+    rows = sum(sizes.values())
     for name, wanted in ranks.items():
         for rank in set(wanted):
             if rank <= 0:
@@ -259,10 +326,12 @@ def hash_cuts(
     while active:
         if length == 32:
             raise ValueError("rows share a row key; id columns must identify each row")
-        digits = next((d for d in (4, 3, 2) if len(active) * 16**d <= HASH_CELLS), 1)
+        room = min(HASH_CELLS, max(256, rows // 16))
+        digits = next((d for d in (4, 3, 2) if len(active) * 16**d <= room), 1)
         cells = _count_prefixes(df, group, active, length, length + digits)
         length += digits
         deeper: dict[tuple[Any, str], list[tuple[int, int]]] = defaultdict(list)
+        rows = 0
         for place, wanted in active.items():
             name = place[0]
             for prefix, before, count in cells[place]:
@@ -270,6 +339,7 @@ def hash_cuts(
                     if local == before + count:
                         thresholds[name, rank] = prefix + "g"
                     elif before < local < before + count:
+                        rows += 0 if (name, prefix) in deeper else count
                         deeper[name, prefix].append((rank, local - before))
         active = deeper
     return {name: [thresholds[name, rank] for rank in wanted] for name, wanted in ranks.items()}
@@ -285,12 +355,7 @@ def _count_prefixes(
     """Rows per longer prefix below every active place, in order, with the rows before."""
     part = df.select(quoted(group).alias("name"), F.substring(HASH, 1, longer).alias("prefix"))
     if length:
-        places = df.sparkSession.createDataFrame(
-            list(active), T.StructType([_field(df, group), T.StructField("place", T.StringType())])
-        )
-        part = part.withColumn("place", F.substring("prefix", 1, length)).join(
-            F.broadcast(places), ["name", "place"], "left_semi"
-        )
+        part = _at_places(part.withColumn("place", F.substring("prefix", 1, length)), active)
     counted = part.groupBy("name", "prefix").agg(F.count(F.lit(1)).alias("rows"))
     cells: dict[tuple[Any, str], list[tuple[str, int, int]]] = defaultdict(list)
     seen: dict[tuple[Any, str], int] = defaultdict(int)
@@ -301,6 +366,25 @@ def _count_prefixes(
     return cells
 
 
+def _at_places(part: DataFrame, places: Collection[tuple[Any, str]]) -> DataFrame:
+    """Rows whose name and prefix are among the wanted ones: one per class and cut."""
+    name, place = part.schema["name"], T.StructField("place", T.StringType())
+    if len(places) > FEW_PLACES:
+        table = part.sparkSession.createDataFrame(list(places), T.StructType([name, place]))
+        return part.join(F.broadcast(table), ["name", "place"], "left_semi")
+    prefixes: dict[Any, list[str]] = defaultdict(list)
+    for group, prefix in places:
+        prefixes[group].append(prefix)
+    return part.filter(
+        any_of(
+            [
+                (F.col("name") == literal(group, name.dataType)) & F.col("place").isin(wanted)
+                for group, wanted in prefixes.items()
+            ]
+        )
+    )
+
+
 def hash_segment(df: DataFrame, group: str, thresholds: Mapping[Any, Sequence[str]], out: str):
     """Add, per row, how many of its group's thresholds its hash has passed."""
     if len(thresholds) == 1:
