@@ -148,7 +148,8 @@ def ranking_frame(
     """
     narrow = df.select(
         quoted(score).cast("double").alias("score"), quoted(actual).cast("bigint").alias("actual")
-    )
+    ).filter(F.col("score").isNotNull())
+    # Both uses of the counts below share one shuffle: the filter above makes their plans equal.
     counts = narrow.groupBy("score").agg(
         F.sum("actual").alias("p"), F.sum(1 - F.col("actual")).alias("n")
     )
@@ -171,7 +172,11 @@ def ranking_frame(
             F.coalesce(F.sum("tn").over(above), zero).alias("n_above"),
         )
     )
-    within = Window.partitionBy("interval").orderBy(F.col("score").desc())
+    within = (
+        Window.partitionBy("interval")
+        .orderBy(F.col("score").desc())
+        .rowsBetween(Window.unboundedPreceding, 0)
+    )
     running = counts.select(
         "interval",
         "p",

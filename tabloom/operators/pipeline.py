@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 from dataclasses import asdict
+from decimal import Decimal
 from typing import Any
 
 from pyspark import keyword_only
@@ -52,7 +53,7 @@ from tabloom.operators.group_rate import (
 from tabloom.operators.models import Fit, create_model
 from tabloom.operators.split import class_sizes
 from tabloom.sources.work import WorkArea, path_exists
-from tabloom.spec import CLASSIFICATION, TableSpec
+from tabloom.spec import CLASSIFICATION, CLASSIFICATION_METRICS, TableSpec, check_metric_names
 
 # Columns between the stages; none of them leaves the pipeline.
 INTERNAL = "__tb_"
@@ -195,6 +196,8 @@ class LabelDecoder(Model, DefaultParamsWritable, DefaultParamsReadable):
             return texts
         if isinstance(dtype, T.BooleanType):
             return [text == "True" for text in texts]
+        if isinstance(dtype, T.DecimalType):
+            return [Decimal(text) for text in texts]
         return [int(t) if isinstance(dtype, T.IntegralType) else float(t) for t in texts]
 
     def _transform(self, df: DataFrame) -> DataFrame:
@@ -221,6 +224,9 @@ class TabularPipeline(Estimator):
         spec = self.spec
         area = self.area or WorkArea(train.sparkSession, "fit")
         labels, label = _label_column(train, spec)
+        if labels and len(labels) != 2:
+            # Ranking needs two classes; say so before fitting anything.
+            check_metric_names(spec.metrics, CLASSIFICATION_METRICS[:4], spec.task)
         encoder, encoded = fit_encoder(train.withColumn(LABEL, label), spec, area)
         matrix = area.table(encoded.select(FEATURES, LABEL), "matrix")
         rows = sum(labels.values()) if labels else matrix.count()

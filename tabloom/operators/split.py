@@ -69,6 +69,7 @@ def hold_out(df: DataFrame, spec: TableSpec, key: Column | None = None) -> DataF
 def hold_out_random(
     df: DataFrame, test_size: float, seed: int, key: Column, stratify: str | None = None
 ) -> DataFrame:
+    _check_free(df, IS_TEST)
     hashed, group = _hashed(df, key, seed, stratify)
     sizes = class_sizes(hashed, group)
     rows = sum(sizes.values())
@@ -96,6 +97,7 @@ def hold_out_latest(
     df: DataFrame, test_size: float, order_by: Sequence[str], id_cols: Sequence[str] = ()
 ) -> DataFrame:
     """Hold out the last rows in order, so training never sees the future."""
+    _check_free(df, IS_TEST)
     ordered, keys = _ordered(df, order_by, id_cols)
     rows = _count_ordered(ordered, order_by)
     boundary = rows - held_out_rows(rows, test_size)
@@ -124,6 +126,7 @@ def stratified_k_folds(
 def _assign_folds(
     df: DataFrame, hashed: DataFrame, group: str, sizes: Mapping[Any, int], folds: int
 ) -> DataFrame:
+    _check_free(df, FOLD)
     rows = sum(sizes.values())
     if not 2 <= folds <= rows:
         raise ValueError(f"cannot make {folds} folds of {rows} rows")
@@ -157,6 +160,7 @@ def rolling_origin(
 
     Fold `i` trains on every row with a smaller number, so never on the future.
     """
+    _check_free(df, FOLD)
     ordered, keys = _ordered(df, order_by, id_cols)
     rows = _count_ordered(ordered, order_by)
     block = rows // (folds + 1)
@@ -168,6 +172,11 @@ def rolling_origin(
     return ordered.withColumn(FOLD, fold.cast("int")).select(*map(quoted, df.columns), FOLD)
 
 
+def _check_free(df: DataFrame, name: str) -> None:
+    if name in df.columns:
+        raise ValueError(f"the table already has a column {name!r}; rename it before splitting")
+
+
 def _hashed(
     df: DataFrame, key: Column, seed: int | str, group: str | None
 ) -> tuple[DataFrame, str]:

@@ -17,10 +17,11 @@ from tabloom.spec import TableSpec
 def predict(pipeline: PipelineModel, df: DataFrame, features: Sequence[str]) -> DataFrame:
     """All input columns plus `prediction`, and `score` where the model can rank.
 
-    Needs the features, not the target. No quality gate: every row is scored.
+    Needs the features, not the target. No quality gate: every row is scored. An input
+    column of either name is read first and then replaced.
     """
     validate_columns(df, features)
-    return pipeline.transform(df.drop("prediction", "score"))
+    return pipeline.transform(df)
 
 
 def run_prediction(

@@ -87,6 +87,18 @@ def test_without_id_columns_the_whole_row_is_the_key(spark):
     assert [r["a"] for r in by_a.filter("is_test").collect()] == [3] * 8
 
 
+def test_a_column_of_the_result_name_is_refused(spark):
+    table = rows_table(spark, 40).withColumn("is_test", F.lit(0)).withColumn("fold", F.lit(0))
+    for call in (
+        lambda: split.hold_out_random(table, 0.2, 42, key(table)),
+        lambda: split.hold_out_latest(table, 0.2, ["k"]),
+        lambda: split.k_folds(table, 5, 42, key(table)),
+        lambda: split.rolling_origin(table, 5, ["k"]),
+    ):
+        with pytest.raises(ValueError, match="already has a column"):
+            call()
+
+
 def test_rows_without_a_place_in_time_are_refused(spark):
     table = frame(spark, {"k": [1, None, 3]}, "k int")
     with pytest.raises(ValueError, match="1 rows have no value"):
