@@ -524,7 +524,8 @@ def queries() -> dict[str, Query]:
         lift_top_fractions, train_gbt_binary, train_gbt_multiclass, train_gbt_regression,
         train_logistic, predict_scores, lift_of_model, cross_validation, cv_leak_check, run_record,
     )
-    return {query.__name__: query for query in listed}
+    named = {query.__name__: query for query in listed}
+    return named | {"cross_validate": named.pop("cross_validation")}
 
 
 # --- SQL equivalents ------------------------------------------------------------------

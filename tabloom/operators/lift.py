@@ -112,8 +112,8 @@ def _totals(ranked: DataFrame) -> tuple[int, int]:
     ).first()
     if found["rows"] < DECILES:
         raise ValueError(
-            f"lift needs {DECILES} or more scored rows, not {found['rows']}; raise test_size"
+            f"{found['rows']} scored rows cannot fill {DECILES} deciles; hold out more"
         )
     if not found["positives"]:
-        raise ValueError("there are no positives among the scored rows, so no lift to measure")
+        raise ValueError("none of the scored rows is positive, so lift is undefined")
     return found["rows"], found["positives"]

@@ -117,8 +117,8 @@ def classification_metrics(
     ).first()
     if found["observed"] < 2:
         raise ValueError(
-            "the evaluated rows hold a single class, on which precision, recall and f1 "
-            "measure nothing; enlarge test_size or split again"
+            "all evaluated rows have the same label, so class metrics would be meaningless; "
+            "hold out more rows or use another seed"
         )
     size = found["seen"] if labels is None else len(labels)
     metrics = {"accuracy": found["matches"] / found["rows"]}

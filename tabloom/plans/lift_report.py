@@ -24,7 +24,7 @@ def held_out_scores(
     held_out = hold_out(prepared, spec, staged_key()).filter(quoted(IS_TEST))
     scored = predict(pipeline, held_out, spec.features)
     if "score" not in scored.columns:
-        raise ValueError("lift needs a binary classifier that gives probabilities")
+        raise ValueError("this model gives no scores to rank by: lift needs two classes and probabilities")
     positive = F.lit(known_labels(pipeline)[-1])
     actual = (quoted(spec.target) == positive).cast("int").alias("actual")
     return area.table(scored.select(ROW_KEY, "score", actual), "ranked")

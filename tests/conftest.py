@@ -4,7 +4,6 @@ import os
 import sys
 from pathlib import Path
 
-import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import SparkSession
@@ -40,26 +39,26 @@ def area(spark):
         yield held
 
 
-def churn_table(rows: int = 120) -> pd.DataFrame:
-    """A small table whose label follows a rule, so that a model can learn it."""
-    generator = np.random.default_rng(0)
-    tenure = generator.integers(1, 72, size=rows).astype(float)
-    plan = generator.choice(["monthly", "yearly"], size=rows)
+def delivery_table(rows: int = 120) -> pd.DataFrame:
+    """Short express deliveries are late: a rule that a model can learn."""
+    number = pd.Series(range(rows))
+    distance = number * 29 % 71 + 1.0
+    express = number * 7 % 13 < 7
     return pd.DataFrame(
         {
-            "tenure": tenure,
-            "charges": generator.uniform(20, 120, size=rows),
-            "plan": plan,
-            "churned": ((plan == "monthly") & (tenure < 40)).astype(int),
+            "distance": distance,
+            "weight": number * 61 % 100 + number / 1000,
+            "service": express.map({True: "express", False: "standard"}),
+            "late": (express & (distance < 40)).astype(int),
         }
     )
 
 
-def churn_spec(**changes) -> TableSpec:
+def delivery_spec(**changes) -> TableSpec:
     settings = {
-        "target": "churned",
-        "numerical": ("tenure", "charges"),
-        "categorical": ("plan",),
+        "target": "late",
+        "numerical": ("distance", "weight"),
+        "categorical": ("service",),
         "test_size": 0.25,
         "params": {"n_estimators": 5, "max_depth": 2},
         "metrics": ("accuracy", "f1", "roc_auc"),

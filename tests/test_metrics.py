@@ -79,7 +79,7 @@ def test_a_positive_class_never_predicted_scores_zero(spark):
 
 
 def test_a_single_observed_class_is_refused(spark):
-    with pytest.raises(ValueError, match="single class"):
+    with pytest.raises(ValueError, match="same label"):
         classify(spark, [0] * 40, [0] * 40, labels=[0, 1])
 
 
