@@ -10,6 +10,7 @@ Pivots come from a sample, but they steer the search only; they never change the
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Collection, Mapping, Sequence
 from dataclasses import dataclass
@@ -22,12 +23,14 @@ from pyspark.sql import types as T
 
 from tabloom.functions.columns import any_of, field_type, quoted
 
-MAX_PIVOTS = 255
-SAMPLE_ROWS = 4000
+# More comparisons than this make a generated method too long for the JVM to compile.
+MAX_PIVOTS = 31
+SAMPLE_ROWS = 10_000
 # So few rows are counted value by value instead of between pivots.
-DIRECT_ROWS = 4096
+DIRECT_ROWS = 10_000
 # Histogram cells one pass over the hash order may return to the driver.
-HASH_CELLS = 65536
+HASH_CELLS = 131_072
+FEW_CELLS = 8192
 # So many places are looked for by a condition, more by a join.
 FEW_PLACES = 64
 
@@ -125,7 +128,7 @@ def spots_at_ranks(
             for span in spans:
                 _settle(span, counted, found)
             break
-        pivots = _choose_pivots(part, dtype, spans, total, direct_rows, attempt)
+        pivots = _choose_pivots(part, dtype, spans, total, attempt)
         histogram = _count_between(part, pivots, dtype)
         spans = [
             inner for span in spans for inner in _narrow(span, pivots, histogram, found)
@@ -245,22 +248,33 @@ def _settle(span: _Span, counted: list[tuple[Any, int]], found: dict[int, Spot])
 
 
 def _choose_pivots(
-    part: DataFrame,
-    dtype: T.DataType,
-    spans: Sequence[_Span],
-    total: int,
-    direct_rows: int,
-    attempt: int,
+    part: DataFrame, dtype: T.DataType, spans: Sequence[_Span], total: int, attempt: int
 ) -> list[Any]:
+    """Sampled values close to where the wanted ranks should lie, and the span bounds.
+
+    A rank outside the looked-at neighbourhood only costs a further round.
+    """
     fraction = min(1.0, SAMPLE_ROWS / total)
     drawn = part.sample(fraction, seed=attempt).select(_to_driver(F.col("value"), dtype))
     sample = sorted(row[0] for row in drawn.collect())
-    # Enough that the cells around the wanted ranks hold few rows in the end.
-    ranks = sum(len(span.ranks) for span in spans)
-    wanted = min(MAX_PIVOTS, max(15, 2 * ranks * total // max(direct_rows, 1)))
-    step = max(1, len(sample) // wanted)
-    bounds = {bound for span in spans for bound in (span.low, span.high) if bound is not None}
-    return sorted(set(sample[step // 2 :: step]) | bounds)
+    each = max(3, MAX_PIVOTS // sum(len(span.ranks) for span in spans))
+    chosen = {bound for span in spans for bound in (span.low, span.high) if bound is not None}
+    for span in spans:
+        first = 0 if span.low is None else bisect_right(sample, span.low)
+        last = len(sample) if span.high is None else bisect_left(sample, span.high)
+        inner = sample[first:last]
+        for rank in span.ranks:
+            chosen.update(_around(inner, (rank - span.before - 0.5) / span.rows, each))
+    return sorted(chosen)
+
+
+def _around(sample: Sequence[Any], share: float, count: int) -> list[Any]:
+    """Elements spread over three standard deviations around a share of a sorted sample."""
+    size = len(sample)
+    reach = 3 * math.sqrt(size * share * (1 - share)) + 1
+    step = 2 * reach / (count - 1)
+    places = (round(share * size - reach + index * step) for index in range(count))
+    return [sample[min(max(place, 0), size - 1)] for place in places] if size else []
 
 
 def _count_between(part: DataFrame, pivots: Sequence[Any], dtype: T.DataType) -> dict[int, int]:
@@ -324,9 +338,9 @@ def hash_cuts(
                 active[name, ""].append((rank, rank))
     length = 0
     while active:
-        if length == 32:
+        if length >= 32:
             raise ValueError("rows share a row key; id columns must identify each row")
-        room = min(HASH_CELLS, max(256, rows // 16))
+        room = min(HASH_CELLS, max(FEW_CELLS, rows // 16))
         digits = next((d for d in (4, 3, 2) if len(active) * 16**d <= room), 1)
         cells = _count_prefixes(df, group, active, length, length + digits)
         length += digits
