@@ -6,6 +6,7 @@ The driver tables are clean, so queries about defects read views derived from th
 
 from __future__ import annotations
 
+import importlib
 import re
 from collections.abc import Callable, Sequence
 from dataclasses import replace
@@ -525,7 +526,27 @@ def queries() -> dict[str, Query]:
         train_logistic, predict_scores, lift_of_model, cross_validation, cv_leak_check, run_record,
     )
     named = {query.__name__: query for query in listed}
-    return named | {"cross_validate": named.pop("cross_validation")}
+    return named | {"cross_validate": named.pop("cross_validation")} | _corpus("QUERIES")
+
+
+def _corpus(what: str) -> dict:
+    """The corpus operators' queries or SQL, and the pipeline's, where those modules exist."""
+    found: dict = {}
+    for module, take in (
+        ("tabloom.llm.queries", lambda m: getattr(m, what)),
+        ("corpus_pipeline", lambda m: _pipeline(m)[what]),
+    ):
+        try:
+            found |= take(importlib.import_module(module))
+        except ModuleNotFoundError as missing:
+            if missing.name not in ("tabloom.llm", "tabloom.llm.queries", "corpus_pipeline"):
+                raise
+    return found
+
+
+def _pipeline(module) -> dict[str, dict]:
+    sql = {"pipeline": module.ORACLE_SQL} if module.ORACLE_SQL else {}
+    return {"QUERIES": {"pipeline": module.run}, "ORACLES": sql}
 
 
 # --- SQL equivalents ------------------------------------------------------------------
@@ -864,4 +885,4 @@ def oracle_sql() -> dict[str, str]:
               CAST(count(*) - ceil(count(*) * CAST(0.2 AS DOUBLE)) AS BIGINT) AS train_rows,
               CAST(ceil(count(*) * CAST(0.2 AS DOUBLE)) AS BIGINT) AS test_rows,
               CAST(6 AS BIGINT) AS metrics, true AS learned FROM orders""",
-    }
+    } | _corpus("ORACLES")
