@@ -5,8 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import content_sort, mixing, quality
-from tabloom.llm.common import row_count, session_area, table, whole_text, word_count
+from tabloom.llm import content_sort, link_graph, mixing, quality
+from tabloom.llm.common import session_area, table, whole_text, word_count
+
+
+URL_RULES = (
+    link_graph.Rule("org/", "allow"),
+    link_graph.Rule("example.org/es/", "block"),
+    link_graph.Rule("example.org/en/1", "block"),
+    link_graph.Rule("com/fr/", "allow"),
+    link_graph.Rule("com/de/", "block"),
+)
+
+
+def op4_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    found = link_graph.filter_urls(pages, URL_RULES, session_area(spark, "link-graph"))
+    return found.drop("trust", "distrust")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +57,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_link_graph": op4_link_graph,
     "op6_mixing": op6_mixing,
     "op8_content_sort": op8_content_sort,
     "op9_quality": op9_quality,
@@ -50,7 +66,55 @@ QUERIES = {
 _SPACES = r"[\x20\x09-\x0D]+"
 _WORDS = r"[^\x20\x09-\x0D]+"
 
+
+
+def _link_graph_sql() -> str:
+    """The rounds written out one after the other."""
+    fits = [
+        f"""WHEN (host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '/{rest}')
+            THEN {{{{'rule': '{r.text}', 'ruled': '{r.verdict}'}}}}"""
+        for r in sorted(URL_RULES, key=lambda r: -len(r.text))
+        for name, _, rest in [r.text.partition("/")]
+    ]
+    low = f"translate({{}}, '{link_graph.UPPER}', '{link_graph.LOWER}')"
+    host = low.format("regexp_extract({}, '://([^/?#]*)', 1)")
+    link = link_graph.LINK.replace("'", "''")
+    rounds = "".join(
+        f""",
+          m{i} AS MATERIALIZED (SELECT kind, host, sum(mass) AS mass FROM (
+            SELECT kind, host, 0.15::DOUBLE * mass AS mass FROM seeds
+            UNION ALL SELECT s.kind, s."to", m.mass * s.share * 0.85::DOUBLE
+            FROM shares s JOIN m{i - 1} m ON m.kind = s.kind AND m.host = s."at") GROUP BY ALL)"""
+        for i in range(1, link_graph.STEPS + 1)
+    )
+    return f"""
+        WITH parts AS (SELECT page_id, {host.format("coalesce(url, '')")} AS host,
+            regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path,
+            coalesce(html, '') AS html FROM pages),
+          found AS (SELECT *, CASE {" ".join(fits).format()} END AS fit FROM parts),
+          links AS (SELECT source, target, count(*) AS links FROM (
+            SELECT host AS source, {host.format("CASE WHEN starts_with(link, '//') THEN ':' || link ELSE link END")}
+              AS target FROM (SELECT host, unnest(regexp_extract_all(html, '{link}', 1)) AS link FROM parts))
+            WHERE source <> '' AND target <> '' AND source <> target GROUP BY ALL),
+          ways AS (SELECT 'trust' AS kind, source AS "at", target AS "to", links FROM links
+            UNION ALL SELECT 'distrust', target, source, links FROM links),
+          shares AS MATERIALIZED (SELECT kind, "at", "to",
+            links / sum(links) OVER (PARTITION BY kind, "at") AS share FROM ways),
+          shared AS (SELECT host, count(*) FILTER (fit.ruled = 'allow') / count(*) AS allow,
+            count(*) FILTER (fit.ruled = 'block') / count(*) AS block
+            FROM found WHERE host <> '' GROUP BY host),
+          seeds AS MATERIALIZED (SELECT 'trust' AS kind, host, allow AS mass FROM shared WHERE allow > 0
+            UNION ALL SELECT 'distrust', host, block FROM shared WHERE block > 0),
+          m0 AS (SELECT kind, host, 0.15::DOUBLE * mass AS mass FROM seeds){rounds},
+          scores AS (SELECT host, round(sum(CASE kind WHEN 'distrust' THEN mass ELSE -mass END), 9)
+            AS excess FROM m{link_graph.STEPS} GROUP BY host)
+        SELECT page_id, f.host, path, fit.rule AS rule,
+          coalesce(fit.ruled, CASE WHEN excess > 0 THEN 'block' ELSE 'allow' END) AS verdict
+        FROM found f LEFT JOIN scores s ON f.host = s.host"""
+
+
 ORACLES = {
+    "op4_link_graph": _link_graph_sql(),
     "op8_content_sort": f"""
         WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '{_SPACES}', ' ', 'g'))
                      AS text_sha256 FROM documents)
