@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import held_out, row_count
+from tabloom.llm.common import held_out
 
 #: At most about this many labelled rows reach the driver; fewer labelled rows are all used.
 SAMPLE_ROWS = 20_000
@@ -16,20 +16,33 @@ _PARTS = 1_000_000
 
 
 def training_sample(
-    docs: DataFrame, labels: DataFrame, target: str, sample_rows: int = SAMPLE_ROWS
+    docs: DataFrame,
+    labels: DataFrame,
+    target: str,
+    sample_rows: int = SAMPLE_ROWS,
+    balanced: bool = False,
 ) -> DataFrame:
     """(doc_id, text, label) of the labelled rows that may be learnt from.
 
     Rows whose crc32(doc_id) is divisible by 5 are kept away. Where more rows are labelled than
-    `sample_rows`, a hash of the id chooses that many. A null label counts as unlabelled; of
+    `sample_rows`, a hash of the id chooses that many; `balanced` takes half of them, or all there
+    are, from label 1. A null label counts as unlabelled; of
     contradicting labels of one document the larger holds.
     """
     usable = labels.filter(F.col(target).isNotNull() & F.col("doc_id").isNotNull())
     usable = usable.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(
-        F.max(target).cast("int").alias("label")
+        F.max((F.col(target) > 0).cast("int")).alias("label")
     )
-    share = min(1.0, sample_rows / max(1, row_count(usable)))
-    chosen = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(_PARTS)) < int(share * _PARTS)
+    counts = {r["label"]: r["count"] for r in usable.groupBy("label").count().collect()}
+    rows = sum(counts.values())
+    ones = counts.get(1, 0)
+    if balanced:
+        shares = sample_rows / 2 / max(1, rows - ones), sample_rows / 2 / max(1, ones)
+    else:
+        shares = (sample_rows / max(1, rows),) * 2
+    limit = F.when(F.col("label") == 1, int(min(1.0, shares[1]) * _PARTS))
+    limit = limit.otherwise(int(min(1.0, shares[0]) * _PARTS))
+    chosen = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(_PARTS)) < limit
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     # About `sample_rows` rows of two numbers, whatever the size of the tables.
     return texts.join(F.broadcast(usable.filter(chosen)), "doc_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import content_sort, link_graph, mixing, quality
+from tabloom.llm import content_sort, link_graph, mixing, quality, toxicity
 from tabloom.llm.common import session_area, table, whole_text, word_count
 
 
@@ -44,6 +44,13 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    area = session_area(spark, "toxicity")
+    model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"), area)
+    return toxicity.score_toxicity(docs, model)
+
+
 def op8_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = content_sort.content_sort(docs, session_area(spark, "content-sort"), carry=("doc_id",))
@@ -59,6 +66,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op4_link_graph": op4_link_graph,
     "op6_mixing": op6_mixing,
+    "op7_toxicity": op7_toxicity,
     "op8_content_sort": op8_content_sort,
     "op9_quality": op9_quality,
 }
