@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +49,42 @@ def training_sample(
     return texts.join(F.broadcast(usable.filter(chosen)), "doc_id")
 
 
-def frames(batches: Iterator, work) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        if len(batch):
-            yield work(batch)
+def scored(docs: DataFrame, make: Callable[[], Callable], threshold: float) -> DataFrame:
+    """doc_id, held_out, score and predicted for every row; `make()` gives texts -> scores.
+
+    Ids travel as Arrow columns, so null and large ones stay as they are.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = make()
+        for batch in batches:
+            found = pa.array(np.asarray(score(batch.column("text").to_pylist()), dtype=np.float64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], NAMES)
+
+    rows = docs.select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        F.coalesce("text", F.lit("")).alias("text"),
+    )
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double")
+    return found.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+NAMES = ["doc_id", "held_out", "score"]
+
+
+def features_of(sample: DataFrame, names: Sequence[str], make: Callable[[], Callable]):
+    """(features, labels) of a bounded sample of rows; `make()` gives texts -> array of features."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for batch in batches:
+            found = work(batch.column("text").to_pylist())
+            columns = [batch.column("label"), *(pa.array(c) for c in np.ascontiguousarray(found.T))]
+            yield pa.RecordBatch.from_arrays(columns, ["label", *names])
+
+    schema = "label int, " + ", ".join(f"{n} double" for n in names)
+    found = sample.select("label", "text").mapInArrow(run, schema).toPandas()
+    found = found.sort_values(["label", *names], ignore_index=True)
+    return found[list(names)].to_numpy(), found["label"].to_numpy(float)

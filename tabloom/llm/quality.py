@@ -14,8 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.llm import boosting
-from tabloom.llm.common import held_out
-from tabloom.llm.labelled import SAMPLE_ROWS, frames, training_sample
+from tabloom.llm.labelled import SAMPLE_ROWS, features_of, scored, training_sample
 
 THRESHOLD = 0.3
 _DIGITS, _UPPER, _LOWER = (slice(ord(a), ord(z) + 1) for a, z in ("09", "AZ", "az"))
@@ -81,15 +80,8 @@ def fit_quality(
 ) -> boosting.Trees:
     """Trees learnt from the labelled sample; without labelled rows every score is 0.5."""
 
-    def rows(batch: pd.DataFrame) -> pd.DataFrame:
-        found = pd.DataFrame(table_of(batch["text"]), columns=list(STATISTICS))
-        return pd.concat([batch[["doc_id", "label"]].reset_index(drop=True), found], axis=1)
-
-    schema = "doc_id long, label int, " + ", ".join(f"{s} double" for s in STATISTICS)
     sample = training_sample(docs, labels, target, sample_rows)
-    found = sample.mapInPandas(lambda b: frames(b, rows), schema).toPandas()
-    found = found.sort_values(["doc_id", *STATISTICS], ignore_index=True)
-    return boosting.fit(found[list(STATISTICS)].to_numpy(), found["label"].to_numpy(float))
+    return boosting.fit(*features_of(sample, STATISTICS, lambda: table_of))
 
 
 def score_quality(
@@ -100,20 +92,7 @@ def score_quality(
     A null text counts as empty and gets the score of an empty text. A null id is not held out.
     """
 
-    def score(batch: pd.DataFrame) -> pd.DataFrame:
-        p = model.probability(table_of(batch["text"]))
-        return pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": p})
-
-    rows = docs.select(
-        "doc_id",
-        held_out(F.col("doc_id")).alias("held_out"),
-        F.coalesce("text", F.lit("")).alias("text"),
-    )
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = rows.mapInPandas(
-        lambda b: frames(b, score), f"doc_id {kind}, held_out boolean, score double"
-    )
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return scored(docs, lambda: lambda texts: model.probability(table_of(texts)), threshold)
 
 
 def keep_good(docs: DataFrame, model: boosting.Trees, threshold: float = THRESHOLD) -> DataFrame:

@@ -5,10 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import content_sort, link_graph, mixing, quality, toxicity
+from tabloom.llm import content_sort, link_graph, mixing, packing, quality, toxicity
 from tabloom.llm.common import session_area, table, whole_text, word_count
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    pieces = packing.pack_documents(docs, packing.byte_bpe_50k())
+    return pieces.select(
+        "doc_id",
+        "start",
+        "length",
+        F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens",
+        "sequence_id",
+        "offset",
+        "tier",
+        "step_id",
+    )
+
+
 URL_RULES = (
     link_graph.Rule("org/", "allow"),
     link_graph.Rule("example.org/es/", "block"),
@@ -64,6 +80,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_packing": op1_packing,
     "op4_link_graph": op4_link_graph,
     "op6_mixing": op6_mixing,
     "op7_toxicity": op7_toxicity,

@@ -15,14 +15,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.llm import boosting
-from tabloom.llm.common import WORDS, held_out
-from tabloom.llm.labelled import frames, training_sample
+from tabloom.llm.common import WORDS
+from tabloom.llm.labelled import features_of, scored, training_sample
 from tabloom.sources.work import WorkArea
 
 THRESHOLD = 0.5
@@ -152,18 +151,8 @@ def fit_toxicity(
     sample = area.table(training_sample(docs, labels, target, sample_rows, balanced=True), "sample")
     ordinary, toxic = train_dictionaries(sample)
     names = [f"f{i}" for i in range(FEATURES)]
-
-    def rows(batch: pd.DataFrame) -> pd.DataFrame:
-        found = Distance(ordinary, toxic).table(batch["text"])
-        return pd.DataFrame(found, columns=names).assign(
-            doc_id=batch["doc_id"].to_numpy(), label=batch["label"].to_numpy()
-        )[["doc_id", "label", *names]]
-
-    schema = "doc_id long, label int, " + ", ".join(f"{n} double" for n in names)
-    found = sample.mapInPandas(lambda b: frames(b, rows), schema).toPandas()
-    found = found.sort_values(["doc_id", *names], ignore_index=True)
-    rows_, label = found[names].to_numpy(), found["label"].to_numpy(float)
-    return ToxicityModel(ordinary, toxic, boosting.fit(rows_, label, trees=40, depth=3, rate=0.15))
+    found = features_of(sample, names, lambda: Distance(ordinary, toxic).table)
+    return ToxicityModel(ordinary, toxic, boosting.fit(*found, trees=40, depth=3, rate=0.15))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
@@ -172,17 +161,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = THR
     A null text counts as empty and scores as an empty text. A null id is not held out.
     """
 
-    def score(batches):
+    def make():
         distance = Distance(model.ordinary, model.toxic)
-        for batch in batches:
-            p = model.trees.probability(distance.table(batch["text"]))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": p})
-
-    rows = docs.select(
-        "doc_id",
-        held_out(F.col("doc_id")).alias("held_out"),
-        F.coalesce("text", F.lit("")).alias("text"),
-    )
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = rows.mapInPandas(score, f"doc_id {kind}, held_out boolean, score double")
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+        return lambda texts: model.trees.probability(distance.table(texts))
+
+    return scored(docs, make, threshold)
