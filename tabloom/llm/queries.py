@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import content_sort, link_graph, mixing, packing, quality, toxicity
+from tabloom.llm import (
+    content_sort,
+    link_graph,
+    mixing,
+    packing,
+    quality,
+    toxicity,
+    vector_file,
+)
 from tabloom.llm.common import session_area, table, whole_text, word_count
 
 
@@ -25,6 +33,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_vector_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    area = session_area(spark, "vector-file")
+    return vector_file.search(vectors, F.col("vec_id") % 20 == 0, area)
+
+
 URL_RULES = (
     link_graph.Rule("org/", "allow"),
     link_graph.Rule("example.org/es/", "block"),
@@ -81,6 +95,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_vector_file": op2_vector_file,
     "op4_link_graph": op4_link_graph,
     "op6_mixing": op6_mixing,
     "op7_toxicity": op7_toxicity,
@@ -139,6 +154,18 @@ def _link_graph_sql() -> str:
 
 
 ORACLES = {
+    "op2_vector_file": """
+        WITH v AS (SELECT vec_id, list_transform(embedding,
+              lambda x: floor(CAST(x AS DOUBLE) * 64)) AS parts
+            FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+          s AS (SELECT q.vec_id AS query_id, c.vec_id,
+              CAST(list_inner_product(q.parts, c.parts) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+              AND len(q.parts) = len(c.parts))
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)
+            AS INTEGER) AS rank, vec_id, score FROM s
+        QUALIFY rank <= 20""",
     "op4_link_graph": _link_graph_sql(),
     "op8_content_sort": f"""
         WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '{_SPACES}', ' ', 'g'))
