@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tabloom.llm import (
     content_sort,
+    line_chunks,
     link_graph,
     mixing,
     packing,
@@ -39,6 +40,12 @@ def op2_vector_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_file.search(vectors, F.col("vec_id") % 20 == 0, area)
 
 
+def op3_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    left = line_chunks.dedup_lines(docs, session_area(spark, "line-chunks"))
+    return left.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 URL_RULES = (
     link_graph.Rule("org/", "allow"),
     link_graph.Rule("example.org/es/", "block"),
@@ -96,6 +103,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_vector_file": op2_vector_file,
+    "op3_line_chunks": op3_line_chunks,
     "op4_link_graph": op4_link_graph,
     "op6_mixing": op6_mixing,
     "op7_toxicity": op7_toxicity,
@@ -166,6 +174,22 @@ ORACLES = {
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)
             AS INTEGER) AS rank, vec_id, score FROM s
         QUALIFY rank <= 20""",
+    "op3_line_chunks": """
+        WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+          l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM d),
+          h AS (SELECT *, CAST('0x' || left(md5(line), 8) AS BIGINT) AS h FROM l),
+          b AS (SELECT *, (h + 31 * coalesce(lag(h) OVER w, 0)) % 2147483647 % 3 = 0 AS closes FROM h
+            WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+          c AS (SELECT *, coalesce(sum(CAST(closes AS INT)) OVER (PARTITION BY doc_id ORDER BY pos
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM b),
+          t AS (SELECT doc_id, chunk, min(pos) AS start, count(*) AS n,
+            string_agg(line, chr(10) ORDER BY pos) AS body FROM c GROUP BY ALL),
+          r AS (SELECT *, n > 1 AND row_number() OVER (PARTITION BY n > 1, body
+            ORDER BY doc_id, start) > 1 AS gone FROM t)
+        SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_lines,
+          CAST(coalesce(sum(n) FILTER (gone), 0) AS BIGINT) AS n_removed,
+          sha256(coalesce(string_agg(body, chr(10) ORDER BY start) FILTER (NOT gone), '')) AS kept_sha256
+        FROM r GROUP BY doc_id""",
     "op4_link_graph": _link_graph_sql(),
     "op8_content_sort": f"""
         WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '{_SPACES}', ' ', 'g'))
