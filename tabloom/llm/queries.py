@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.llm import (
+    chosen_path,
     content_sort,
     line_chunks,
     link_graph,
@@ -100,6 +101,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, model)
 
 
+def op10_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = chosen_path.join_similar(docs, session_area(spark, "chosen-path"))
+    return found.select("doc_id", "class_id", "links", "group_id")
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_vector_file": op2_vector_file,
@@ -109,6 +116,7 @@ QUERIES = {
     "op7_toxicity": op7_toxicity,
     "op8_content_sort": op8_content_sort,
     "op9_quality": op9_quality,
+    "op10_chosen_path": op10_chosen_path,
 }
 
 _SPACES = r"[\x20\x09-\x0D]+"
