@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tabloom.llm import (
     chosen_path,
     content_sort,
+    fm_index,
     line_chunks,
     link_graph,
     mixing,
@@ -62,6 +63,12 @@ def op4_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("trust", "distrust")
 
 
+def op5_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    left = fm_index.dedup_substrings(docs, session_area(spark, "fm-index"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     area = session_area(spark, "mixing")
@@ -112,6 +119,7 @@ QUERIES = {
     "op2_vector_file": op2_vector_file,
     "op3_line_chunks": op3_line_chunks,
     "op4_link_graph": op4_link_graph,
+    "op5_fm_index": op5_fm_index,
     "op6_mixing": op6_mixing,
     "op7_toxicity": op7_toxicity,
     "op8_content_sort": op8_content_sort,
@@ -199,6 +207,21 @@ ORACLES = {
           sha256(coalesce(string_agg(body, chr(10) ORDER BY start) FILTER (NOT gone), '')) AS kept_sha256
         FROM r GROUP BY doc_id""",
     "op4_link_graph": _link_graph_sql(),
+    "op5_fm_index": f"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS words FROM documents),
+          w AS (SELECT doc_id, pos, list_slice(words, pos + 1, pos + 35) AS body
+            FROM (SELECT doc_id, words, unnest(range(len(words) - 34)) AS pos FROM d WHERE len(words) > 34)),
+          again AS (SELECT doc_id, pos, count(*) OVER (PARTITION BY sha256(array_to_string(body, ' '))) > 1
+            AS twice FROM w),
+          gone AS (SELECT DISTINCT doc_id, pos + unnest(range(35)) AS pos FROM again WHERE twice),
+          l AS (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS pos FROM d),
+          k AS (SELECT l.doc_id, count(*) FILTER (g.pos IS NULL) AS kept,
+              string_agg(word, ' ' ORDER BY l.pos) FILTER (g.pos IS NULL) AS text
+            FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.pos = l.pos GROUP BY l.doc_id)
+        SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words,
+          CAST(len(words) - coalesce(kept, 0) AS BIGINT) AS n_removed,
+          sha256(coalesce(k.text, '')) AS kept_sha256
+        FROM d LEFT JOIN k ON k.doc_id = d.doc_id""",
     "op8_content_sort": f"""
         WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '{_SPACES}', ' ', 'g'))
                      AS text_sha256 FROM documents)

@@ -59,3 +59,24 @@ def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
     for k in range(width if n > 0 else 0):
         out = mix(out * _BASE + hashes[k : k + n])
     return out
+
+
+def rolling(hashes: np.ndarray, width: int) -> np.ndarray:
+    """A hash of every `width` neighbouring words by differences of a running polynomial."""
+    n = len(hashes)
+    if n < width:
+        return np.zeros(0, dtype=np.uint64)
+    up, down = (_UP, _DOWN) if n <= _BLOCK else (_powers(_BASE, n + 1), _powers(_INVERSE, n + 1))
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(hashes * up[:n], out=sums[1:])
+    return mix((sums[width:] - sums[:-width]) * down[: n - width + 1])
+
+
+def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of every `width` neighbouring values, by doubling."""
+    covered, out = 1, values
+    while covered < width:
+        step = min(covered, width - covered)
+        out = np.minimum(out[:-step], out[step:])
+        covered += step
+    return out
