@@ -69,24 +69,32 @@ def op5_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
-def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    area = session_area(spark, "mixing")
-    rows = mixing.sized(docs, word_count(whole_text()), F.array("source"), area)
+def mix_sources(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The mix of documents with one source each, and (source, source_size, target).
+
+    Sources by name, null last, weigh 5, 2, 1, 5, 2, ... and share 150 % of all words.
+    """
     sizes = mixing.pattern_sizes(rows)
     totals = {members[0]: words for members, words in sizes.items()}
     order = sorted(totals, key=lambda s: (s is None, s or ""))
     weights = {s: mixing.WEIGHTS[i % len(mixing.WEIGHTS)] for i, s in enumerate(order)}
     targets = mixing.water_fill(totals, weights, mixing.SHARE * sum(totals.values()))
     quotas = {s: round(target) for s, target in targets.items()}
-    mixed = mixing.select_documents(rows, mixing.cheapest_flow(sizes, quotas))
     facts = [(s, totals[s], float(targets[s])) for s in order]
-    sources = spark.createDataFrame(facts, "source string, source_size long, target double")
-    mixed = mixed.withColumn("source", F.col("members")[0]).alias("m")
-    joined = mixed.join(sources.alias("s"), F.col("m.source").eqNullSafe(F.col("s.source")))
-    return joined.select(
-        "doc_id", F.col("words").alias("size"), "source_size", "target", "taken"
+    sources = rows.sparkSession.createDataFrame(
+        facts, "source string, source_size long, target double"
     )
+    return mixing.select_documents(rows, mixing.cheapest_flow(sizes, quotas)), sources
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    area = session_area(spark, "mixing")
+    rows = mixing.sized(docs, word_count(whole_text()), F.array("source"), area)
+    mix, sources = mix_sources(rows)
+    mix = mix.withColumn("source", F.col("members")[0]).alias("m")
+    joined = mix.join(sources.alias("s"), F.col("m.source").eqNullSafe(F.col("s.source")))
+    return joined.select("doc_id", F.col("words").alias("size"), "source_size", "target", "taken")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
