@@ -99,7 +99,7 @@ class Distance:
 FEATURES = 9
 
 
-def train_dictionaries(sample: DataFrame) -> tuple[bytes, bytes]:
+def train_dictionaries(sample: DataFrame, area: WorkArea) -> tuple[bytes, bytes]:
     """(ordinary, toxic) contents from (text, label) rows; without toxic text they are equal."""
     words = F.regexp_extract_all(F.lower("text"), F.lit(WORDS), 0)
     following = F.concat(F.slice("words", 2, F.greatest(F.size("words"), F.lit(1))), F.array(F.lit("")))
@@ -108,6 +108,7 @@ def train_dictionaries(sample: DataFrame) -> tuple[bytes, bytes]:
     )
     counts = [F.count_if(F.col("label") == k).alias(name) for k, name in ((1, "toxic"), (0, "plain"))]
     words = pairs.select("label", "p.words", "p.next").distinct().groupBy("words").agg(*counts)
+    words = area.table(words, "words")
     spaced = F.concat(F.lit(" "), F.col("words"), F.lit(" "))
     least, most = SEGMENT
     starts = F.transform(
@@ -116,8 +117,8 @@ def train_dictionaries(sample: DataFrame) -> tuple[bytes, bytes]:
     )
     segments = words.select(F.explode(starts).alias("segment"), "toxic", "plain")
     segments = segments.groupBy("segment").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
-    sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.sum(F.length("text")).alias("n")).collect()}
-    of_toxic, of_plain = (max(1, sizes.get(k) or 0) for k in (1, 0))
+    sums = words.agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain")).first()
+    of_toxic, of_plain = max(1, sums["toxic"] or 0), max(1, sums["plain"] or 0)
     odds = (F.col("toxic") / of_toxic) / ((F.col("plain") + 0.5) / of_plain)
     both = F.col("toxic") + F.col("plain")
     evidence = 2 * (
@@ -133,7 +134,8 @@ def train_dictionaries(sample: DataFrame) -> tuple[bytes, bytes]:
     }
     chosen = sorted((s for s in rich if s not in covered), key=lambda s: (rich[s], s))
     toxic = "".join(chosen).encode()[-SEGMENT_BYTES:]
-    common = segments.filter(F.col("segment").endswith(" ")).orderBy(F.desc("plain"), "segment")
+    common = segments.filter(F.col("segment").endswith(" ") & (F.col("plain") > F.col("toxic") / LEAST_ODDS))
+    common = common.orderBy(F.desc("plain"), "segment")
     common = [r["segment"] for r in common.limit(SHARED_BYTES // least).collect()]
     shared = "".join(reversed(common)).encode()[-SHARED_BYTES:]
     more = (shared * (1 + len(toxic) // max(1, len(shared))))[: len(toxic)]
@@ -149,7 +151,7 @@ def fit_toxicity(
 ) -> ToxicityModel:
     """Dictionaries and calibration from a bounded sample of labelled rows."""
     sample = area.table(training_sample(docs, labels, target, sample_rows, balanced=True), "sample")
-    ordinary, toxic = train_dictionaries(sample)
+    ordinary, toxic = train_dictionaries(sample, area)
     names = [f"f{i}" for i in range(FEATURES)]
     found = features_of(sample, names, lambda: Distance(ordinary, toxic).table)
     return ToxicityModel(ordinary, toxic, boosting.fit(*found, trees=40, depth=3, rate=0.15))

@@ -151,7 +151,7 @@ def search(
             sizes = batch.column("size").to_numpy()
             for size in np.unique(sizes):
                 chosen = batch.filter(pa.array(sizes == size))
-                parts = chosen.column("parts").flatten().to_numpy().reshape(-1, size)
+                parts = chosen.column("parts").flatten().to_numpy().reshape(len(chosen), size)
                 codes = cells(parts, spans[int(size)], CELLS)
                 columns = [
                     *(chosen.column(n) for n in ("vec_id", "size", "query", "place")),

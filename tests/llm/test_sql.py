@@ -1,0 +1,26 @@
+"""Corpus queries against their SQL on the smallest tables, over all rows."""
+
+from __future__ import annotations
+
+import pytest
+
+from tabloom.llm.queries import ORACLES, QUERIES
+from tests.conftest import DATA
+from tests.oracle import connect, duckdb_result, spark_result
+
+SMALL = str(DATA / "sf0.001")
+
+pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no driver tables")
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_matches_sql(spark, name):
+    connection = connect(SMALL)
+    columns, rows = spark_result(QUERIES[name](spark, SMALL))
+    assert (columns, rows) == duckdb_result(connection, ORACLES[name])
+    assert rows
+
+
+def test_every_operator_has_one_query():
+    numbers = [int(name[2:].split("_")[0]) for name in QUERIES]
+    assert sorted(numbers) == list(range(1, 11))

@@ -1,0 +1,79 @@
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tabloom.llm import vector_file
+from tests.llm.odd import dicts
+
+SCHEMA = "vec_id long, embedding array<float>, place long, codes string, `query` int"
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(i, v, 1, "x", 1) for i, v in rows], SCHEMA)
+
+
+def brute(rows, top):
+    """The best of all others for every row whose id is divisible by 5."""
+    usable = [
+        (i, [math.floor(64 * float(np.float32(x))) for x in v])
+        for i, v in rows
+        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)
+    ]
+    out = []
+    for i, v in usable:
+        if i % 5 == 0:
+            scores = [(-sum(a * b for a, b in zip(v, w)), j) for j, w in usable if j != i and len(v) == len(w)]
+            out += [(i, k + 1, j, -s) for k, (s, j) in enumerate(sorted(scores)[:top])]
+    return sorted(out)
+
+
+def found(spark, rows, area, top=7, **settings):
+    got = vector_file.search(table(spark, rows), F.col("vec_id") % 5 == 0, area, top=top, **settings)
+    return sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in dicts(got))
+
+
+def vectors(seed, count, size, spread=0.3):
+    pick = np.random.default_rng(seed)
+    return [(i, pick.normal(0, spread, size).astype(np.float32).tolist()) for i in range(count)]
+
+
+@pytest.mark.parametrize("settings", [{}, {"shard_rows": 40, "group_rows": 10}])
+def test_against_brute_force(spark, area, settings):
+    rows = vectors(1, 300, 12)
+    assert found(spark, rows, area, **settings) == brute(rows, 7)
+
+
+def test_wide_values_and_ties(spark, area):
+    rows = vectors(2, 120, 6, spread=50.0)
+    rows += [(1000 + i, rows[3][1]) for i in range(20)] + [(2000 + i, [0.0] * 6) for i in range(10)]
+    assert found(spark, rows, area, shard_rows=30) == brute(rows, 7)
+
+
+def test_unusable_vectors_take_no_part(spark, area):
+    rows = vectors(3, 30, 4) + [
+        (100, None), (105, [None, 1.0, 1.0, 1.0]), (110, [float("nan"), 1.0, 1.0, 1.0]),
+        (115, [float("inf"), 0.0, 0.0, 0.0]), (None, [1.0, 1.0, 1.0, 1.0]), (120, [1.0, 2.0]),
+        (121, [3.0, 4.0]), (125, []), (126, []), (130, [5.0]),
+    ]
+    assert found(spark, rows, area) == brute(rows, 7)
+
+
+def test_repeated_rows_and_too_few_candidates(spark, area):
+    rows = [(5, [1.0, 0.0]), (6, [0.5, 0.5]), (6, [0.5, 0.5]), (7, [0.0, 1.0])]
+    assert found(spark, rows, area) == brute(rows, 7)
+    assert found(spark, [(5, [1.0])], area) == []
+    assert found(spark, [], area) == []
+
+
+def test_bounds_hold_and_few_exact_vectors_are_read():
+    pick = np.random.default_rng(4)
+    parts = pick.integers(-500, 500, (400, 8))
+    span = np.stack([parts.min(0), parts.max(0)])
+    codes = vector_file.cells(parts, span, 16)
+    centres, halves = vector_file.cell_centres(span, 16)
+    at = np.arange(8)
+    assert (np.abs(parts - centres[codes, at]) <= halves[codes, at]).all()
