@@ -180,7 +180,7 @@ def quality_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "measure string, value bigint")
 
 
-def _issues(spark: SparkSession, reports: Sequence[quality.Report]) -> DataFrame:
+def _issues(spark: SparkSession, reports: Sequence[quality.StageResult]) -> DataFrame:
     found = quality.issues_frame(spark, reports)
     return _rounded(found.select("stage", "check", "severity", "column", "observed"), ["observed"])
 
@@ -231,7 +231,7 @@ def quality_added_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def verdict(context: quality.Context, profile: quality.Profile):
         share = profile["large"] / profile["rows"]
-        return [quality.Issue("large_orders", "warning", "total_price", share, 0.0, "large orders")]
+        yield quality.Finding("large_orders", "warning", "total_price", share, 0.0, "large orders")
 
     checks = [*quality.CHECKS, quality.Check("large_orders", verdict, counted)]
     dirty = _view(spark, sf_dir, "orders_dirty")
@@ -613,27 +613,32 @@ def _macro(size: int) -> str:
 
 
 def _target_issues() -> str:
-    def row(case: str, column: str, observed: str, condition: str) -> str:
-        return f"""SELECT '{case}' AS stage, 'target_quality' AS "check", 'error' AS severity,
-          '{column}' AS "column", {observed} AS observed WHERE {condition}"""
-
-    status = "(SELECT count(DISTINCT o_orderstatus) FROM orders)"
-    least = """(SELECT min(c) / sum(c) FROM (SELECT count(*) AS c FROM {table} GROUP BY {column}))"""
-    status_least = least.format(table="orders", column="o_orderstatus")
-    quality_least = least.format(table="labels", column="quality")
-    return " UNION ALL ".join(
-        [
-            row("o_orderstatus/classification/boosted_trees", "o_orderstatus",
-                f"CAST({status} AS DOUBLE)", "true"),
-            row("o_orderstatus/classification/logistic_regression", "o_orderstatus",
-                f"round({status_least}, 6)", f"{status_least} < CAST(0.3335 AS DOUBLE)"),
-            row("o_orderstatus/regression/boosted_trees", "o_orderstatus",
-                "CAST(NULL AS DOUBLE)", "true"),
-            row("shifted/classification/boosted_trees", "shifted", "CAST(3 AS DOUBLE)", "true"),
-            row("quality/classification/boosted_trees", "quality",
-                f"round({quality_least}, 6)", f"{quality_least} < CAST(0.9 AS DOUBLE)"),
-        ]
-    )
+    """Every case's verdict decided from its class table."""
+    cases = [
+        ("o_orderstatus/classification/boosted_trees", "orders", "o_orderstatus", "NULL", True, 0.05),
+        ("o_orderstatus/classification/logistic_regression", "orders", "o_orderstatus", "NULL", False, 0.3335),
+        ("shifted/classification/boosted_trees", "orders", "o_custkey % 3 + 1", "{label}", True, 0.05),
+        ("quality/classification/boosted_trees", "labels", "quality", "{label}", True, 0.9),
+        ("toxic/classification/boosted_trees", "labels", "toxic", "{label}", True, 0.0),
+    ]
+
+    def one(name: str, table: str, label: str, number: str, encoded: bool, limit: float) -> str:
+        number = number.format(label=label)
+        gapless = "least = 0 AND greatest = classes - 1" if encoded else "true"
+        return f"""SELECT '{name}' AS stage, '{name.split("/")[0]}' AS "column",
+          coalesce({gapless}, false) AS fits, classes, least_share, CAST({limit} AS DOUBLE) AS share_limit
+          FROM (SELECT count(*) AS classes, min(c) / sum(c) AS least_share, min(n) AS least, max(n) AS greatest
+            FROM (SELECT {label} AS label, CAST({number} AS BIGINT) AS n, count(*) AS c
+              FROM {table} GROUP BY ALL))"""
+
+    found = " UNION ALL ".join(one(*case) for case in cases)
+    return f"""WITH cases AS ({found})
+      SELECT stage, 'target_quality' AS "check", 'error' AS severity, "column",
+        CASE WHEN fits THEN round(least_share, 6) ELSE CAST(classes AS DOUBLE) END AS observed
+      FROM cases WHERE NOT fits OR least_share < share_limit
+      UNION ALL SELECT 'o_orderstatus/regression/boosted_trees', 'target_quality', 'error',
+        'o_orderstatus', NULL FROM (SELECT count(DISTINCT o_orderstatus) AS n,
+          count(TRY_CAST(o_orderstatus AS DOUBLE)) AS numbers FROM orders) WHERE n > 1 AND numbers = 0"""
 
 
 _RAW_COUNTS = """counts AS (SELECT count(*) AS n, count(*) FILTER (total_price IS NULL) AS mp,

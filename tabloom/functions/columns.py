@@ -74,17 +74,29 @@ def any_of(conditions: Sequence[Column]) -> Column:
     return reduce(lambda left, right: left | right, conditions, F.lit(False))
 
 
+# Every field, and times to the microsecond, so different rows never have one text.
+_WHOLE = {
+    "ignoreNullFields": "false",
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+
+
 def row_key(df: DataFrame, id_cols: Sequence[str] = ()) -> Column:
     """Text identifying a row: the id columns if given, else a hash of the whole row.
 
+    NULL where an id column is NULL: such a row cannot be told from others.
+
     The hash is unique only on a table without identical rows, so take it after
     removing duplicates and before dropping columns.
     """
     if len(id_cols) == 1:
         return quoted(id_cols[0]).cast("string")
     names = list(id_cols) or df.columns
-    body = F.to_json(F.struct(*(quoted(n) for n in names)), {"ignoreNullFields": "false"})
-    return body if id_cols else F.sha2(body, 256)
+    body = F.to_json(F.struct(*(quoted(n) for n in names)), _WHOLE)
+    if not id_cols:
+        return F.sha2(body, 256)
+    return F.when(all_of([quoted(n).isNotNull() for n in names]), body)
 
 
 def split_hash(key: Column, seed: int | str) -> Column:

@@ -22,11 +22,9 @@ from tabloom.functions.columns import (
     number_of,
     quoted,
 )
+from tabloom.operators.quality import COPIES, count_copies
 from tabloom.spec import ValueRange
 
-# How many labels an error message spells out; `unmapped_labels` holds them all.
-LISTED = 100
-
 
 def validate_columns(df: DataFrame, required: Sequence[str]) -> None:
     missing = [name for name in required if name not in df.columns]
@@ -47,12 +45,14 @@ def encode_target(df: DataFrame, target: str, mapping: Mapping[Any, int]) -> Dat
     if not mapping:
         return df
     validate_columns(df, [target])
-    # Only the sorted head reaches the driver, however many labels lack a code.
-    heads = unmapped_labels(df, target, mapping).orderBy("label").limit(LISTED + 1).collect()
-    if heads:
-        listed = [row["label"] for row in heads[:LISTED]]
-        more = " and more" if len(heads) > LISTED else ""
-        raise ValueError(f"no code for labels {listed}{more} of column {target!r}")
+    found = unmapped_labels(df, target, mapping).agg(
+        F.count(F.lit(1)).alias("labels"), F.sum("rows").alias("rows"), F.min("label").alias("first")
+    ).first()
+    if found["labels"]:
+        raise ValueError(
+            f"{found['labels']} labels of {target!r}, in {found['rows']} rows, have no code, the first "
+            f"being {found['first']!r}; unmapped_labels() gives the table of them"
+        )
     return df.withColumn(target, _lookup(df, target, mapping))
 
 
@@ -130,5 +130,6 @@ def clean_dataset(
     """
     modelling = [*features, target]
     validate_columns(df, modelling)
-    narrowed = missing_to_null(df).distinct().select(*map(quoted, modelling))
-    return usable_rows(narrowed, modelling, target, ranges or {})
+    # Equal rows are usable or not alike, so the filter may stand before the shuffle.
+    usable = usable_rows(missing_to_null(df), modelling, target, ranges or {})
+    return count_copies(usable, modelling).drop(COPIES)

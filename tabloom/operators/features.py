@@ -124,6 +124,7 @@ def numeric_stats(
             F.count(value).alias(f"count_{index}"),
             F.avg(value).alias(f"mean_{index}"),
             F.var_pop(value).alias(f"spread_{index}"),
+            (F.min(value) == F.max(value)).alias(f"constant_{index}"),
             F.approx_count_distinct(value).alias(f"distinct_{index}"),
         ]
     found = df.agg(*wanted).first()
@@ -132,7 +133,10 @@ def numeric_stats(
     medians = exact_medians(df, names, counts, distinct, counted_values)
     stats = []
     for index, name in enumerate(names):
-        if name in medians:
+        if name in medians and found[f"constant_{index}"]:
+            # Its median fills any gap, so it stays constant: centred, not scaled.
+            stats.append(NumericStats(name, medians[name], medians[name], 1.0))
+        elif name in medians:
             present = (counts[name], found[f"mean_{index}"], found[f"spread_{index}"])
             stats.append(_after_imputing(name, found["rows"], present, medians[name]))
     return stats
@@ -147,7 +151,6 @@ def _after_imputing(
     variance = (
         count * (spread + (mean - overall) ** 2) + filled * (median - overall) ** 2
     ) / rows
-    # A constant column is only centred.
     return NumericStats(name, median, overall, variance**0.5 or 1.0)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.columns import quoted
+from tabloom.operators.metrics import refuse_unranked
 from tabloom.operators.position import DIRECT_ROWS, cuts_at_ranks, segment
 
 DECILES = 10
@@ -98,6 +99,7 @@ def lift_top_fractions(
 def _ranked(
     df: DataFrame, score: str, actual: str, tie_break: Sequence[str]
 ) -> tuple[DataFrame, list[str]]:
+    refuse_unranked(df, score)
     ranked = df.select(
         (-quoted(score).cast("double")).alias("__rank"),
         quoted(actual).cast("bigint").alias("actual"),

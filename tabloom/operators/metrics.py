@@ -6,14 +6,16 @@ from counts per distinct score with prefix sums; regression metrics from one agg
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tabloom.functions.columns import field_type, number_of, quoted
+from tabloom.functions.columns import field_type, is_number, number_of, quoted
 from tabloom.spec import (
     CLASSIFICATION,
     CLASSIFICATION_METRICS,
@@ -82,6 +84,15 @@ def class_metrics(classes: DataFrame) -> DataFrame:
     )
 
 
+def _common_type(actual: T.DataType, predicted: T.DataType) -> T.DataType:
+    """A type that holds labels and predictions unchanged, so 0.9 never equals 1 or 0."""
+    if actual == predicted or not (is_number(actual) and is_number(predicted)):
+        return actual
+    if isinstance(actual, T.IntegralType) and isinstance(predicted, T.IntegralType):
+        return T.LongType()
+    return T.DoubleType()
+
+
 def classification_metrics(
     df: DataFrame,
     actual: str,
@@ -97,8 +108,8 @@ def classification_metrics(
     ones scoring 0.
     """
     names = ("precision", "recall", "f1")
-    dtype = field_type(df, actual)
-    typed = df.withColumn(predicted, quoted(predicted).cast(dtype))
+    dtype = _common_type(field_type(df, actual), field_type(df, predicted))
+    typed = df.withColumns({n: quoted(n).cast(dtype) for n in (actual, predicted)})
     scored = class_metrics(class_table(confusion(typed, actual, predicted)))
     if labels is None:
         known, positive = F.lit(True), F.max("label")
@@ -127,7 +138,7 @@ def classification_metrics(
     metrics |= {name: found["top"][name] if found["top"] else 0.0 for name in names}
     if score is not None:
         hits = (quoted(actual) == F.lit(found["positive"]).cast(dtype)).cast("int")
-        ranked = df.select(quoted(score).cast("double").alias("score"), hits.alias("actual"))
+        ranked = typed.select(quoted(score).cast("double").alias("score"), hits.alias("actual"))
         metrics |= ranking_frame(ranked, rows=found["rows"]).first().asDict()
     return metrics
 
@@ -143,13 +154,16 @@ def ranking_frame(
 
     Rows are first combined per distinct score. The scores are then cut into intervals,
     each summed by its own task; interval totals, of which there are few, carry the sums
-    from one interval to the next. NULL where a class is absent. `rows`, if known, saves
-    counting the scores of a small table.
+    from one interval to the next. NULL where a class is absent. Rows without a score, or
+    with NaN for one, have no rank and are refused. `rows`, if known, saves counting the
+    scores of a small table.
     """
     narrow = df.select(
         quoted(score).cast("double").alias("score"), quoted(actual).cast("bigint").alias("actual")
-    ).filter(F.col("score").isNotNull())
-    # Both uses of the counts below share one shuffle: the filter above makes their plans equal.
+    )
+    refuse_unranked(narrow, "score")
+    # Both uses of the counts below share one shuffle: the filter makes their plans equal.
+    narrow = narrow.filter(F.col("score").isNotNull())
     counts = narrow.groupBy("score").agg(
         F.sum("actual").alias("p"), F.sum(1 - F.col("actual")).alias("n")
     )
@@ -199,6 +213,13 @@ def ranking_frame(
     )
 
 
+def refuse_unranked(df: DataFrame, score: str) -> None:
+    value = quoted(score).cast("double")
+    unranked = df.agg(F.count_if(value.isNull() | F.isnan(value))).first()[0]
+    if unranked:
+        raise ValueError(f"{unranked} rows have no score or NaN in {score!r}, so they have no rank")
+
+
 def _score_splits(narrow: DataFrame, scores_per_task: int) -> list[float]:
     """Interval bounds holding about `scores_per_task` distinct scores each."""
     distinct = narrow.agg(F.approx_count_distinct("score").alias("scores")).first()["scores"]
@@ -238,6 +259,30 @@ def regression_frame(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class Evaluation:
+    """What one task can be measured by: the names it may be asked for, and how to get them."""
+
+    names: tuple[str, ...]
+    measure: Callable[..., dict[str, float]]
+
+
+def _measure_classes(df, wanted, actual, predicted, score, labels) -> dict[str, float]:
+    ranking = {"roc_auc", "average_precision"} & set(wanted)
+    scored = score if ranking and score in df.columns else None
+    return classification_metrics(df, actual, predicted, scored, labels)
+
+
+def _measure_numbers(df, wanted, actual, predicted, score, labels) -> dict[str, float]:
+    return regression_metrics(df, actual, predicted)
+
+
+EVALUATIONS = {
+    CLASSIFICATION: Evaluation(CLASSIFICATION_METRICS, _measure_classes),
+    REGRESSION: Evaluation(REGRESSION_METRICS, _measure_numbers),
+}
+
+
 def evaluate_predictions(
     df: DataFrame,
     task: str,
@@ -247,22 +292,15 @@ def evaluate_predictions(
     score: str = "score",
     labels: Sequence[Any] | None = None,
 ) -> dict[str, float]:
-    """The requested metrics, in the requested order."""
-    if task == CLASSIFICATION:
-        check_metric_names(tuple(names), CLASSIFICATION_METRICS, task)
-        ranked = score if score in df.columns and _ranking_wanted(names) else None
-        available = classification_metrics(df, actual, predicted, ranked, labels)
-    elif task == REGRESSION:
-        check_metric_names(tuple(names), REGRESSION_METRICS, task)
-        available = regression_metrics(df, actual, predicted)
-    else:
-        raise ValueError(f"unknown task {task!r}")
-    check_metric_names(tuple(names), available, task)
-    return {name: available[name] for name in names}
-
-
-def _ranking_wanted(names: Sequence[str]) -> bool:
-    return "roc_auc" in names or "average_precision" in names
+    """The metrics called `names`, in that order, by the evaluation registered for the task."""
+    evaluation = EVALUATIONS.get(task)
+    if evaluation is None:
+        raise ValueError(f"no evaluation for task {task!r}; there are {sorted(EVALUATIONS)}")
+    wanted = tuple(names)
+    check_metric_names(wanted, evaluation.names, task)
+    found = evaluation.measure(df, wanted, actual, predicted, score, labels)
+    check_metric_names(wanted, found, task)
+    return dict(zip(wanted, map(found.__getitem__, wanted), strict=True))
 
 
 def metrics_frame(spark: SparkSession, metrics: Mapping[str, float]) -> DataFrame:

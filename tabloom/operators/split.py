@@ -13,7 +13,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.functions.columns import any_of, quoted, row_key, split_hash
+from tabloom.functions.columns import quoted, row_key, split_hash
 from tabloom.operators.position import HASH, cuts_at_ranks, hash_cuts, hash_segment, segment
 from tabloom.spec import CLASSIFICATION, TEMPORAL, TableSpec
 
@@ -38,11 +38,8 @@ def class_sizes(df: DataFrame, target: str) -> dict[Any, int]:
 def held_out_rows(rows: int, test_size: float) -> int:
     """Rows to hold out, rounded up; both halves must keep at least one."""
     test = math.ceil(rows * test_size)
-    if test < 1 or rows - test < 1:
-        raise ValueError(
-            f"test_size={test_size} would split {rows} rows into {rows - test} training "
-            f"and {test} test rows; both need at least one"
-        )
+    if not 0 < test < rows:
+        raise ValueError(f"no hold-out of {rows} rows is possible with test_size={test_size}")
     return test
 
 
@@ -71,6 +68,7 @@ def hold_out_random(
 ) -> DataFrame:
     _check_free(df, IS_TEST)
     hashed, group = _hashed(df, key, seed, stratify)
+    _refuse_unidentified(hashed)
     sizes = class_sizes(hashed, group)
     rows = sum(sizes.values())
     test = held_out_rows(rows, test_size)
@@ -99,7 +97,7 @@ def hold_out_latest(
     """Hold out the last rows in order, so training never sees the future."""
     _check_free(df, IS_TEST)
     ordered, keys = _ordered(df, order_by, id_cols)
-    rows = _count_ordered(ordered, order_by)
+    rows = _count_ordered(ordered, keys)
     boundary = rows - held_out_rows(rows, test_size)
     cut = cuts_at_ranks(ordered.select(*keys), keys, [boundary], rows)[boundary]
     marked = ordered.withColumn(IS_TEST, ~cut.covers(ordered, keys))
@@ -109,6 +107,7 @@ def hold_out_latest(
 def k_folds(df: DataFrame, folds: int, seed: int, key: Column, repeat: int = 0) -> DataFrame:
     """Add `fold`: equal random parts, the first `rows % folds` of them one larger."""
     hashed, group = _hashed(df, key, f"{seed}:{repeat}", None)
+    _refuse_unidentified(hashed)
     return _assign_folds(df, hashed, group, class_sizes(hashed, group), folds)
 
 
@@ -117,6 +116,7 @@ def stratified_k_folds(
 ) -> DataFrame:
     """Add `fold`: random parts that keep the class shares."""
     hashed, group = _hashed(df, key, f"{seed}:{repeat}", target)
+    _refuse_unidentified(hashed)
     sizes = class_sizes(hashed, group)
     if max(sizes.values(), default=0) < folds:
         raise ValueError(f"every class has fewer than {folds} rows, one per fold")
@@ -162,7 +162,7 @@ def rolling_origin(
     """
     _check_free(df, FOLD)
     ordered, keys = _ordered(df, order_by, id_cols)
-    rows = _count_ordered(ordered, order_by)
+    rows = _count_ordered(ordered, keys)
     block = rows // (folds + 1)
     if folds < 2 or block < 1:
         raise ValueError(f"cannot make {folds} rolling folds of {rows} rows")
@@ -200,11 +200,17 @@ def _ordered(
     return df.withColumn(HASH, row_key(df)), [*keys, HASH]
 
 
-def _count_ordered(df: DataFrame, order_by: Sequence[str]) -> int:
-    unplaced = any_of([quoted(name).isNull() for name in order_by])
-    counted = df.agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if(unplaced).alias("unplaced")
-    ).first()
-    if counted["unplaced"]:
-        raise ValueError(f"{counted['unplaced']} rows have no value in order_by {list(order_by)}")
-    return counted["rows"]
+def _count_ordered(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of the table; every sort key must have a value, or a row has no side to be on."""
+    unplaced = [F.count_if(quoted(name).isNull()) for name in keys]
+    rows, *empty = df.agg(F.count(F.lit(1)), *unplaced).first()
+    lacking = {name: count for name, count in zip(keys, empty, strict=True) if count}
+    if lacking:
+        raise ValueError(f"rows without a value in the columns that order or identify them: {lacking}")
+    return rows
+
+
+def _refuse_unidentified(hashed: DataFrame) -> None:
+    nameless = hashed.agg(F.count_if(F.col(HASH).isNull())).first()[0]
+    if nameless:
+        raise ValueError(f"{nameless} rows have no row key: a column of id_cols is empty there")

@@ -9,7 +9,14 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.columns import missing_to_null, quoted, row_key
 from tabloom.operators.clean import encode_target, usable_rows, validate_columns
-from tabloom.operators.quality import COPIES, PROCESSED, RAW, Report, count_copies, validate_dataset
+from tabloom.operators.quality import (
+    COPIES,
+    PROCESSED,
+    RAW,
+    StageResult,
+    count_copies,
+    validate_dataset,
+)
 from tabloom.operators.split import ROW_KEY
 from tabloom.sources.work import WorkArea
 from tabloom.spec import TableSpec
@@ -23,7 +30,7 @@ class Staged:
     spec: TableSpec
     raw_columns: int
 
-    def raw_report(self) -> Report:
+    def raw_report(self) -> StageResult:
         return validate_dataset(self.table, self.spec, RAW, columns=self.raw_columns)
 
     def cleaned(self) -> DataFrame:
@@ -33,7 +40,7 @@ class Staged:
         validate_columns(rows, spec.modelling_columns)
         return usable_rows(rows, spec.modelling_columns, spec.target, spec.value_ranges)
 
-    def processed_report(self) -> Report:
+    def processed_report(self) -> StageResult:
         return validate_dataset(narrowed(self.cleaned(), self.spec), self.spec, PROCESSED)
 
 
@@ -46,14 +53,14 @@ def stage(raw: DataFrame, spec: TableSpec, area: WorkArea) -> Staged:
     validate_columns(raw, [*spec.id_cols, *spec.order_by])
     if spec.target in raw.columns:
         raw = encode_target(raw, spec.target, spec.target_mapping)
-    counted = count_copies(missing_to_null(raw))
-    keyed = counted.withColumn(ROW_KEY, row_key(counted.drop(COPIES), spec.id_cols))
+    plain = missing_to_null(raw)
+    keyed = plain.withColumn(ROW_KEY, row_key(plain, spec.id_cols))
     kept = [
         name
         for name in dict.fromkeys([*spec.modelling_columns, *spec.order_by, *spec.id_cols])
         if name in raw.columns
     ]
-    table = area.table(keyed.select(*map(quoted, kept), ROW_KEY, COPIES), "staged")
+    table = area.table(count_copies(keyed, [*kept, ROW_KEY]), "staged")
     return Staged(table, spec, len(raw.columns))
 
 

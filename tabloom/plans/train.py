@@ -5,19 +5,19 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.columns import quoted
 from tabloom.operators.metrics import evaluate_predictions
 from tabloom.operators.pipeline import TabularPipeline, known_labels, save_pipeline
-from tabloom.operators.quality import Report, gate, issues_frame, stage_summary
+from tabloom.operators.quality import StageResult, class_shares, gate, issues_frame, stage_summary
 from tabloom.operators.split import IS_TEST, hold_out
 from tabloom.plans.predict import predict
-from tabloom.plans.prepare import narrowed, stage, staged_key
+from tabloom.plans.prepare import Staged, narrowed, stage, staged_key
 from tabloom.sources.work import WorkArea
 from tabloom.sources.writers import append_evidence, new_run_id, save_dataset, save_metrics
-from tabloom.spec import TableSpec
+from tabloom.spec import CLASSIFICATION, TableSpec
 
 
 @dataclass(frozen=True)
@@ -29,6 +29,7 @@ class Outputs:
     runs: str | None = None
     issues: str | None = None
     stages: str | None = None
+    classes: str | None = None
     fmt: str = "parquet"
 
 
@@ -42,12 +43,11 @@ def run_training(raw: DataFrame, spec: TableSpec, outputs: Outputs | None = None
     with WorkArea(spark, "train") as area:
         staged = stage(raw, spec, area)
         reports = [staged.raw_report()]
-        if reports[0].blocks:
-            record_evidence(spark, reports, outputs, run_id)
-            gate(reports[0])
-        reports.append(staged.processed_report())
-        record_evidence(spark, reports, outputs, run_id)
-        gate(reports[1])
+        if not reports[0].refused_for():
+            reports.append(staged.processed_report())
+        record_evidence(staged, reports, outputs, run_id)
+        for report in reports:
+            gate(report)
 
         cleaned = staged.cleaned()
         if outputs.processed:
@@ -90,11 +90,15 @@ def evaluate_model(
 
 
 def record_evidence(
-    spark: SparkSession, reports: list[Report], outputs: Outputs, run_id: str
+    staged: Staged, reports: list[StageResult], outputs: Outputs, run_id: str
 ) -> None:
+    """Append findings, stage totals and, for a classification, the shares of all classes."""
+    spark, spec = staged.table.sparkSession, staged.spec
     tables = []
     if outputs.issues:
         tables.append((issues_frame(spark, reports), outputs.issues))
     if outputs.stages:
         tables.append((stage_summary(spark, reports), outputs.stages))
+    if outputs.classes and spec.task == CLASSIFICATION and spec.target in staged.table.columns:
+        tables.append((class_shares(staged.table, spec), outputs.classes))
     append_evidence([(table.withColumn("run_id", F.lit(run_id)), path) for table, path in tables])

@@ -18,6 +18,9 @@ CSV_MISSING = (
 CSV_TRUE = ("True", "TRUE", "true")
 CSV_FALSE = ("False", "FALSE", "false")
 
+# Stands behind the columns of the header and takes what a longer row has there.
+SURPLUS = "__surplus"
+
 INTEGER_TEXT = r"^[+-]?[0-9]+$"
 NUMBER_TEXT = r"(?i)^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|inf|infinity)$"
 
@@ -47,14 +50,16 @@ def load_dataset(
 
 
 def _read_csv_text(spark: SparkSession, path: str, separator: str, multiline: bool) -> DataFrame:
-    raw = spark.read.csv(
-        path, sep=separator, header=True, inferSchema=False, escape='"', multiLine=multiline
-    )
+    """All columns as text. A row with more fields than the header is refused by file name."""
+    settings = {"sep": separator, "header": True, "escape": '"', "multiLine": multiline}
+    names = spark.read.csv(path, inferSchema=False, **settings).columns
+    fields = [T.StructField(name, T.StringType()) for name in (*names, SURPLUS)]
+    raw = spark.read.csv(path, schema=T.StructType(fields), enforceSchema=True, **settings)
+    ragged = raw.filter(quoted(SURPLUS).isNotNull()).select(F.input_file_name()).limit(1).collect()
+    if ragged:
+        raise ValueError(f"a row has more than the {len(names)} fields of the header in {ragged[0][0]}")
     return raw.select(
-        *(
-            F.when(~quoted(name).isin(*CSV_MISSING), quoted(name)).alias(name)
-            for name in raw.columns
-        )
+        *(F.when(~quoted(name).isin(*CSV_MISSING), quoted(name)).alias(name) for name in names)
     )
 
 
