@@ -112,18 +112,22 @@ def _with_totals(
 def _skewed_join(df: DataFrame, rates: GroupRates, totals: DataFrame) -> DataFrame:
     """Shuffled join in which neither hot nor missing keys crowd into one task.
 
-    Keys above a thousandth of the rows, at most a thousand of them, are looked up by
-    broadcast. Their rows and those without a key need nothing from the shuffled side, so
-    a salt spreads them evenly; all other rows carry salt 0, as the stored table does.
+    Keys above a thousandth of the rows of `df`, at most a thousand of them and known to the
+    rates or not, are looked up by broadcast. Their rows and those without a key need nothing
+    from the shuffled side, so a salt spreads them evenly; all other rows carry salt 0, as the
+    stored table does.
     """
-    is_hot = F.col(ROWS) * HOT_SHARE > rates.rows
-    hot = totals.filter(is_hot).select(
-        F.col("__key").alias("__hot"),
-        F.col(TOTAL).alias("__hot_total"),
-        F.col(ROWS).alias("__hot_rows"),
+    key = quoted(rates.key)
+    if df.isStreaming:  # rows still to come cannot be counted: the training rows stand for them
+        found = totals.filter(F.col(ROWS) * HOT_SHARE > rates.rows).select(F.col("__key").alias("__hot"))
+    else:
+        everything = df.agg(F.count(F.lit(1))).first()[0]
+        counted = df.filter(key.isNotNull()).groupBy(key.alias("__hot")).agg(F.count(F.lit(1)).alias("__n"))
+        found = counted.filter(F.col("__n") * HOT_SHARE > everything).select("__hot")
+    hot = found.join(totals, F.col("__hot") == F.col("__key"), "left").select(
+        "__hot", F.col(TOTAL).alias("__hot_total"), F.col(ROWS).alias("__hot_rows")
     )
-    cold = totals.filter(~is_hot)
-    first = df.join(F.broadcast(hot), quoted(rates.key) == F.col("__hot"), "left")
+    first = df.join(F.broadcast(hot), key == F.col("__hot"), "left")
     open_key = F.when(F.col("__hot").isNull(), quoted(rates.key))
     plain = [f.name for f in df.schema.fields if isinstance(f.dataType, T.AtomicType)]
     spread = F.pmod(F.xxhash64(*map(quoted, plain)), F.lit(SALTS))
@@ -132,7 +136,7 @@ def _skewed_join(df: DataFrame, rates: GroupRates, totals: DataFrame) -> DataFra
     )
     same = (F.col("__open") == F.col("__key")) & (F.col(SALT) == F.col("salt"))
     return (
-        salted.join(cold, same, "left")
+        salted.join(totals, same, "left")
         .withColumn(TOTAL, F.coalesce(TOTAL, "__hot_total"))
         .withColumn(ROWS, F.coalesce(ROWS, "__hot_rows"))
         .drop("__hot", "__hot_total", "__hot_rows", "__open", "__key", "salt", SALT)

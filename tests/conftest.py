@@ -39,30 +39,25 @@ def area(spark):
         yield held
 
 
-def delivery_table(rows: int = 120) -> pd.DataFrame:
-    """Short express deliveries are late: a rule that a model can learn."""
-    number = pd.Series(range(rows))
-    distance = number * 29 % 71 + 1.0
-    express = number * 7 % 13 < 7
-    return pd.DataFrame(
-        {
-            "distance": distance,
-            "weight": number * 61 % 100 + number / 1000,
-            "service": express.map({True: "express", False: "standard"}),
-            "late": (express & (distance < 40)).astype(int),
-        }
-    )
+def batches(rows: int = 210) -> pd.DataFrame:
+    """Dairy batches in the order they were made; sour ones follow from vessel, acid and days."""
+    i = pd.Series(range(rows))
+    vessel = (i * 11 % 17).map(lambda k: ("steel", "glass", "oak")[0 if k < 9 else 1 if k < 13 else 2])
+    acid, days = i * 83 % 199 / 20, i * 31 % 23
+    sour = ((vessel == "oak") & (days > 7)) | (acid > 7.5)
+    return pd.DataFrame({"made": i, "acid": acid, "days": days, "vessel": vessel, "sour": sour.astype(int)})
 
 
-def delivery_spec(**changes) -> TableSpec:
+def batch_spec(**changes) -> TableSpec:
     settings = {
-        "target": "late",
-        "numerical": ("distance", "weight"),
-        "categorical": ("service",),
-        "test_size": 0.25,
-        "params": {"n_estimators": 5, "max_depth": 2},
-        "metrics": ("accuracy", "f1", "roc_auc"),
-        "min_rows": 10,
+        "target": "sour",
+        "numerical": ("acid", "days"),
+        "categorical": ("vessel",),
+        "id_cols": ("made",),
+        "test_size": 0.3,
+        "params": {"n_estimators": 8, "max_depth": 3},
+        "metrics": ("recall", "accuracy", "average_precision"),
+        "min_rows": 40,
     }
     return TableSpec(**{**settings, **changes})
 
