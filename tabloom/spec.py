@@ -102,10 +102,10 @@ class TableSpec:
     def _check_target_mapping(self) -> None:
         if any(isinstance(label, bool) for label in self.target_mapping):
             raise ValueError("target_mapping keys must not be booleans; write text labels as text")
-        uneven = sorted(str(code) for code in self.target_mapping.values() if int(code) != code)
+        uneven = sorted(str(code) for code in self.target_mapping.values() if float(code) % 1)
         if uneven:
             raise ValueError(f"target_mapping codes must be whole numbers, not {uneven}")
-        codes = {label: int(code) for label, code in self.target_mapping.items()}
+        codes = {label: int(float(code)) for label, code in self.target_mapping.items()}
         object.__setattr__(self, "target_mapping", codes)
 
     def _check_limits(self) -> None:

@@ -43,6 +43,15 @@ def test_missing_tokens_become_null(spark, tmp_path):
     assert [tuple(row) for row in rows] == [(None, "x"), (None, None), (None, None)]
 
 
+def test_a_row_longer_than_the_header_is_refused_by_file(spark, tmp_path):
+    path = write_text(tmp_path, "a,b\n1,2\n3,4,5\n")
+    for schema in (None, spark.createDataFrame([], "a int, b int").schema):
+        with pytest.raises(ValueError, match="more than the 2 fields.*table.csv"):
+            load_dataset(spark, path, schema=schema)
+    short = write_text(tmp_path, "a,b\n1,2\n3\n")
+    assert sorted(map(tuple, load_dataset(spark, short).collect())) == [(1, 2.0), (3, None)]
+
+
 def test_separator_and_given_schema(spark, tmp_path):
     path = write_text(tmp_path, "a;b\n1;2\n3;x\n")
     assert load_dataset(spark, path, separator=";").columns == ["a", "b"]

@@ -106,3 +106,8 @@ def test_further_models_can_be_registered(spark):
         assert built.getMaxIter() == 3
     finally:
         del models.FAMILIES["linear", "regression"]
+
+
+def test_fractional_codes_are_refused():
+    with pytest.raises(ValueError, match="whole numbers.*1.9"):
+        TableSpec(**BASE, target_mapping={"a": 0, "b": 1.9})

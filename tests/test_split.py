@@ -29,26 +29,34 @@ def held(df):
     return sorted(row["k"] for row in df.filter("is_test").collect())
 
 
-@pytest.mark.parametrize(("rows", "size", "test"), [(30, 0.15, 5), (50, 0.01, 1), (120, 0.25, 30)])
-def test_both_strategies_round_the_held_out_count_up(spark, rows, size, test):
+@pytest.mark.parametrize("rows", [2, 7, 64, 101])
+@pytest.mark.parametrize("size", [0.07, 1 / 3, 0.5])
+def test_the_held_out_count_is_rounded_up(spark, rows, size):
     table = rows_table(spark, rows)
+    test = next(n for n in range(rows + 1) if n >= rows * size)
     assert len(held(split.hold_out_random(table, size, 42, key(table)))) == test
     assert held(split.hold_out_latest(table, size, ["k"])) == list(range(rows - test, rows))
 
 
-def test_an_empty_half_is_refused(spark):
-    table = rows_table(spark, 50)
-    with pytest.raises(ValueError, match="test_size"):
-        split.hold_out_latest(table, 0.99, ["k"])
-    with pytest.raises(ValueError, match="test_size"):
-        split.hold_out_random(table, 0.99, 42, key(table))
+def test_no_half_may_be_empty(spark):
+    table = rows_table(spark, 8)
+    for hold_out in (
+        lambda size: split.hold_out_latest(table, size, ["k"]),
+        lambda size: split.hold_out_random(table, size, 42, key(table)),
+    ):
+        assert len(held(hold_out(0.87))) == 7
+        with pytest.raises(ValueError, match="no hold-out of 8 rows"):
+            hold_out(0.88)
 
 
-def test_class_shares_are_kept(spark):
-    table = rows_table(spark, 120, 24)
-    marked = split.hold_out_random(table, 0.25, 42, key(table), "y")
-    counts = {(r["y"], r["is_test"]): r["count"] for r in marked.groupBy("y", "is_test").count().collect()}
-    assert counts == {(1, True): 6, (1, False): 18, (0, True): 24, (0, False): 72}
+@pytest.mark.parametrize("positives", [13, 50, 97])
+def test_class_shares_are_kept(spark, positives):
+    """Each class gives its share of the 39 held-out rows, within one row."""
+    table = rows_table(spark, 130, positives)
+    marked = split.hold_out_random(table, 0.3, 42, key(table), "y").filter("is_test")
+    counts = {r["y"]: r["count"] for r in marked.groupBy("y").count().collect()}
+    assert sum(counts.values()) == 39
+    assert abs(counts[1] - positives * 0.3) < 1
 
 
 def test_strata_too_small_are_refused(spark):
@@ -99,10 +107,31 @@ def test_a_column_of_the_result_name_is_refused(spark):
             call()
 
 
-def test_rows_without_a_place_in_time_are_refused(spark):
-    table = frame(spark, {"k": [1, None, 3]}, "k int")
-    with pytest.raises(ValueError, match="1 rows have no value"):
-        split.hold_out_latest(table, 0.3, ["k"])
+@pytest.mark.parametrize("at", [0, 17_999, 41_999, 42_000, 59_999])
+def test_a_row_without_id_is_refused_wherever_it_stands(spark, at):
+    """All rows share the order value, so only the id can place them."""
+    table = spark.range(60_000).select(
+        F.lit(1).alias("day"), F.when(F.col("id") != at, F.col("id")).alias("k"), F.lit("x").alias("part")
+    )
+    for call in (
+        lambda: split.hold_out_latest(table, 0.3, ["day"], ["k"]),
+        lambda: split.rolling_origin(table, 4, ["day"], ["k"]),
+        lambda: split.rolling_origin(table, 4, ["k"]),
+    ):
+        with pytest.raises(ValueError, match=r"order or identify them: \{'k': 1\}"):
+            call()
+    for ids in (["k"], ["part", "k"]):
+        with pytest.raises(ValueError, match="1 rows have no row key"):
+            split.hold_out_random(table, 0.3, 42, row_key(table, ids))
+        with pytest.raises(ValueError, match="1 rows have no row key"):
+            split.k_folds(table, 4, 42, row_key(table, ids))
+
+
+def test_ties_in_time_are_cut_by_id(spark):
+    table = spark.range(3000).select((F.col("id") % 3).alias("day"), F.col("id").alias("k"))
+    marked = split.hold_out_latest(table, 0.45, ["day"], ["k"])
+    order = sorted(range(3000), key=lambda i: (i % 3, i))
+    assert held(marked) == sorted(order[-1350:])
 
 
 @pytest.mark.parametrize("cast", ["int", "double", "decimal(12,3)", "string", "date", "timestamp", "timestamp_ntz"])
