@@ -11,19 +11,20 @@ import re
 from collections.abc import Callable, Sequence
 from dataclasses import replace
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.functions.columns import row_key
 from tabloom.operators import clean, features, group_rate, lift, metrics, quality, split
-from tabloom.operators.pipeline import load_pipeline
+from tabloom.operators.pipeline import FEATURES, LABEL, fit_encoder, load_pipeline
 from tabloom.plans.crossval import cross_validate, summarize
 from tabloom.plans.lift_report import lift_report
-from tabloom.plans.predict import predict
-from tabloom.plans.prepare import stage
+from tabloom.plans.predict import predict, run_prediction
+from tabloom.plans.prepare import prepared_data, stage
 from tabloom.plans.train import Outputs, run_training
 from tabloom.sources.readers import load_dataset
-from tabloom.sources.work import WorkArea, work_path
+from tabloom.sources.work import WorkArea, path_exists
 from tabloom.sources.writers import save_dataset
 from tabloom.spec import TableSpec, ValueRange
 
@@ -56,13 +57,12 @@ _VIEWS = {
     "lineitem_pred": """
         SELECT l_extendedprice AS actual, l_quantity * CAST(1500 AS DOUBLE) AS predicted
         FROM lineitem""",
-    # Labels that follow a rule, so that a model has something to learn.
+    # Labels that follow from the priority alone, so that SQL can state what a model must find.
     "learnable": """
         SELECT o_orderkey, o_custkey, o_orderdate, o_totalprice, o_orderpriority,
-          CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_totalprice < 300000
-               THEN 1 ELSE 0 END AS label,
+          CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END AS label,
           CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 2
-               WHEN o_totalprice < 200000 THEN 1 ELSE 0 END AS grade,
+               WHEN o_orderpriority = '3-MEDIUM' THEN 1 ELSE 0 END AS grade,
           o_totalprice / CAST(1000 AS DOUBLE)
             + CASE WHEN o_orderpriority = '1-URGENT' THEN 100 ELSE 0 END AS amount
         FROM orders""",
@@ -99,6 +99,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _kept(spark: SparkSession, name: str) -> str:
+    """A path for files that go when the process ends."""
+    return f"{WorkArea.until_exit(spark, name).path}/{name}"
+
+
 def _with_view(name: str, body: str) -> str:
     chain = [_USES[name], name] if name in _USES else [name]
     views = ", ".join(f"{view} AS ({_VIEWS[view]})" for view in chain)
@@ -137,7 +142,7 @@ LEARNABLE = TableSpec(
 
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     dirty = _view(spark, sf_dir, "orders_dirty")
-    path = work_path(spark, "csv")
+    path = _kept(spark, "csv")
     save_dataset(dirty.withColumn("o_orderdate", F.to_date("o_orderdate")), path, "csv")
     return load_dataset(spark, path)
 
@@ -293,7 +298,7 @@ def folds_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _dirty_halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     dirty = _view(spark, sf_dir, "orders_dirty").distinct()
     usable = clean.usable_rows(dirty, DIRTY.modelling_columns, "label", DIRTY.value_ranges)
-    usable = WorkArea(spark, "usable").table(usable, "usable")
+    usable = WorkArea.until_exit(spark, "usable").table(usable, "usable")
     return usable.filter("o_orderdate < timestamp_ntz'1997-01-01'"), usable
 
 
@@ -320,7 +325,7 @@ def impute_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trained without '5-LOW', which therefore encodes to zeros."""
+    """The ones of the encoding, trained without '5-LOW', which therefore has none."""
     train, everything = _dirty_halves(spark, sf_dir)
     known = train.filter("priority <> '5-LOW' OR priority IS NULL")
     (stats,) = features.category_stats(known, ["priority"])
@@ -354,7 +359,7 @@ def group_rate_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
 def group_rate_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Held-out rows encoded from training rows, unseen groups imputed."""
     baskets = _view(spark, sf_dir, "baskets")
-    area = WorkArea(spark, "halves")
+    area = WorkArea.until_exit(spark, "halves")
     baskets = area.table(baskets, "baskets")
     halves = split.hold_out_latest(baskets, 0.2, ["o_orderdate"], ["o_orderkey"])
     train, test = halves.filter("NOT is_test"), halves.filter("is_test")
@@ -427,7 +432,7 @@ def lift_top_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _trained(spark: SparkSession, sf_dir: str, spec: TableSpec) -> DataFrame:
     found = run_training(_view(spark, sf_dir, "learnable"), spec)
-    return metrics.metrics_frame(spark, found)
+    return _rounded(metrics.metrics_frame(spark, found), ["value"])
 
 
 def train_gbt_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -440,7 +445,15 @@ def train_gbt_multiclass(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def train_gbt_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spec = replace(LEARNABLE, target="amount", task="regression", metrics=("mae", "rmse", "r2"))
+    """One tree deep enough to tell all priorities apart: it predicts their training means."""
+    spec = replace(
+        LEARNABLE,
+        target="amount",
+        task="regression",
+        numerical=(),
+        params={"n_estimators": 1, "max_depth": 5, "learning_rate": 1.0},
+        metrics=("mae", "rmse", "r2"),
+    )
     return _trained(spark, sf_dir, spec)
 
 
@@ -451,28 +464,135 @@ def train_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
 def predict_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Train, save, reload, and score every order, a customer rate included."""
     spec = replace(LEARNABLE, group_keys=("o_custkey",))
-    path = work_path(spark, "model")
+    path = _kept(spark, "model")
     learnable = _view(spark, sf_dir, "learnable")
     run_training(learnable, spec, Outputs(model=path))
-    return predict(load_pipeline(spark, path), learnable.drop("label"), spec.features)
+    scored = predict(load_pipeline(spark, path), learnable.drop("label"), spec.features)
+    return scored.select("o_orderkey", "prediction", (F.col("score") > 0.5).alias("likely"))
+
+
+def prediction_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole prediction job: rows read from files, scored, written and read again."""
+    spec = replace(LEARNABLE, model_type="logistic_regression", params={})
+    model, given, done = (_kept(spark, name) for name in ("model", "given", "done"))
+    learnable = _view(spark, sf_dir, "learnable")
+    run_training(learnable, spec, Outputs(model=model))
+    save_dataset(learnable.drop("label", "grade", "amount"), given, "parquet")
+    run_prediction(spark, spec, model, given, done, "parquet")
+    written = load_dataset(spark, done, "parquet")
+    return written.withColumn("likely", F.col("score") > 0.5).drop("score")
+
+
+def gate_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run that the gate refuses, and the evidence it leaves."""
+    issues, stages, model = (_kept(spark, name) for name in ("issues", "stages", "model"))
+    try:
+        run_training(
+            _view(spark, sf_dir, "orders_dirty"),
+            DIRTY,
+            Outputs(issues=issues, stages=stages, model=model),
+        )
+        refused = False
+    except quality.DataQualityError:
+        refused = True
+    summary = spark.read.parquet(stages).select("stage", "passed", "rows")
+    counted = spark.read.parquet(issues).groupBy("stage").agg(F.count(F.lit(1)).alias("issues"))
+    return summary.join(counted, "stage", "left").withColumn(
+        "refused", F.lit(refused and not path_exists(spark, model))
+    )
+
+
+def encoded_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The encoder fitted on the older rows, applied to all: non-zero entries by name."""
+    train, everything = _dirty_halves(spark, sf_dir)
+    spec = replace(DIRTY, numerical=("total_price", "nothing"), categorical=("priority", "nowhere"))
+    empty = {"nothing": F.lit(None).cast("double"), "nowhere": F.lit(None).cast("string")}
+    train, everything = train.withColumns(empty), everything.withColumns(empty)
+    area = WorkArea.until_exit(spark, "encoder")
+    encoder, _ = fit_encoder(train.withColumn(LABEL, F.col("label").cast("double")), spec, area)
+    names = F.array(*map(F.lit, encoder.feature_names))
+    encoded = encoder.transform(everything).select(
+        "o_orderkey", F.arrays_zip(names.alias("feature"), vector_to_array(FEATURES).alias("value")).alias("v")
+    )
+    cells = encoded.select("o_orderkey", F.explode("v").alias("v")).select("o_orderkey", "v.feature", "v.value")
+    return _rounded(cells.filter("value <> 0"), ["value"]).filter("value <> 0")
+
+
+def quality_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Absent columns, wrong types, values above a bound, and targets absent, empty or constant."""
+    orders = _table(spark, sf_dir, "orders")
+    base = {"target": "o_custkey", "task": "regression", "model_type": "boosted_trees"}
+    cases = {
+        "absent": (orders, {"numerical": ("o_totalprice", "o_weight"), "categorical": ("o_colour",)}),
+        "types": (orders, {"numerical": ("o_orderstatus",), "categorical": ("o_totalprice",)}),
+        "above": (
+            orders,
+            {"numerical": ("o_totalprice",), "value_ranges": {"o_totalprice": ValueRange(maximum=400_000.0)}},
+        ),
+        "no target": (orders.drop("o_custkey"), {"numerical": ("o_totalprice",)}),
+        "empty": (orders.filter("o_orderkey < 0"), {"numerical": ("o_totalprice",)}),
+        "constant": (orders.withColumn("o_custkey", F.lit(4)), {"numerical": ("o_totalprice",)}),
+    }
+    results = [
+        quality.validate_dataset(table, TableSpec(**base, **spec), name)
+        for name, (table, spec) in cases.items()
+    ]
+    return _issues(spark, results)
+
+
+def class_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and share of every class, rare ones marked, however many there are."""
+    spec = TableSpec(
+        target="o_custkey", numerical=("o_totalprice",), min_class_fraction=0.0008
+    )
+    return _rounded(quality.class_shares(_table(spark, sf_dir, "orders"), spec), ["share"])
+
+
+def metrics_number_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels 2 and 10: the positive class is the higher number, not the later text."""
+    scored = _view(spark, sf_dir, "events_scored")
+    numbered = scored.select(
+        *((F.col(n) * 8 + 2).alias(n) for n in ("actual", "predicted")), "score"
+    )
+    found = metrics.classification_metrics(numbered, "actual", "predicted", "score")
+    return _rounded(metrics.metrics_frame(spark, found), ["value"])
+
+
+def constant_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column that never varies but has gaps is centred, not scaled."""
+    orders = _table(spark, sf_dir, "orders")
+    table = orders.select(
+        "o_orderkey", F.when(F.col("o_orderkey") % 3 > 0, F.lit(0.1)).alias("flat")
+    )
+    (stats,) = features.numeric_stats(table, ["flat"])
+    fresh = orders.select("o_orderkey", (F.col("o_totalprice") / 1000).alias("flat"))
+    return _rounded(fresh.withColumn("flat", features.scaled(fresh, stats)), ["flat"])
+
+
+def prepared_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows training would use, with the key that splits them."""
+    with_area = WorkArea.until_exit(spark, "prepared")
+    return prepared_data(_view(spark, sf_dir, "orders_dirty"), DIRTY, with_area)
 
 
 def lift_of_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decile lift of a saved model on the rows its training held out."""
-    path = work_path(spark, "model")
+    path = _kept(spark, "model")
     learnable = _view(spark, sf_dir, "learnable")
     run_training(learnable, LEARNABLE, Outputs(model=path))
-    area = WorkArea(spark, "lift")
-    return lift_report(load_pipeline(spark, path), learnable, LEARNABLE, area)[0]
+    area = WorkArea.until_exit(spark, "lift")
+    table = lift_report(load_pipeline(spark, path), learnable, LEARNABLE, area)[0]
+    return _rounded(table, ["response_rate", "lift", "cumulative_share"])
 
 
 def cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = replace(LEARNABLE, model_type="logistic_regression", params={})
-    return summarize(cross_validate(_view(spark, sf_dir, "learnable"), spec, folds=3))
+    found = summarize(cross_validate(_view(spark, sf_dir, "learnable"), spec, folds=3))
+    return _rounded(found, ["mean", "std", "min", "max"])
 
 
 def cv_leak_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cross-validated accuracy with rates fitted per fold, and computed beforehand."""
+    """Whether rates fitted per fold score below rates computed beforehand, which leak."""
     base = TableSpec(
         target="label",
         group_keys=("household",),
@@ -481,19 +601,18 @@ def cv_leak_check(spark: SparkSession, sf_dir: str) -> DataFrame:
         metrics=("accuracy",),
     )
     table = _view(spark, sf_dir, "households")
-    rates = group_rate.fit_rates(table, "household", "label")
-    leaky = group_rate.encode_leave_one_out(table, rates, "label", "rate", "known")
-    fitted = summarize(cross_validate(table, base, folds=3))
-    precomputed = summarize(
-        cross_validate(leaky, replace(base, group_keys=(), numerical=("rate",)), folds=3)
-    )
-    return fitted.withColumn("rates", F.lit("per_fold")).unionByName(
-        precomputed.withColumn("rates", F.lit("precomputed"))
-    )
+    with WorkArea(spark, "leak") as area:
+        rates = group_rate.fit_rates(table, "household", "label", area)
+        leaky = group_rate.encode_leave_one_out(table, rates, "label", "rate", "known")
+        fitted = summarize(cross_validate(table, base, folds=3)).first()
+        spec = replace(base, group_keys=(), numerical=("rate",))
+        leaked = summarize(cross_validate(leaky, spec, folds=3)).first()
+    row = (fitted["evaluations"], leaked["evaluations"], fitted["mean"] < leaked["mean"])
+    return spark.createDataFrame([row], "per_fold long, precomputed long, leak_shows boolean")
 
 
 def run_record(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = work_path(spark, "runs")
+    path = _kept(spark, "runs")
     spec = replace(LEARNABLE, model_type="logistic_regression", params={"max_iter": 20})
     run_training(_view(spark, sf_dir, "learnable"), spec, Outputs(runs=path))
     return spark.read.parquet(path).select(
@@ -524,6 +643,8 @@ def queries() -> dict[str, Query]:
         metrics_macro, metrics_known_labels, metrics_regression, rank_metrics, lift_deciles,
         lift_top_fractions, train_gbt_binary, train_gbt_multiclass, train_gbt_regression,
         train_logistic, predict_scores, lift_of_model, cross_validation, cv_leak_check, run_record,
+        prediction_files, gate_evidence, encoded_matrix, quality_shapes, class_shares,
+        metrics_number_labels, constant_scale, prepared_rows,
     )
     named = {query.__name__: query for query in listed}
     return named | {"cross_validate": named.pop("cross_validation")} | _corpus("QUERIES")
@@ -669,6 +790,204 @@ _PROCESSED_ISSUES = """found AS (
     UNION ALL SELECT 'target_quality', 'error', 'label', few / n FROM rest WHERE few / n < 0.6)"""
 
 
+def _held_out(target: str | None = None) -> str:
+    """`halves`: the learnable rows and whether training holds them out, a fifth by class."""
+    group = target or "0"
+    return f"""sizes AS (SELECT {group} AS s, count(*) AS c FROM learnable GROUP BY 1),
+      total AS (SELECT sum(c) AS n, sum(c) - ceil(sum(c) * CAST(0.2 AS DOUBLE)) AS train FROM sizes),
+      exact AS (SELECT s, c, train, c / n * train AS e FROM sizes, total),
+      quota AS (SELECT s, c - floor(e) - CASE WHEN row_number() OVER (ORDER BY floor(e) - e, s)
+          <= train - sum(floor(e)) OVER () THEN 1 ELSE 0 END AS t FROM exact),
+      ranked AS (SELECT *, {group} AS s, row_number() OVER (PARTITION BY {group}
+          ORDER BY md5('42:' || CAST(o_orderkey AS VARCHAR))) AS r FROM learnable),
+      halves AS (SELECT ranked.*, r <= t AS is_test FROM ranked JOIN quota USING (s))"""
+
+
+def _usual(target: str, rows: str = "halves WHERE NOT is_test", by: str = "") -> str:
+    """`usual`: the most frequent label of every priority among the training rows."""
+    return f"""usual AS (SELECT {by} o_orderpriority, arg_max({target}, c) AS predicted
+      FROM (SELECT {by} o_orderpriority, {target}, count(*) AS c FROM {rows} GROUP BY ALL) GROUP BY ALL)"""
+
+
+_BINARY_RESULTS = """SELECT metric, round(CAST(value AS DOUBLE), 6) AS value FROM (
+    SELECT * FROM accuracy UNION ALL SELECT 'precision', p FROM scored WHERE label = 1
+    UNION ALL SELECT 'recall', r FROM scored WHERE label = 1
+    UNION ALL SELECT 'f1', f FROM scored WHERE label = 1
+    UNION ALL SELECT 'roc_auc', roc_auc FROM areas
+    UNION ALL SELECT 'average_precision', average_precision FROM areas)"""
+
+
+def _rule_metrics() -> str:
+    ranking = _RANKING.replace("events_scored", "(SELECT actual, predicted AS score FROM rows_)")
+    return _with_view(
+        "learnable",
+        f""", {_held_out("label")}, {_usual("label")},
+          rows_ AS (SELECT label AS actual, predicted FROM halves JOIN usual USING (o_orderpriority)
+            WHERE is_test), {_CLASS_METRICS}, {ranking} {_BINARY_RESULTS}""",
+    )
+
+
+def _model_sql() -> dict[str, str]:
+    """What models that have found the rule answer, stated from the tables."""
+    folds = """fsizes AS (SELECT label AS t, count(*) AS c FROM learnable GROUP BY 1),
+      starts AS (SELECT t, c, sum(c) OVER (ORDER BY t) - c AS start FROM fsizes),
+      shares AS (SELECT t, i AS fold, greatest(0, ceil((c - ((i - start) % 3 + 3) % 3) / 3)) AS share
+        FROM starts, range(3) AS f(i)),
+      ends AS (SELECT t, fold, sum(share) OVER (PARTITION BY t ORDER BY fold) AS last, share FROM shares),
+      places AS (SELECT *, row_number() OVER (PARTITION BY label
+        ORDER BY md5('42:0:' || CAST(o_orderkey AS VARCHAR))) AS r FROM learnable),
+      folded AS (SELECT places.*, fold FROM places JOIN ends ON t = label AND r <= last AND r > last - share),
+      others AS (SELECT f.i AS fold, folded.* EXCLUDE (fold) FROM folded JOIN range(3) AS f(i) ON folded.fold <> f.i)"""
+    return {
+        "train_gbt_binary": _rule_metrics(),
+        "train_logistic": _rule_metrics(),
+        "train_gbt_multiclass": _with_view(
+            "learnable",
+            f""", {_held_out("grade")}, {_usual("grade")},
+              rows_ AS (SELECT grade AS actual, predicted FROM halves JOIN usual USING (o_orderpriority)
+                WHERE is_test), {_macro(3)}""",
+        ),
+        "train_gbt_regression": _with_view(
+            "learnable",
+            f""", {_held_out()},
+              means AS (SELECT o_orderpriority, avg(amount) AS predicted FROM halves WHERE NOT is_test GROUP BY 1),
+              errors AS (SELECT avg(abs(amount - predicted)) AS mae,
+                avg((amount - predicted) * (amount - predicted)) AS mse, var_pop(amount) AS spread
+                FROM halves JOIN means USING (o_orderpriority) WHERE is_test)
+              SELECT metric, round(value, 6) AS value FROM (SELECT 'mae' AS metric, mae AS value FROM errors
+                UNION ALL SELECT 'rmse', sqrt(mse) FROM errors UNION ALL SELECT 'r2', 1 - mse / spread FROM errors)""",
+        ),
+        "predict_scores": _with_view(
+            "learnable",
+            f""", {_held_out("label")}, {_usual("label")}
+              SELECT o_orderkey, predicted AS prediction, predicted = 1 AS likely
+              FROM learnable JOIN usual USING (o_orderpriority)""",
+        ),
+        "prediction_files": _with_view(
+            "learnable",
+            f""", {_held_out("label")}, {_usual("label")}
+              SELECT learnable.* EXCLUDE (label, grade, amount), predicted AS prediction, predicted = 1 AS likely
+              FROM learnable JOIN usual USING (o_orderpriority)""",
+        ),
+        "lift_of_model": _with_view(
+            "learnable",
+            f""", {_held_out("label")}, {_usual("label")},
+              placed AS (SELECT label, ntile(10) OVER (ORDER BY predicted DESC, CAST(o_orderkey AS VARCHAR)) AS decile,
+                count(*) OVER () AS n, sum(label) OVER () AS pos
+                FROM halves JOIN usual USING (o_orderpriority) WHERE is_test)
+              SELECT CAST(decile AS INTEGER) AS decile, count(*) AS rows, CAST(sum(label) AS BIGINT) AS positives,
+                round(sum(label) / count(*), 6) AS response_rate,
+                round(sum(label) / count(*) / any_value(pos / n), 6) AS lift,
+                round(sum(sum(label)) OVER (ORDER BY decile) / any_value(pos), 6) AS cumulative_share
+              FROM placed GROUP BY decile""",
+        ),
+        "cross_validate": _with_view(
+            "learnable",
+            f""", {folds}, {_usual("label", "others", "fold,")},
+              rows_ AS (SELECT fold, label AS actual, predicted FROM folded JOIN usual USING (fold, o_orderpriority)),
+              counts AS (SELECT fold, count(*) AS n, sum(actual) AS pos, sum(predicted) AS claimed,
+                sum(actual * predicted) AS hits, count(*) FILTER (actual = predicted) AS same FROM rows_ GROUP BY fold),
+              parts AS (SELECT fold, predicted AS score, sum(actual) AS p, sum(1 - actual) AS n FROM rows_ GROUP BY ALL),
+              sums AS (SELECT *, sum(p) OVER w AS cp, sum(n) OVER w AS cn FROM parts
+                WINDOW w AS (PARTITION BY fold ORDER BY score DESC)),
+              areas AS (SELECT fold, sum(n * (cp - p / 2)) / (sum(p) * sum(n)) AS roc_auc,
+                sum(p * cp / (cp + cn)) / sum(p) AS average_precision FROM sums GROUP BY fold),
+              found AS (SELECT 'accuracy' AS metric, same / n AS value FROM counts
+                UNION ALL SELECT 'precision', hits / claimed FROM counts
+                UNION ALL SELECT 'recall', hits / pos FROM counts
+                UNION ALL SELECT 'f1', 2 * hits / (claimed + pos) FROM counts
+                UNION ALL SELECT 'roc_auc', roc_auc FROM areas
+                UNION ALL SELECT 'average_precision', average_precision FROM areas)
+              SELECT metric, count(*) AS evaluations, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std,
+                round(min(value), 6) AS min, round(max(value), 6) AS max FROM found GROUP BY metric""",
+        ),
+        # The rule a rate allows: the majority of the household's other rows, known or not.
+        "cv_leak_check": _with_view(
+            "households",
+            """, sizes AS (SELECT label AS t, count(*) AS c FROM households GROUP BY 1),
+              starts AS (SELECT t, c, sum(c) OVER (ORDER BY t) - c AS start FROM sizes),
+              shares AS (SELECT t, i AS fold, greatest(0, ceil((c - ((i - start) % 3 + 3) % 3) / 3)) AS share
+                FROM starts, range(3) AS f(i)),
+              ends AS (SELECT t, fold, sum(share) OVER (PARTITION BY t ORDER BY fold) AS last, share FROM shares),
+              places AS (SELECT *, row_number() OVER (PARTITION BY label
+                ORDER BY md5('42:0:' || CAST(event_id AS VARCHAR))) AS r FROM households),
+              folded AS (SELECT places.*, fold FROM places JOIN ends ON t = label AND r <= last AND r > last - share),
+              rates AS (SELECT a.event_id, any_value(a.label) AS label,
+                  avg(b.label) FILTER (b.event_id <> a.event_id) AS leaky,
+                  avg(b.label) FILTER (b.fold <> a.fold) AS fair
+                FROM folded a JOIN folded b USING (household) GROUP BY a.event_id)
+              SELECT (SELECT count(DISTINCT fold) FROM folded) AS per_fold,
+                (SELECT count(DISTINCT fold) FROM folded) AS precomputed,
+                avg(CAST((coalesce(fair, 0.5) > 0.5) = (label = 1) AS INT))
+                  < avg(CAST((leaky > 0.5) = (label = 1) AS INT)) AS leak_shows FROM rates""",
+        ),
+        "gate_evidence": _dirty_usable(
+            f""", {_RAW_COUNTS}, {_RAW_ISSUES}, {_PROCESSED_COUNTS}, {_PROCESSED_ISSUES},
+              stages AS (SELECT 'raw' AS stage, (SELECT count(*) FROM issues) AS issues, n AS rows,
+                  (SELECT count(*) FROM issues WHERE "check" IN ('schema', 'duplicates')) AS stops FROM counts
+                UNION ALL SELECT 'processed', (SELECT count(*) FROM found), n,
+                  (SELECT count(*) FROM found) FROM rest)
+              SELECT stage, issues = 0 AS passed, rows, CASE WHEN issues > 0 THEN issues END AS issues,
+                (SELECT sum(stops) > 0 FROM stages) AS refused FROM stages
+              WHERE stage = 'raw' OR (SELECT stops = 0 FROM stages WHERE stage = 'raw')"""
+        ),
+        "quality_shapes": """WITH counts AS (SELECT count(*) AS n,
+              count(*) FILTER (o_totalprice > 400000) AS above, count(o_totalprice) AS numbers,
+              count(TRY_CAST(o_orderstatus AS DOUBLE)) AS statuses FROM orders),
+            columns AS (SELECT column_name AS c FROM (DESCRIBE orders)),
+            absent AS (SELECT count(*) AS k FROM (SELECT unnest(['o_totalprice', 'o_weight', 'o_colour', 'o_custkey']) AS c)
+              WHERE c NOT IN (SELECT c FROM columns))
+          SELECT 'absent' AS stage, 'schema' AS "check", 'error' AS severity, CAST(NULL AS VARCHAR) AS "column",
+            CAST(k AS DOUBLE) AS observed FROM absent WHERE k > 0
+          UNION ALL SELECT 'types', 'data_types', 'error', 'o_orderstatus', NULL FROM counts WHERE statuses = 0
+          UNION ALL SELECT 'types', 'data_types', 'warning', 'o_totalprice', NULL FROM counts WHERE numbers = n
+          UNION ALL SELECT 'above', 'invalid_values', 'error', 'o_totalprice', above FROM counts WHERE above > 0
+          UNION ALL SELECT 'no target', 'schema', 'error', NULL, count(*) FROM columns WHERE c = 'o_custkey'
+          UNION ALL SELECT 'no target', 'target_quality', 'error', 'o_custkey', NULL FROM columns WHERE c = 'o_custkey'
+          UNION ALL SELECT 'empty', 'minimum_rows', 'error', NULL, count(*) FROM orders WHERE o_orderkey < 0
+          UNION ALL SELECT 'empty', 'target_quality', 'error', 'o_custkey', NULL
+            FROM (SELECT count(*) AS k FROM orders WHERE o_orderkey < 0) WHERE k = 0
+          UNION ALL SELECT 'constant', 'target_quality', 'error', 'o_custkey', count(DISTINCT 4)
+            FROM orders HAVING count(*) > 0""",
+        "class_shares": """SELECT CAST(o_custkey AS VARCHAR) AS label, count(*) AS rows,
+              round(count(*) / any_value(n), 6) AS share,
+              count(*) / any_value(n) < CAST(0.0008 AS DOUBLE) AS rare
+            FROM (SELECT o_custkey, count(*) OVER () AS n FROM orders) GROUP BY 1""",
+        "metrics_number_labels": _with_view(
+            "events_scored",
+            f""", rows_ AS (SELECT actual, predicted FROM events_scored), {_CLASS_METRICS},
+              {_RANKING} {_BINARY_RESULTS}""",
+        ),
+        "constant_scale": """SELECT o_orderkey, round(o_totalprice / 1000 - (SELECT CASE WHEN min(x) = max(x)
+              THEN min(x) END FROM (SELECT CASE WHEN o_orderkey % 3 > 0 THEN CAST(0.1 AS DOUBLE) END AS x
+              FROM orders)), 6) AS flat FROM orders""",
+        "prepared_rows": _dirty_usable(
+            """SELECT total_price, priority, o_custkey, label, o_orderdate, o_orderkey,
+              CAST(o_orderkey AS VARCHAR) AS __row_key FROM usable"""
+        ),
+        "encoded_matrix": _dirty_usable(
+            f""", sums AS (SELECT o_custkey AS k, sum(label) AS s, count(*) AS n FROM train GROUP BY 1),
+              loo AS (SELECT CASE WHEN n > 1 THEN (s - label) / (n - 1) END AS rate FROM train JOIN sums ON k = o_custkey),
+              middle AS (SELECT quantile_cont(rate, 0.5) AS rate FROM loo),
+              fill AS (SELECT arg_max(priority, (c, hexed)) AS priority FROM (SELECT priority, count(*) AS c,
+                -row_number() OVER (ORDER BY priority) AS hexed FROM train WHERE priority IS NOT NULL GROUP BY 1)),
+              trained AS (SELECT DISTINCT priority FROM train WHERE priority IS NOT NULL),
+              cells AS (
+                SELECT o_orderkey, 'numerical__total_price' AS feature,
+                  (coalesce(total_price, a.med) - a.mean) / a.scale AS value
+                  FROM usable, {_numeric_constants("total_price")} AS a
+                UNION ALL SELECT o_orderkey, 'categorical__priority_' || p, 1 FROM (SELECT o_orderkey,
+                  coalesce(priority, (SELECT priority FROM fill)) AS p FROM usable)
+                  WHERE p IN (SELECT priority FROM trained)
+                UNION ALL SELECT o_orderkey, 'group:o_custkey__o_custkey',
+                  coalesce(s / n, (SELECT rate FROM middle)) FROM usable LEFT JOIN sums ON k = o_custkey
+                UNION ALL SELECT o_orderkey, 'group:o_custkey__o_custkey_known', 1 FROM usable JOIN sums ON k = o_custkey)
+              SELECT o_orderkey, feature, round(CAST(value AS DOUBLE), 6) AS value FROM cells
+              WHERE round(CAST(value AS DOUBLE), 6) <> 0"""
+        ),
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     events_ranked = """SELECT actual, score, event_id,
         row_number() OVER (ORDER BY score DESC, event_id) AS r,
@@ -799,9 +1118,8 @@ def oracle_sql() -> dict[str, str]:
             """, known AS (SELECT priority, count(*) AS c FROM train
                 WHERE priority <> '5-LOW' GROUP BY 1),
               fill AS (SELECT priority AS f FROM known ORDER BY c DESC, priority LIMIT 1)
-              SELECT o_orderkey, known.priority AS category,
-                CASE WHEN coalesce(usable.priority, f) = known.priority THEN 1 ELSE 0 END AS value
-              FROM usable, known, fill"""
+              SELECT o_orderkey, coalesce(usable.priority, f) AS category, 1 AS value
+              FROM usable, fill WHERE coalesce(usable.priority, f) IN (SELECT priority FROM known)"""
         ),
         "group_rate_fit": """SELECT user_id, CAST(count(*) FILTER (event_type = 'purchase')
               AS BIGINT) AS total, count(*) AS rows FROM events GROUP BY 1""",
@@ -890,4 +1208,4 @@ def oracle_sql() -> dict[str, str]:
               CAST(count(*) - ceil(count(*) * CAST(0.2 AS DOUBLE)) AS BIGINT) AS train_rows,
               CAST(ceil(count(*) * CAST(0.2 AS DOUBLE)) AS BIGINT) AS test_rows,
               CAST(6 AS BIGINT) AS metrics, true AS learned FROM orders""",
-    } | _corpus("ORACLES")
+    } | _model_sql() | _corpus("ORACLES")

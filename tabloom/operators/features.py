@@ -195,8 +195,7 @@ def filled(stats: CategoryStats) -> Column:
 
 
 def one_hot_long(df: DataFrame, key: str, stats: CategoryStats) -> DataFrame:
-    """One row per row and trained value with a 0/1 cell; an untrained value has only zeros."""
-    value = F.array(*(F.lit(text) for text in stats.values))
-    cells = df.select(quoted(key), filled(stats).alias("__value"), F.explode(value).alias("category"))
-    hit = (F.col("__value") == F.col("category")).cast("int")
-    return cells.select(quoted(key), "category", hit.alias("value"))
+    """The ones of the encoding: a row for each row of `df` whose value was trained."""
+    cells = df.select(quoted(key), filled(stats).alias("category"), F.lit(1).alias("value"))
+    trained = df.sparkSession.createDataFrame([(v,) for v in stats.values], "category string")
+    return cells.join(trained, "category", "left_semi").select(quoted(key), "category", "value")

@@ -64,7 +64,7 @@ def fit_rates(
     if target is None or target not in df.columns:
         raise ValueError(f"group rates of {key!r} need the target column")
     totals = group_totals(df, key, target).withColumn("salt", F.lit(0).cast("bigint"))
-    area = area or WorkArea(df.sparkSession, "rates")
+    area = area or WorkArea.until_exit(df.sparkSession, "rates")
     return GroupRates.from_table(key, area.table(totals, "rates"))
 
 

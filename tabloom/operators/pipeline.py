@@ -222,7 +222,7 @@ class TabularPipeline(Estimator):
 
     def _fit(self, train: DataFrame) -> PipelineModel:
         spec = self.spec
-        area = self.area or WorkArea(train.sparkSession, "fit")
+        area = self.area or WorkArea.until_exit(train.sparkSession, "fit")
         labels, label = _label_column(train, spec)
         if labels and len(labels) != 2:
             # Ranking needs two classes; say so before fitting anything.

@@ -6,6 +6,7 @@ pruning, which a cached or checkpointed RDD is not.
 
 from __future__ import annotations
 
+import atexit
 import functools
 import tempfile
 import uuid
@@ -15,8 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def work_root(spark: SparkSession) -> str:
-    """Folder for intermediate tables: the cluster's `spark.checkpoint.dir`."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """Folder for intermediate tables: the cluster's `spark.checkpoint.dir`.
+
+    A folder given to `SparkContext.setCheckpointDir` serves as well.
+    """
+    given = spark.sparkContext._jsc.sc().getCheckpointDir()
+    configured = spark.conf.get("spark.checkpoint.dir", None) or (
+        given.get() if given.isDefined() else None
+    )
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
@@ -46,6 +53,17 @@ class WorkArea:
         self.spark = spark
         self.path = work_path(spark, label)
 
+    @classmethod
+    def until_exit(cls, spark: SparkSession, label: str = "run") -> WorkArea:
+        """For tables that a lazy result still reads: deleted when the process ends."""
+        area = cls(spark, label)
+        atexit.register(area._forget)
+        return area
+
+    def _forget(self) -> None:
+        if self.spark.sparkContext._jsc is not None:
+            delete_path(self.spark, self.path)
+
     def table(self, df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
         return write_table(df, f"{self.path}/{name}-{uuid.uuid4().hex}", partition_by)
 

@@ -11,7 +11,6 @@ from tests.oracle import connect, duckdb_result, spark_result
 SMALL = str(DATA / "sf0.001")
 CORPUS = set(catalog._corpus("QUERIES"))  # tested in their own folder
 ORACLES = {name: sql for name, sql in catalog.oracle_sql().items() if name not in CORPUS}
-MODELS = sorted(set(catalog.queries()) - set(ORACLES) - CORPUS)
 
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no driver tables")
 
@@ -32,29 +31,8 @@ def test_query_matches_sql(spark, duck, name):
     assert rows
 
 
-def values(spark, name):
-    return {row["metric"]: row["value"] for row in catalog.queries()[name](spark, SMALL).collect()}
-
-
-def test_every_sql_belongs_to_a_query():
-    assert set(ORACLES) <= set(catalog.queries())
-    assert len(MODELS) == 8
-
-
-@pytest.mark.parametrize("name", ["train_gbt_binary", "train_gbt_multiclass", "train_logistic"])
-def test_models_learn_the_rule(spark, name):
-    assert values(spark, name)["accuracy"] > 0.8
-
-
-def test_regression_learns_the_rule(spark):
-    assert values(spark, "train_gbt_regression")["r2"] > 0.8
-
-
-def test_every_order_is_scored(spark):
-    orders = spark.read.parquet(f"{SMALL}/orders.parquet")
-    scored = catalog.queries()["predict_scores"](spark, SMALL)
-    assert scored.count() == orders.count()
-    assert scored.filter("(score > 0.5) <> (prediction = 1)").count() == 0
+def test_every_query_has_its_sql():
+    assert set(ORACLES) == set(catalog.queries()) - CORPUS
 
 
 def test_flagship_query(spark):
