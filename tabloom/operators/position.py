@@ -9,6 +9,7 @@ Pivots come from a sample, but they steer the search only; they never change the
 
 from __future__ import annotations
 
+import itertools
 import math
 from bisect import bisect_left, bisect_right
 from collections import defaultdict
@@ -342,19 +343,24 @@ def hash_cuts(
             raise ValueError("rows share a row key; id columns must identify each row")
         room = min(HASH_CELLS, max(FEW_CELLS, rows // 16))
         digits = next((d for d in (4, 3, 2) if len(active) * 16**d <= room), 1)
-        cells = _count_prefixes(df, group, active, length, length + digits)
-        length += digits
         deeper: dict[tuple[Any, str], list[tuple[int, int]]] = defaultdict(list)
         rows = 0
-        for place, wanted in active.items():
-            name = place[0]
-            for prefix, before, count in cells[place]:
-                for rank, local in wanted:
-                    if local == before + count:
-                        thresholds[name, rank] = prefix + "g"
-                    elif before < local < before + count:
-                        rows += 0 if (name, prefix) in deeper else count
-                        deeper[name, prefix].append((rank, local - before))
+        # So many places a pass that its cells stay within the bound, however many there are.
+        batch = max(1, HASH_CELLS // 16**digits)
+        for chosen in itertools.batched(active, batch):
+            cells = _count_prefixes(
+                df, group, chosen, length, length + digits, whole=len(active) <= batch
+            )
+            for place in chosen:
+                name = place[0]
+                for prefix, before, count in cells[place]:
+                    for rank, local in active[place]:
+                        if local == before + count:
+                            thresholds[name, rank] = prefix + "g"
+                        elif before < local < before + count:
+                            rows += 0 if (name, prefix) in deeper else count
+                            deeper[name, prefix].append((rank, local - before))
+        length += digits
         active = deeper
     return {name: [thresholds[name, rank] for rank in wanted] for name, wanted in ranks.items()}
 
@@ -362,13 +368,14 @@ def hash_cuts(
 def _count_prefixes(
     df: DataFrame,
     group: str,
-    active: Mapping[tuple[Any, str], Any],
+    active: Collection[tuple[Any, str]],
     length: int,
     longer: int,
+    whole: bool = True,
 ) -> dict[tuple[Any, str], list[tuple[str, int, int]]]:
     """Rows per longer prefix below every active place, in order, with the rows before."""
     part = df.select(quoted(group).alias("name"), F.substring(HASH, 1, longer).alias("prefix"))
-    if length:
+    if length or not whole:
         part = _at_places(part.withColumn("place", F.substring("prefix", 1, length)), active)
     counted = part.groupBy("name", "prefix").agg(F.count(F.lit(1)).alias("rows"))
     cells: dict[tuple[Any, str], list[tuple[str, int, int]]] = defaultdict(list)

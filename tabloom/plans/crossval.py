@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,9 @@ from tabloom.plans.train import evaluate_model, fit_pipeline
 from tabloom.sources.work import WorkArea
 from tabloom.spec import CLASSIFICATION, TEMPORAL, TableSpec
 
+# Fits that run side by side: enough to fill the gaps between small jobs.
+FOLDS_AT_ONCE = 3
+
 SCORE_SCHEMA = "repeat int, fold int, metric string, value double"
 
 
@@ -25,20 +30,27 @@ def assign_folds(df: DataFrame, spec: TableSpec, folds: int, repeat: int = 0) ->
 
 
 def cross_validate(raw: DataFrame, spec: TableSpec, folds: int = 5, repeats: int = 1) -> DataFrame:
-    """One row per repeat, fold and metric. A temporal strategy ignores repeats."""
+    """One row per repeat, fold and metric. A temporal strategy ignores repeats.
+
+    Folds do not wait for each other: FOLDS_AT_ONCE of them share the cluster.
+    """
     spark, scores = raw.sparkSession, []
     temporal = spec.split_strategy == TEMPORAL
     with WorkArea(spark, "folds") as area:
         prepared = prepared_data(raw, spec, area)
         for repeat in range(1 if temporal else repeats):
             assigned = area.table(assign_folds(prepared, spec, folds, repeat), "folds", [FOLD])
-            for fold in range(folds):
+
+            def score(fold: int, assigned: DataFrame = assigned) -> dict[str, float]:
                 outside = quoted(FOLD) < fold if temporal else quoted(FOLD) != fold
                 with WorkArea(spark, "fold") as fold_area:
                     pipeline = fit_pipeline(assigned.filter(outside), spec, fold_area)
                     held_out = assigned.filter(quoted(FOLD) == fold)
-                    metrics = evaluate_model(pipeline, held_out, spec, fold_area)
-                scores += [(repeat, fold, name, value) for name, value in metrics.items()]
+                    return evaluate_model(pipeline, held_out, spec, fold_area)
+
+            with ThreadPoolExecutor(FOLDS_AT_ONCE) as pool:
+                for fold, found in enumerate(pool.map(score, range(folds))):
+                    scores += [(repeat, fold, name, value) for name, value in found.items()]
     return spark.createDataFrame(scores, SCORE_SCHEMA)
 
 
