@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,11 +36,4 @@ def row_count(df: DataFrame) -> int:
 
 def session_area(spark: SparkSession, label: str) -> WorkArea:
     """Work tables a lazy result still reads: they go when the Python process ends."""
-    area = WorkArea(spark, label)
-    atexit.register(_forget, area)
-    return area
-
-
-def _forget(area: WorkArea) -> None:
-    if area.spark.sparkContext._jsc is not None:
-        area.__exit__()
+    return WorkArea.until_exit(spark, label)
