@@ -35,6 +35,12 @@ GRAM = 16
 FREQUENT = 4096
 #: Words of one index; a shard ends with the route that reaches it.
 SHARD_WORDS = 200_000
+#: Windows of a segment that are searched one after the other; more are searched side by side.
+LANE = 32
+
+
+#: Masks of the bits before a place in a 64-bit word.
+_BELOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
 
 
 class WaveletMatrix:
@@ -49,7 +55,7 @@ class WaveletMatrix:
             words = np.packbits(padded, bitorder="little").view(np.uint64)
             ones = np.bitwise_count(words).astype(np.int64)
             self.words.append(words)
-            self.counts.append(np.concatenate([[0], ones.cumsum()[:-1]]).astype(np.uint32))
+            self.counts.append(np.concatenate([[0], ones.cumsum()[:-1]]))
             self.zeros.append(int(len(values) - bits.sum()))
             values = np.concatenate([values[bits == 0], values[bits == 1]])
         alphabet = np.arange(1 << digits) if digits <= 20 else None
@@ -58,11 +64,10 @@ class WaveletMatrix:
     def _walk(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
         for level in range(self.digits):
             word = at >> 6
-            below = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-            ones = self.counts[level][word] + np.bitwise_count(self.words[level][word] & below)
-            ones = ones.astype(np.int64)
+            below = _BELOW[at & 63]
+            ones = np.bitwise_count(self.words[level][word] & below) + self.counts[level][word]
             bit = (symbols >> (self.digits - 1 - level)) & 1
-            at = np.where(bit == 1, self.zeros[level] + ones, at - ones)
+            at = np.where(bit == 1, ones + self.zeros[level], at - ones)
         return at
 
     def rank(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -71,15 +76,21 @@ class WaveletMatrix:
         return self._walk(symbols, at) - first
 
 
-def suffix_array(text: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(suffixes in order, number of each one's class by its first `width` symbols).
+def suffix_array(
+    text: np.ndarray, width: int, seed: int = 1
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(suffixes in order, their classes by the first `width` and by the first `seed` symbols).
 
-    Prefix doubling; the text's last symbol must occur once and be the least.
+    Prefix doubling, so `seed` is a power of two up to `width`; the text's last symbol must
+    occur once and be the least.
     """
     n = len(text)
     rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
     classes, covered, size = np.zeros(n, dtype=np.int64), 0, 1
+    seeds = rank
     while True:
+        if size == seed:
+            seeds = rank
         if width & size:  # this power of two is part of the width
             ahead = np.minimum(np.arange(n) + covered, n - 1)
             classes = classes * (n + 1) + rank[ahead]
@@ -95,7 +106,7 @@ def suffix_array(text: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         size *= 2
     order = np.empty(n, dtype=np.int64)
     order[rank] = np.arange(n)
-    return order, classes[order]
+    return order, classes[order], seeds[order]
 
 
 class FMIndex:
@@ -105,7 +116,8 @@ class FMIndex:
         lengths = np.array([len(s) + 1 for s in segments])
         parts = [x for s in segments for x in (s, [1])]
         self.text = np.concatenate([*parts, [0]]).astype(np.int64)
-        order, classes = suffix_array(self.text, width - 1)
+        self.seed = 1 << (max(1, width // 2).bit_length() - 1)
+        order, classes, seeds = suffix_array(self.text, width - 1, self.seed)
         self.width, n = width, len(self.text)
         transform = self.text[order - 1]
         sigma = int(self.text.max()) + 1
@@ -113,11 +125,12 @@ class FMIndex:
         self.before = np.concatenate([[0], np.bincount(self.text, minlength=sigma).cumsum()])
         weight = np.append(np.repeat(weights, lengths), 0)
         self.weight = np.concatenate([[0], weight[order].cumsum()])
-        # Where suffixes that agree in width - 1 symbols begin and end, for each place of the array.
-        opens = np.concatenate([[True], classes[1:] != classes[:-1]])
-        first = np.flatnonzero(opens)
-        self.low = first[opens.cumsum() - 1]
-        self.high = np.append(first[1:], n)[opens.cumsum() - 1]
+        # Where suffixes that agree in width - 1 symbols begin and end, for each place of the array,
+        # and the same for the seed, which is where matching starts.
+        self.low, self.high = _intervals(classes)
+        self.seed_low, self.seed_high = _intervals(seeds)
+        self.place = np.empty(n, dtype=np.int64)
+        self.place[order] = np.arange(n)
         self.offsets = np.concatenate([[0], lengths.cumsum()[:-1]])
 
     def extend(self, symbols, low, high):
@@ -129,60 +142,97 @@ class FMIndex:
     def occurrences(self, low, high) -> np.ndarray:
         return self.weight[high] - self.weight[low]
 
-    def match(self, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(length, low, high) of the longest repeated match that ends before each place, <= width."""
+    def match(self, ends: np.ndarray, most: int | None = None) -> tuple[np.ndarray, ...]:
+        """(length, low, high) of the longest repeated match that ends before each place.
+
+        Lengths go up to `most`, the width by default; there must be as many words before.
+        """
+        most = self.width if most is None else most
         low = np.zeros(len(ends), dtype=np.int64)
         high = np.full(len(ends), len(self.text), dtype=np.int64)
         length = np.zeros(len(ends), dtype=np.int64)
-        alive = np.arange(len(ends))
-        for step in range(1, self.width + 1):
-            a, b = self.extend(self.text[ends[alive] - step], low[alive], high[alive])
+        if self.seed <= most:
+            place = self.place[ends - self.seed]
+            a, b = self.seed_low[place], self.seed_high[place]
+            seeded = self.occurrences(a, b) > 1
+            low[seeded], high[seeded], length[seeded] = a[seeded], b[seeded], self.seed
+        alive = np.flatnonzero(length < most)
+        while len(alive):
+            symbol = self.text[ends[alive] - length[alive] - 1]
+            a, b = self.extend(symbol, low[alive], high[alive])
             more = self.occurrences(a, b) > 1
             alive, a, b = alive[more], a[more], b[more]
-            low[alive], high[alive], length[alive] = a, b, step
-            if not len(alive):
-                break
+            low[alive], high[alive] = a, b
+            length[alive] += 1
+            alive = alive[length[alive] < most]
         return length, low, high
 
+    def unrepeated(self, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """For unrepeated runs from `first` on, an end up to which they are short and unrepeated."""
+        end = first + length
+        open_ = np.arange(len(first))
+        short = 4
+        while len(open_):
+            open_ = open_[length[open_] > short]
+            found = self.match(first[open_] + short, short)[0] < short
+            end[open_[found]] = first[open_[found]] + short
+            open_ = open_[~found]
+            short *= 2
+        return end
+
     def repeated(self, windows: np.ndarray) -> list[np.ndarray]:
         """For every segment which of its windows (their number is given) occur elsewhere.
 
-        All segments go from their last window to their first at once. After a full match, the
-        interval of its first width - 1 symbols is known, and one step leads to the next window;
-        otherwise the window is matched from its end.
+        Segments go from their last window to their first, all at once, long ones in parts. After
+        a full match, the interval of its first width - 1 symbols is known, and one step leads to
+        the next window. A window without a match holds a short run that occurs nowhere else;
+        windows are passed over until they end before that run, and matched from their end again.
         """
         out = [np.zeros(w, dtype=bool) for w in windows]
-        if not len(windows):
-            return out
-        lane = np.argsort(-windows, kind="stable")
-        count = windows[lane]
+        parts = -(-windows // LANE)
+        owner = np.repeat(np.arange(len(windows)), parts)
+        begin = (np.arange(len(owner)) - np.repeat(parts.cumsum() - parts, parts)) * LANE
+        count = np.minimum(windows[owner] - begin, LANE)
+        lane = np.argsort(-count, kind="stable")
+        owner, count = owner[lane], count[lane]
+        begin = begin[lane] + self.offsets[owner]
         full = np.zeros(len(lane), dtype=bool)
-        low = np.zeros(len(lane), dtype=np.int64)
-        high = np.zeros(len(lane), dtype=np.int64)
-        hits_lane, hits_at = [], []
+        low, high = np.zeros((2, len(lane)), dtype=np.int64)
+        limit = begin + count + self.width  # windows must end here or before
+        hits: list[np.ndarray] = []
+        owners: list[np.ndarray] = []
         for back in range(int(count[0]) if len(count) else 0):
             live = int(np.searchsorted(-count, -back, "left"))  # lanes with more windows than that
-            at = count[:live] - 1 - back
-            start = self.offsets[lane[:live]] + at
+            start = begin[:live] + count[:live] - 1 - back
             go = np.flatnonzero(full[:live])
             if len(go):
-                a, b = self.low[low[go]], self.high[low[go]]
-                a, b = self.extend(self.text[start[go]], a, b)
+                a, b = self.extend(self.text[start[go]], self.low[low[go]], self.high[low[go]])
                 low[go], high[go] = a, b
                 full[go] = self.occurrences(a, b) > 1
-            fresh = np.setdiff1d(np.arange(live), go, assume_unique=True)
+            fresh = np.flatnonzero(~full[:live] & (start + self.width <= limit[:live]))
             if len(fresh):
                 length, a, b = self.match(start[fresh] + self.width)
                 full[fresh] = length == self.width
                 low[fresh], high[fresh] = a, b
+                lost = fresh[length < self.width]
+                length = length[length < self.width]
+                first = start[lost] + self.width - length - 1
+                limit[lost] = self.unrepeated(first, length + 1) - 1
             hit = np.flatnonzero(full[:live])
-            hits_lane.append(lane[hit])
-            hits_at.append(at[hit])
-        for i, k in zip(np.concatenate(hits_lane), np.concatenate(hits_at), strict=True):
-            out[i][k] = True
+            hits.append(start[hit])
+            owners.append(owner[hit])
+        for i, place in zip(np.concatenate(owners or [[]]), np.concatenate(hits or [[]]), strict=True):
+            out[int(i)][int(place) - self.offsets[int(i)]] = True
         return out
 
 
+def _intervals(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    opens = np.concatenate([[True], classes[1:] != classes[:-1]])
+    first = np.flatnonzero(opens)
+    number = opens.cumsum() - 1
+    return first[number], np.append(first[1:], len(classes))[number]
+
+
 def runs_of(flags: np.ndarray) -> list[tuple[int, int]]:
     """(first, end) of the runs of true values."""
     step = np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))
