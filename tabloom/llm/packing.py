@@ -35,16 +35,22 @@ _TASK_BITS = 36
 class Vocabulary:
     """Where a tokenizer's merge ranks lie, its splitting pattern and its special tokens.
 
-    Files are opened in the tasks, by a path that every executor has.
+    `whole` is its tokenizers file, for texts that tiktoken refuses: its pattern search gives up on
+    a run of about a million spaces or line ends. Both give the same ids. Files are opened in the
+    tasks, by a path that every executor has.
     """
 
     path: str
     pattern: str
+    whole: str
     special: tuple[tuple[str, int], ...] = ()
 
     def encode(self, text: str) -> np.ndarray:
         allowed = "all" if self.special else set()
-        found = _encoding(self).encode(text, allowed_special=allowed, disallowed_special=())
+        try:
+            found = _encoding(self).encode(text, allowed_special=allowed, disallowed_special=())
+        except ValueError:
+            found = _tokenizer(self.whole).encode(text, add_special_tokens=False).ids
         return np.array(found, dtype=np.uint32)
 
 
@@ -62,12 +68,19 @@ def _encoding(vocabulary: Vocabulary):
     )
 
 
+@functools.cache
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 def byte_bpe_50k() -> Vocabulary:
     """The public byte-level vocabulary; its ranks give the same ids as its tokenizers file."""
     import public_tokenizers
 
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return Vocabulary(str(path), public_tokenizers.PATTERN, (("<|endoftext|>", 50256),))
+    ranks, whole = (str(public_tokenizers.path(f"byte_bpe_50k.{kind}")) for kind in ("tiktoken", "json"))
+    return Vocabulary(ranks, public_tokenizers.PATTERN, whole, (("<|endoftext|>", 50256),))
 
 
 @dataclass(order=True, frozen=True)

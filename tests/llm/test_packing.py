@@ -53,6 +53,12 @@ def test_round_trip(spark):
     assert {256, 512, 1024, 2048} <= set(lengths)
 
 
+def test_very_long_blank_runs(spark):
+    texts = [" " * 2_000_000, "a <|endoftext|>" + " \n" * 1_000_000 + "ü end", "\n" * 2_000_000, "short"]
+    rows = dicts(packing.pack_documents(documents(spark, texts), packing.byte_bpe_50k()))
+    verify(rows, {i: [t] for i, t in enumerate(texts)})
+
+
 def test_odd_rows_and_empty_table(spark):
     docs = odd_documents(spark)
     texts = {}
