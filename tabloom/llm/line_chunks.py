@@ -4,6 +4,8 @@ A rolling hash over the hashes of neighbouring lines closes a chunk wherever it
 residue, so an inserted line moves the boundaries near it only. Chunks of several lines that occur
 more than once, in any documents, stay at their first place and go everywhere else. Chunks are
 found by digest and compared byte by byte: the grouping key holds the chunk's text.
+
+Chunks of one line always stay, also inside a repeated passage; see the README.
 """
 
 from __future__ import annotations
