@@ -5,11 +5,13 @@ from hosts with blocked pages against the links (who links to bad hosts is suspe
 from the share of a host's pages that the rules allow or block. A host is blocked when its
 distrust exceeds its trust. DataFrame operations only.
 
-Mass of hosts without links is dropped; returning it to the seeds would scale all scores alike.
+Mass of hosts without links goes back to the seeds. At the fixed point that scales all trust alike and
+all distrust alike, so it is dropped on the way and each kind is scaled to its seeds' sum at the end.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -20,10 +22,12 @@ from tabloom.sources.work import WorkArea
 
 DAMPING = 0.85
 STEPS = 10
+#: Without a number of steps, rounds end when they add less than this share of the mass and no host.
+CONVERGED = 1e-6
 #: Distrust beyond so many times the trust blocks a host.
 TOLERANCE = 1.0
-#: Scores are compared after rounding, so the order of a sum never decides.
-DIGITS = 9
+#: Trust and distrust this close, relative to trust, are equal, so the order of a sum never decides.
+CLOSE = 1e-9
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HOST = r"://([^/?#]*)"
 PATH = r"://[^/?#]*([^?#]*)"
@@ -97,9 +101,17 @@ def seeds(pages: DataFrame) -> DataFrame:
 
 
 def spread(
-    links: DataFrame, start: DataFrame, area: WorkArea, damping: float = DAMPING, steps: int = STEPS
+    links: DataFrame,
+    start: DataFrame,
+    area: WorkArea,
+    damping: float = DAMPING,
+    steps: int | None = STEPS,
 ) -> DataFrame:
-    """(host, trust, distrust) after `steps` rounds; each round is written, so lineage stays short."""
+    """(host, trust, distrust); each round is written, so lineage stays short.
+
+    `steps` rounds drop the mass of hosts without links. With None, rounds go on until one adds
+    less than `CONVERGED` of either kind's mass and reaches no new host, and that mass goes back.
+    """
     ways = links.selectExpr("'trust' AS kind", "source AS at", "target AS to", "links").unionByName(
         links.selectExpr("'distrust' AS kind", "target AS at", "source AS to", "links")
     )
@@ -109,23 +121,47 @@ def spread(
     begin = start.withColumn("mass", F.col("mass") * (1 - damping))
     mass = begin
     if not shares.isEmpty():
-        for _ in range(steps):
+        totals = {} if steps is not None else _totals(begin)
+        for step in itertools.count():
+            if step == steps:
+                break
             moved = shares.join(mass.withColumnRenamed("host", "at"), ["kind", "at"])
             moved = moved.select(
                 "kind", F.col("to").alias("host"), (F.col("mass") * F.col("share") * damping).alias("mass")
             )
             summed = begin.unionByName(moved).groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
             mass = area.table(summed, "mass")
+            if steps is None:
+                before, totals = totals, _totals(mass)
+                if all(n == before[k][1] and m - before[k][0] < CONVERGED * m for k, (m, n) in totals.items()):
+                    break
+        if steps is None:
+            mass = _scaled(mass, {k: m / totals[k][0] for k, (m, _) in _totals(start).items()})
+    elif steps is None:
+        mass = start
     part = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("mass")).otherwise(0.0))
     return mass.groupBy("host").agg(part("trust").alias("trust"), part("distrust").alias("distrust"))
 
 
+def _totals(mass: DataFrame) -> dict[str, tuple[float, int]]:
+    """kind -> (mass, hosts)."""
+    found = mass.groupBy("kind").agg(F.sum("mass").alias("mass"), F.count(F.lit(1)).alias("hosts"))
+    return {r["kind"]: (r["mass"], r["hosts"]) for r in found.collect()}
+
+
+def _scaled(mass: DataFrame, factors: dict[str, float]) -> DataFrame:
+    factor = F.lit(1.0)
+    for kind, value in factors.items():
+        factor = F.when(F.col("kind") == kind, F.lit(value)).otherwise(factor)
+    return mass.withColumn("mass", F.col("mass") * factor)
+
+
 def filter_urls(
     pages: DataFrame,
     rules: Sequence[Rule],
     area: WorkArea,
     damping: float = DAMPING,
-    steps: int = STEPS,
+    steps: int | None = STEPS,
     tolerance: float = TOLERANCE,
 ) -> DataFrame:
     """page_id, host, path, rule, verdict, trust and distrust of every row.
@@ -138,8 +174,8 @@ def filter_urls(
     start = area.table(seeds(found), "seeds")
     scores = spread(host_links(pages), start, area, damping, steps)
     joined = found.join(scores, "host", "left").fillna(0.0, ["trust", "distrust"])
-    excess = F.round(F.col("distrust") - F.col("trust") * tolerance, DIGITS)
-    own = F.when(excess > 0, "block").otherwise("allow")
+    worse = F.col("distrust") > F.col("trust") * (tolerance * (1 + CLOSE))
+    own = F.when(worse, "block").otherwise("allow")
     return joined.select(
         "page_id", "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), "trust", "distrust"
     )

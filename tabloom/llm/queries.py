@@ -59,7 +59,7 @@ URL_RULES = (
 
 def op4_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    found = link_graph.filter_urls(pages, URL_RULES, session_area(spark, "link-graph"))
+    found = link_graph.filter_urls(pages, URL_RULES, session_area(spark, "link-graph"), steps=None)
     return found.drop("trust", "distrust")
 
 

@@ -81,6 +81,46 @@ def test_trust_follows_links_and_distrust_goes_back(spark, area):
     assert {r["verdict"] for r in found if r["rule"] is None} == {"allow", "block"}
 
 
+def linked(spark, links):
+    rows = [(i, f"http://{a}/", f"<a href='http://{b}/'>") for i, (a, b) in enumerate(links)]
+    return pages(spark, [*rows, (len(rows), "http://bad.org/", None)])
+
+
+def test_distrust_reaches_far_hosts_and_those_behind_hubs(spark, area):
+    chain = [f"c{i}.com" for i in range(14)] + ["bad.org"]
+    hubs = ["p.com", "q.com", "r.com", "bad.org"]
+    far = linked(spark, list(zip(chain, chain[1:])))
+    # Distrust goes against the links: a hub is a host that a thousand hosts link to.
+    back = [(100 + h, f"http://x{h}-{i}.com/", f"<a href='http://{hubs[h + 1]}/'>") for h in range(3) for i in range(999)]
+    last = [(200 + h, f"http://{hubs[h]}/", f"<a href='http://{hubs[h + 1]}/'>") for h in range(3)]
+    last.append((300, "http://bad.org/", None))
+    for docs, hosts in ((far, chain[:-1]), (pages(spark, back + last), hubs[:-1])):
+        found = dicts(link_graph.filter_urls(docs, RULES, area, steps=None))
+        verdicts = {r["host"]: r["verdict"] for r in found}
+        assert {verdicts[h] for h in hosts} == {"block"}
+
+
+def test_fixed_point_returns_the_mass_of_hosts_without_links(spark, area):
+    links = [("good.org", "a.com"), ("a.com", "b.com"), ("good.org", "c.com"), ("c.com", "good.org"), ("a.com", "bad.org")]
+    found = dicts(link_graph.filter_urls(linked(spark, links), RULES, area, steps=None))
+    hosts = ["good.org", "bad.org", "a.com", "b.com", "c.com"]
+    ways = {"trust": links, "distrust": [(b, a) for a, b in links]}
+    for kind, seed in (("trust", {"good.org": 1.0}), ("distrust", {"bad.org": 1.0})):
+        mass = dict(seed)
+        for _ in range(300):
+            new = {h: 0.15 * seed.get(h, 0) for h in hosts}
+            for at, m in mass.items():
+                to = [b for a, b in ways[kind] if a == at]
+                for host in to:
+                    new[host] += 0.85 * m / len(to)
+                if not to:
+                    for host, s in seed.items():
+                        new[host] += 0.85 * m * s
+            mass = new
+        for r in found:
+            assert r[kind] == pytest.approx(mass.get(r["host"], 0), rel=1e-4)
+
+
 def test_repeated_rows_null_ids_and_empty_table(spark, area):
     rows = [(1, "http://good.org/a", "<a href=http://b.com>")] * 3 + [(None, "http://b.com/", None)]
     assert len(dicts(link_graph.filter_urls(pages(spark, rows), RULES, area))) == 4
