@@ -21,7 +21,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.llm.common import whole_text
@@ -251,7 +251,7 @@ def key_runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _keys(docs: DataFrame, width: int, gram: int) -> DataFrame:
-    """(doc_id, key, times): the keys of a document's windows and how often it has their n-gram."""
+    """(place, key, times): the keys of a document's windows and how often it has their n-gram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -266,14 +266,13 @@ def _keys(docs: DataFrame, width: int, gram: int) -> DataFrame:
                     times.append(np.searchsorted(grams, own, "right") - np.searchsorted(grams, own))
             if at:
                 columns = [
-                    batch.column("doc_id").take(pa.array(np.concatenate(at))),
+                    batch.column("place").take(pa.array(np.concatenate(at))),
                     pa.array(np.concatenate(keys)),
                     pa.array(np.concatenate(times)),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "times"])
+                yield pa.RecordBatch.from_arrays(columns, ["place", "key", "times"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, key long, times long")
+    return docs.select("place", "raw").mapInArrow(run, "place long, key long, times long")
 
 
 def _segments(marked: DataFrame, width: int, gram: int, with_words: bool) -> DataFrame:
@@ -364,7 +363,16 @@ def _searched(segments: DataFrame, width: int, shard_words: int) -> DataFrame:
 
 
 def _raw(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", whole_text().cast("binary").alias("raw"))
+    """doc_id, raw, body (the text's hash) and place (that of id and text), by which rows are joined.
+
+    Both joins deal the texts by `place` alone, so Spark shuffles them once.
+    """
+    raw = docs.select("doc_id", whole_text().cast("binary").alias("raw"))
+    return raw.withColumn("body", F.xxhash64("raw")).withColumn("place", _place())
+
+
+def _place() -> Column:
+    return F.xxhash64("doc_id", "body")
 
 
 def repeated_spans(
@@ -375,22 +383,23 @@ def repeated_spans(
     frequent: int = FREQUENT,
     shard_words: int = SHARD_WORDS,
 ) -> DataFrame:
-    """(doc_id, found): `found` lists, by text digest `body`, the word spans to remove.
+    """(place, found): `found` lists, by doc_id and text digest `body`, the word spans to remove.
 
     A span covers windows of `width` words whose words also start at another place of any
     document, the same one included. Rows that repeat an id and a text count as documents each.
+    Keys are listed by a hash of id and text; rows that share it by chance get each other's keys
+    too, which none of their windows has or which are theirs as well.
     """
     raw = _raw(docs)
     keys = _keys(raw, width, gram)
     known = keys.groupBy("key").agg(F.sum("times").alias("times")).filter("times > 1")
     known = area.table(known, "keys")
-    own = keys.drop("times").join(known, "key").groupBy("doc_id").agg(
-        F.collect_list("key").alias("keys"),
-        F.collect_list(F.when(F.col("times") > frequent, F.col("key"))).alias("often"),
+    own = keys.drop("times").join(known, "key").groupBy("place").agg(
+        F.collect_set("key").alias("keys"),
+        F.collect_set(F.when(F.col("times") > frequent, F.col("key"))).alias("often"),
     )
-    own = area.table(own, "own").alias("o")
-    marked = raw.alias("d").join(own, F.col("d.doc_id").eqNullSafe(F.col("o.doc_id")))
-    marked = marked.select("d.doc_id", "raw", F.xxhash64("raw").alias("body"), "keys", "often")
+    own = area.table(own, "own")
+    marked = raw.join(own, "place").select("doc_id", "raw", "body", "keys", "often")
     searched = _searched(_segments(marked, width, gram, True), width, shard_words)
     places = _segments(marked, width, gram, False)
     spans = places.join(searched, ["route", "content"]).select(
@@ -400,7 +409,8 @@ def repeated_spans(
     by_text = spans.groupBy("doc_id", "body").agg(
         F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans")
     )
-    return by_text.groupBy("doc_id").agg(F.collect_list(F.struct("body", "spans")).alias("found"))
+    found = F.collect_list(F.struct("doc_id", "body", "spans")).alias("found")
+    return by_text.groupBy(_place().alias("place")).agg(found)
 
 
 def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -422,9 +432,10 @@ def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "text"])
 
     left, right = _raw(docs).alias("d"), spans.alias("o")
-    joined = left.join(right, F.col("d.doc_id").eqNullSafe(F.col("o.doc_id")), "left")
-    own = F.filter("found", lambda f: f["body"] == F.xxhash64("raw"))
-    joined = joined.select("d.doc_id", "raw", F.get(own, F.lit(0))["spans"].alias("spans"))
+    joined = left.join(right, F.col("d.place") == F.col("o.place"), "left")
+    same = lambda f: f["doc_id"].eqNullSafe(F.col("d.doc_id")) & (f["body"] == F.col("d.body"))
+    own = F.get(F.filter("found", same), F.lit(0))["spans"]
+    joined = joined.select("d.doc_id", "raw", own.alias("spans"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     return joined.mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, text string")
 

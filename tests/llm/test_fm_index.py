@@ -124,6 +124,17 @@ def test_width_of_the_query(spark, area):
     assert [r[2] for r in result] == [60, 60, 0, 0]
 
 
+def test_rows_that_share_an_id_or_have_none_hold_their_own_keys_only(spark, area):
+    texts = [" ".join(prose(i // 2, 30)) + f" end {i}" for i in range(80)]
+    rows = [(None if i % 4 < 2 else 7, t) for i, t in enumerate(texts)] + [(7, texts[2])] * 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(docs, area, 9, gram=4) == brute(rows, 9)
+    own = spark.read.parquet(f"{area.path}/own-*")
+    lists = dicts(own.selectExpr("size(keys) AS n", "size(array_distinct(keys)) AS distinct"))
+    assert len(lists) == len(texts)
+    assert all(r["n"] == r["distinct"] <= 24 for r in lists)
+
+
 def test_odd_rows_and_empty_table(spark, area):
     docs = odd_documents(spark)
     rows = [(r["doc_id"], r["text"]) for r in dicts(docs)]
