@@ -7,7 +7,7 @@ return the columns of `documents`.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabloom.llm import chosen_path, content_sort, mixing, packing, quality
@@ -36,16 +36,24 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, whole: the two that are cut are rounded."""
-    rows = mixing.sized(docs, word_count(whole_text()), F.array("source"), session_area(spark, "mix"))
-    taken = mix_sources(rows)[0].groupBy("doc_id").agg(
-        F.sum("taken").alias("taken"), F.sum("words").alias("words")
+    """Documents as often as the mix takes them, whole: those that are cut are rounded.
+
+    A document is an id, a text and a source. Rows that repeat all three share out the copies of
+    them all. A mix of words takes no document without words, so none of those is left.
+    """
+    area, body = session_area(spark, "mix"), F.xxhash64(whole_text())
+    rows = mixing.sized(docs, word_count(whole_text()), F.array("source"), area, body.alias("body"))
+    copies = F.coalesce(F.round(F.try_divide("taken", "words")), F.lit(0)).cast("long")
+    taken = mix_sources(rows)[0].withColumn("source", F.col("members")[0])
+    taken = taken.groupBy(F.struct("doc_id", "body", "source").alias("key")).agg(
+        F.sum(copies).alias("copies"), F.count(F.lit(1)).alias("times")
     )
-    copies = F.round(F.try_divide("taken", "words")).cast("int")
-    taken = taken.select(F.col("doc_id").alias("id"), copies.alias("copies")).filter("copies > 0")
-    rows = docs.select(F.struct("*").alias("row"))
-    joined = rows.join(taken, F.col("row.doc_id").eqNullSafe(F.col("id")))
-    return joined.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
+    named = docs.select(F.struct("*").alias("row"), F.struct("doc_id", body.alias("body"), "source").alias("key"))
+    joined = named.join(taken.filter("copies > 0"), "key")
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("row")))
+    own = F.expr("copies div times + IF(place <= copies % times, 1, 0)").cast("int")
+    joined = joined.withColumn("place", place).withColumn("own", own).filter("own > 0")
+    return joined.select("row", F.explode(F.sequence(F.lit(1), "own"))).select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -121,9 +121,9 @@ def _by_copy(capacities, flow):
     return out
 
 
-def sized(docs: DataFrame, size: Column, members: Column, area: WorkArea) -> DataFrame:
-    """(doc_id, words, members): the narrow table the mix works on; the texts are read once."""
-    narrow = docs.select("doc_id", size.alias("words"), F.array_sort(members).alias("members"))
+def sized(docs: DataFrame, size: Column, members: Column, area: WorkArea, *carry: Column) -> DataFrame:
+    """(doc_id, words, members) and `carry`: the table the mix works on; the texts are read once."""
+    narrow = docs.select("doc_id", size.alias("words"), F.array_sort(members).alias("members"), *carry)
     return area.table(narrow, "sized")
 
 
@@ -141,8 +141,9 @@ def select_documents(
     Within a pattern documents follow each other by md5(seed:doc_id); the order's running sum
     places each on a line of words, and a flow takes an interval of it. The document at an
     interval's end is cut, so quotas are met to the word. Repeated rows share a place in the
-    order but not an interval; a null id is the text 'null'.
+    order but not an interval; a null id is the text 'null'. Other columns are carried along.
     """
+    carried = [c for c in rows.columns if c not in ("doc_id", "words", "members")]
     spans: dict[tuple, list] = {}
     filled: dict[tuple, int] = {}
     for pattern, source, copy, words in flows:
@@ -164,7 +165,7 @@ def select_documents(
         Window.unboundedPreceding, -1
     )
     sums = sums.withColumn("base", F.coalesce(F.sum("prefix_words").over(before), F.lit(0)))
-    within = Window.partitionBy("members", "prefix").orderBy("order", "doc_id", "words")
+    within = Window.partitionBy("members", "prefix").orderBy("order", "doc_id", "words", *carried)
     within = within.rowsBetween(Window.unboundedPreceding, -1)
     placed = (
         keyed.withColumn("inside", F.coalesce(F.sum("words").over(within), F.lit(0)))
@@ -183,6 +184,7 @@ def select_documents(
         "doc_id",
         "words",
         "members",
+        *carried,
         F.aggregate("routes", F.lit(0).cast("long"), lambda a, r: a + r["words"]).alias("taken"),
         "routes",
     )

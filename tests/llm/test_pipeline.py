@@ -5,11 +5,14 @@ from __future__ import annotations
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tabloom.llm import quality
+from tabloom.llm import mixing, quality
+from tabloom.llm.common import whole_text, word_count
+from tabloom.llm.queries import mix_sources
 from tests.conftest import DATA
-from tests.llm.odd import dicts, no_documents, odd_documents
+from tests.llm.odd import dicts, no_documents, odd_documents, prose
 from tests.llm.test_chosen_path import brute as brute_groups
 from tests.llm.test_content_sort import expected as brute_copies
 
@@ -60,6 +63,25 @@ def test_stages_keep_the_columns_and_agree_with_plain_python(spark, area):
     assert sum(r["length"] for r in packed) == sum(r["doc_tokens"] for r in whole)
 
 
+def test_mixing_counts_rows_that_share_an_id_on_their_own(spark, area):
+    ids = [None, 7, 7, 8]
+    rows = [(ids[i % 4], " ".join(prose(i, 5 + i % 30)), "en", "abc"[i % 3], i) for i in range(240)]
+    rows += [(9, "three equal rows", "en", "a", i) for i in range(3)] + [(10, " ", "en", "a", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    narrow = mixing.sized(docs, word_count(whole_text()), F.array("source"), area, F.col("text"))
+    expected = {}
+    for r in dicts(mix_sources(narrow)[0]):
+        key = (r["doc_id"], r["text"], r["members"][0])
+        expected[key] = expected.get(key, 0) + (int(r["taken"] / r["words"] + 0.5) if r["words"] else 0)
+    got = {}
+    for r in dicts(STAGES["mixing"](spark, docs, SMALL)):
+        key = (r["doc_id"], r["text"], r["source"])
+        got[key] = got.get(key, 0) + 1
+    differ = {k for k in expected.keys() | got.keys() if expected.get(k, 0) != got.get(k, 0)}
+    assert not differ
+    assert {expected[r[0], r[1], r[3]] for r in rows if r[0] is None} >= {1, 2}
+
+
 def test_run_gives_sequences(spark):
     rows = dicts(corpus_pipeline.run(spark, SMALL))
     assert rows and {"doc_id", "sequence_id", "offset", "ids"} <= set(rows[0])
