@@ -53,9 +53,31 @@ def survival(similarity: float, depth: int = DEPTH, second: float = SECOND) -> f
 
 
 def runs_needed(recall: float = RECALL, similarity: float = THRESHOLD) -> int:
+    """Runs for this recall if every run had a signature of its own."""
     return math.ceil(math.log(1 - recall) / math.log(1 - survival(similarity)))
 
 
+def missed(runs: int, similarity: float = THRESHOLD) -> float:
+    """Expected share of pairs of this similarity that runs over one signature miss.
+
+    The equal positions are binomial; pairs below MARGIN are not compared.
+    """
+    spread = POSITIONS * similarity * (1 - similarity)
+    least, found = POSITIONS * similarity - MARGIN * math.sqrt(spread), 0.0
+    for equal in range(max(0, math.ceil(least)), POSITIONS + 1):
+        chance = math.comb(POSITIONS, equal) * similarity**equal * (1 - similarity) ** (POSITIONS - equal)
+        found += chance * (1 - (1 - survival(equal / POSITIONS)) ** runs)
+    return 1 - found
+
+
+def shared_runs(recall: float = RECALL, similarity: float = THRESHOLD) -> int:
+    """Runs for this recall over one signature; an error where its positions can't reach it."""
+    for runs in range(runs_needed(recall, similarity), 1000):
+        if missed(runs, similarity) <= 1 - recall:
+            return runs
+    raise ValueError(f"{POSITIONS} positions do not reach a recall of {recall} at {similarity}")
+
+
 def shingle_set(raw: bytes, width: int = WIDTH) -> np.ndarray:
     """Sorted distinct shingle hashes; a text of fewer words has one shingle of all its words."""
     hashes, _, _ = word_hashes(raw)
@@ -319,7 +341,7 @@ def join_similar(
         F.min("doc_id").alias("class_id"), F.max("signature").alias("signature")
     )
     classes = area.table(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    members = _leaves(classes, runs_needed(recall, threshold), area)
+    members = _leaves(classes, shared_runs(recall, threshold), area)
     members = area.table(_likely(members, classes, threshold), "likely")
     found = area.table(_verified(members, classes, docs, width, threshold), "links")
 
