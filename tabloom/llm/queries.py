@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tabloom.llm import (
     chosen_path,
+    collocations,
     content_sort,
     fm_index,
     line_chunks,
@@ -122,6 +123,11 @@ def op10_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", "links", "group_id")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return collocations.mine_collocations(docs, session_area(spark, "collocations"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_vector_file": op2_vector_file,
@@ -133,6 +139,7 @@ QUERIES = {
     "op8_content_sort": op8_content_sort,
     "op9_quality": op9_quality,
     "op10_chosen_path": op10_chosen_path,
+    "op11_collocations": op11_collocations,
 }
 
 _SPACES = r"[\x20\x09-\x0D]+"
@@ -236,6 +243,34 @@ ORACLES = {
         SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
           row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id) = 1 AS kept, text_sha256
         FROM d WINDOW g AS (PARTITION BY text_sha256)""",
+    "op11_collocations": f"""
+        WITH d AS (SELECT coalesce(lang, 'und') AS lang, string_split_regex(
+              translate(coalesce(text, ''), '{collocations.UPPER}', '{collocations.LOWER}'), '[.,;:!?\x0A-\x0D]') AS pieces
+            FROM documents),
+          p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words
+            FROM (SELECT lang, unnest(pieces) AS piece FROM d)),
+          s AS (SELECT lang, words, unnest(range(len(words))) AS pos FROM p),
+          g AS (SELECT lang, list_slice(words, pos + 1, pos + size) AS phrase, size
+            FROM s, (VALUES (1), (2), (3), (4), (5)) AS sizes(size) WHERE pos + size <= len(words)),
+          f AS MATERIALIZED (SELECT lang, phrase, size, count(*) AS a FROM g GROUP BY ALL),
+          t AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang),
+          c AS MATERIALIZED (SELECT lang, phrase, size, a FROM f WHERE size > 1 AND a >= 100),
+          k AS (SELECT c.*, l.a AS l, r.a AS r, n,
+              CAST(1000 * c.a::HUGEINT * n // (l.a::HUGEINT * r.a) AS BIGINT) AS score
+            FROM (SELECT *, unnest(range(1, size)) AS k FROM c) c
+            JOIN f l ON l.lang = c.lang AND l.phrase = list_slice(c.phrase, 1, k)
+            JOIN f r ON r.lang = c.lang AND r.phrase = list_slice(c.phrase, k + 1, c.size)
+            JOIN t ON t.lang = c.lang),
+          best AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+          inside AS (SELECT lang, list_slice(phrase, pos + 1, pos + part) AS phrase, max(a) AS longer
+            FROM (SELECT *, unnest(range(size)) AS pos FROM c), (VALUES (2), (3), (4)) AS parts(part)
+            WHERE part < size AND pos + part <= size GROUP BY ALL),
+          kept AS (SELECT b.*, array_to_string(b.phrase, ' ') AS joined FROM best b
+            LEFT JOIN inside i ON i.lang = b.lang AND i.phrase = b.phrase
+            WHERE coalesce(longer < a, true))
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, joined) AS rank,
+          joined AS phrase, a, l, r, n, score FROM kept
+        QUALIFY rank <= 2000""",
     # Water filling: sources in order of size / weight are capped while their share is too much.
     "op6_mixing": f"""
         WITH d AS (SELECT doc_id, source,
