@@ -9,6 +9,7 @@ from tabloom.llm import (
     chosen_path,
     collocations,
     content_sort,
+    drift_clusters,
     fm_index,
     line_chunks,
     link_graph,
@@ -128,6 +129,11 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine_collocations(docs, session_area(spark, "collocations"))
 
 
+def op13_drift_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return drift_clusters.cluster_vectors(vectors, session_area(spark, "drift-clusters"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_vector_file": op2_vector_file,
@@ -140,6 +146,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_chosen_path": op10_chosen_path,
     "op11_collocations": op11_collocations,
+    "op13_drift_clusters": op13_drift_clusters,
 }
 
 _SPACES = r"[\x20\x09-\x0D]+"
@@ -192,6 +199,33 @@ def _link_graph_sql() -> str:
         FROM found f LEFT JOIN scores s ON f.host = s.host"""
 
 
+def _clusters_sql() -> str:
+    """Plain rounds written out: assign all vectors, average each cluster, three times."""
+    rounds = "".join(
+        f""",
+          a{i} AS MATERIALIZED (SELECT row, arg_min(number, (d, number)) AS cluster, min(d) AS distance
+            FROM (SELECT row, number, list_sum(list_transform(list_zip(v.cells, c.cells),
+                lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM v CROSS JOIN c{i} c) GROUP BY row),
+          c{i + 1} AS MATERIALIZED (SELECT number, coalesce(new, c.cells) AS cells FROM c{i} c LEFT JOIN (
+            SELECT cluster, list(mean ORDER BY place) AS new FROM (
+              SELECT cluster, place, CAST(floor(sum(x) / count(*)) AS BIGINT) AS mean FROM (
+                SELECT cluster, unnest(v.cells) AS x, unnest(range(64)) AS place
+                FROM v JOIN a{i} USING (row)) GROUP BY ALL) GROUP BY cluster) ON cluster = number)"""
+        for i in range(4)
+    )
+    return f"""
+        WITH v AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding,
+              lambda x: CAST(floor(CAST(x AS DOUBLE) * 64) AS BIGINT)) AS cells FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+          c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), cells) - 1 AS number,
+            cells FROM v QUALIFY number < 16){rounds}
+        SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, distance,
+          CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+          CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+          sha256(array_to_string(c3.cells, ',')) AS centroid_sha256
+        FROM a3 JOIN v USING (row) JOIN c3 ON number = cluster"""
+
+
 ORACLES = {
     "op2_vector_file": """
         WITH v AS (SELECT vec_id, list_transform(embedding,
@@ -271,6 +305,7 @@ ORACLES = {
         SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, joined) AS rank,
           joined AS phrase, a, l, r, n, score FROM kept
         QUALIFY rank <= 2000""",
+    "op13_drift_clusters": _clusters_sql(),
     # Water filling: sources in order of size / weight are capped while their share is too much.
     "op6_mixing": f"""
         WITH d AS (SELECT doc_id, source,
