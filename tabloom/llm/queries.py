@@ -16,6 +16,7 @@ from tabloom.llm import (
     mixing,
     packing,
     quality,
+    secret_owners,
     toxicity,
     vector_file,
 )
@@ -129,6 +130,21 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine_collocations(docs, session_area(spark, "collocations"))
 
 
+def op12_secret_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document is a repository, its source the owner."""
+    docs = table(spark, sf_dir, "documents")
+    found = secret_owners.find_secrets(docs, session_area(spark, "secret-owners"))
+    base = {kind: F.col(kind) for kind in secret_owners.KINDS[:3]}
+    return found.select(
+        "doc_id",
+        *(F.size(kind).cast("long").alias(f"n_{kind}") for kind in base),
+        F.sha2(secret_owners.spans_text(base), 256).alias("base_sha256"),
+        secret_owners.spans_text({**base, "live": F.col("live")}).alias("spans"),
+        F.size("live").cast("long").alias("n_live"),
+        "n_example",
+    )
+
+
 def op13_drift_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return drift_clusters.cluster_vectors(vectors, session_area(spark, "drift-clusters"))
@@ -146,6 +162,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_chosen_path": op10_chosen_path,
     "op11_collocations": op11_collocations,
+    "op12_secret_owners": op12_secret_owners,
     "op13_drift_clusters": op13_drift_clusters,
 }
 
@@ -199,6 +216,50 @@ def _link_graph_sql() -> str:
         FROM found f LEFT JOIN scores s ON f.host = s.host"""
 
 
+def _secrets_sql() -> str:
+    """Matches by a window over each document's parts between matches."""
+    so = secret_owners
+    kinds = [("assign", so.ASSIGN, 2), ("access", so.ACCESS, 0), ("hex", so.HEX, 0), ("token", so.TOKEN, 0)]
+    found = " UNION ALL ".join(
+        f"""SELECT row, '{kind}' AS kind, unnest(regexp_extract_all(text, '{p}')) AS whole,
+              unnest(regexp_extract_all(text, '{p}', {group})) AS value,
+              unnest(list_slice(string_split_regex(text, '{p}'), 1, -2)) AS gap,
+              unnest(range(len(regexp_extract_all(text, '{p}')))) AS i
+            FROM d WHERE regexp_matches(text, '{p}')"""
+        for kind, pattern, group in kinds
+        for p in [pattern.replace("'", "''")]
+    )
+    base = "FILTER (kind <> 'live')"
+    text = "string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, nth)"
+    return f"""
+        WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, source, coalesce(text, '') AS text
+            FROM documents),
+          m AS ({found}),
+          p AS (SELECT *, CAST(sum(len(gap) + len(whole)) OVER (PARTITION BY row, kind ORDER BY i) AS BIGINT) AS stop
+            FROM m),
+          s AS MATERIALIZED (SELECT row, kind, value, stop - len(whole) AS start, stop FROM p
+            WHERE kind <> 'assign' OR len(value) >= {so.ASSIGNED}),
+          t AS MATERIALIZED (SELECT row, value, start, stop FROM s WHERE kind = 'token'
+            AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')
+            AND len(list_distinct(string_split(value, ''))) >= {so.VARIETY}),
+          o AS (SELECT value, count(DISTINCT coalesce(source, chr(1))) AS owners, count(DISTINCT (source, doc_id)) AS places
+            FROM t JOIN d USING (row) GROUP BY value),
+          c AS (SELECT row, start, stop, CASE WHEN owners >= {so.EXAMPLE_OWNERS} THEN 'example'
+              WHEN owners = 1 AND places <= {so.LIVE_REPOSITORIES} THEN 'live' END AS kind
+            FROM t JOIN o USING (value)),
+          a AS (SELECT row, kind, start, stop FROM s WHERE kind <> 'token'
+            UNION ALL SELECT row, kind, start, stop FROM c WHERE kind = 'live'),
+          g AS (SELECT row, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+              count(*) FILTER (kind = 'hex') AS n_hex, count(*) FILTER (kind = 'live') AS n_live,
+              {text} AS spans, {text} {base} AS base
+            FROM (SELECT *, list_position(['assign', 'access', 'hex', 'live'], kind) AS nth FROM a) GROUP BY row),
+          e AS (SELECT row, count(*) AS n_example FROM c WHERE kind = 'example' GROUP BY row)
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+          sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live,
+          coalesce(n_example, 0) AS n_example
+        FROM d LEFT JOIN g USING (row) LEFT JOIN e USING (row)"""
+
+
 def _clusters_sql() -> str:
     """Plain rounds written out: assign all vectors, average each cluster, three times."""
     rounds = "".join(
@@ -305,6 +366,7 @@ ORACLES = {
         SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, joined) AS rank,
           joined AS phrase, a, l, r, n, score FROM kept
         QUALIFY rank <= 2000""",
+    "op12_secret_owners": _secrets_sql(),
     "op13_drift_clusters": _clusters_sql(),
     # Water filling: sources in order of size / weight are capped while their share is too much.
     "op6_mixing": f"""
