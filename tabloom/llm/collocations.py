@@ -9,8 +9,9 @@ an n-gram to the chunk that owns its first word: every one lies whole in exactly
 Phrases are counted by sorting: each owned word gives one key, the up to five words from it on, and
 in sorted order all occurrences of a phrase stand together as a run of keys it is a prefix of. Keys
 are range-partitioned, runs that reach the edge of a partition are added up afterwards. A filter of
-saturating pair counts, of at most `MOST_BUCKETS` cells, ends a key before a pair too rare to matter;
-it only shortens keys and never changes a count that is asked for.
+saturating counts of words and pairs, of at most `MOST_BUCKETS` cells, ends a key before a pair too
+rare to matter and leaves only the language of a word too rare; it shortens keys and never changes a
+count that is asked for.
 """
 
 from __future__ import annotations
@@ -95,7 +96,7 @@ def phrase_counts(
     parsed = read.mapInArrow(_parse, "lang string, chunk binary, rows long")
     chunks = parsed.groupBy("lang", "chunk").agg(F.sum("rows").alias("rows"))
     chunks = area.table(chunks, "dictionary")
-    allowed = _frequent_pairs(chunks, least)
+    allowed = _frequent(chunks, least)
     keys = chunks.mapInArrow(_keys_of(allowed), "key binary, rows long")
     ordered = keys.repartitionByRange("key").sortWithinPartitions("key")
     runs = ordered.mapInArrow(_runs_of(least), "key binary, rows long")
@@ -271,25 +272,26 @@ class _Words:
         langs = block["lang"].to_pylist()
         salts = {lang: zlib.crc32(lang.encode()) for lang in set(langs)}
         self.langs, salt = langs, np.array([salts[lang] for lang in langs], dtype=np.uint64)
-        follow = np.append(self.hashes[1:], np.uint64(0))
-        self.pair_hash = mix(self.hashes * np.uint64(31) + follow + mix(salt)[self.chunk])
+        follow, salted = np.append(self.hashes[1:], np.uint64(0)), mix(salt)[self.chunk]
+        self.pair_hash = mix(self.hashes * np.uint64(31) + follow + salted)
+        self.word_hash = mix(self.hashes ^ salted)
 
 
-# --- The pair filter --------------------------------------------------------------------
+# --- The filter -------------------------------------------------------------------------
 
 
-def _frequent_pairs(chunks: DataFrame, least: int):
-    """Broadcast bits: may a pair of this hash occur `least` times? At most 16 MB, no misses."""
+def _frequent(chunks: DataFrame, least: int):
+    """Broadcast bits: may a word or pair of this hash occur `least` times? At most 16 MB, no misses."""
     size = chunks.agg(F.sum(F.octet_length("chunk"))).first()[0] or 0
     buckets = LEAST_BUCKETS
     while buckets < min(size // BYTES_A_BUCKET, MOST_BUCKETS):
         buckets *= 2
     enough = min(least, 255)
-    counted = chunks.mapInArrow(_count_pairs(buckets), "segment int, cells binary")
+    counted = chunks.mapInArrow(_count_cells(buckets), "segment int, cells binary")
     merged = (
         counted.repartition("segment")
         .sortWithinPartitions("segment")
-        .mapInArrow(_merge_pairs(enough), "segment int, bits binary")
+        .mapInArrow(_merge_cells(enough), "segment int, bits binary")
     )
     bits = np.zeros(buckets // 8, dtype=np.uint8)
     for row in merged.collect():
@@ -298,16 +300,17 @@ def _frequent_pairs(chunks: DataFrame, least: int):
     return chunks.sparkSession.sparkContext.broadcast(bits)
 
 
-def _count_pairs(buckets: int):
+def _count_cells(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(buckets, dtype=np.uint8)
         for batch in batches:
             for block in _blocks(batch, "chunk"):
                 words = _Words(block)
-                at = np.flatnonzero(words.owned & words.pairs)
-                bucket = words.pair_hash[at] & np.uint64(buckets - 1)
+                single, pair = np.flatnonzero(words.owned), np.flatnonzero(words.owned & words.pairs)
+                bucket = np.concatenate((words.word_hash[single], words.pair_hash[pair])) & np.uint64(buckets - 1)
                 order = np.argsort(bucket)
-                bucket, rows = bucket[order], words.rows[words.chunk[at[order]]]
+                rows = words.rows[words.chunk[np.concatenate((single, pair))[order]]]
+                bucket = bucket[order]
                 heads = np.flatnonzero(np.diff(bucket, prepend=np.uint64(buckets)))
                 if len(heads):
                     found = bucket[heads].astype(np.int64)
@@ -324,7 +327,7 @@ def _count_pairs(buckets: int):
     return run
 
 
-def _merge_pairs(enough: int):
+def _merge_cells(enough: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = None, None
 
@@ -358,24 +361,32 @@ def _keys_of(allowed):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = allowed.value
         mask = np.uint64(len(bits) * 8 - 1)
+
+        def held(hashes: np.ndarray) -> np.ndarray:
+            bucket = (hashes & mask).astype(np.int64)
+            return ((bits[bucket >> 3] >> (bucket & 7).astype(np.uint8)) & 1).astype(bool)
+
         for batch in batches:
             for block in _blocks(batch, "chunk"):
                 words = _Words(block)
-                bucket = (words.pair_hash & mask).astype(np.int64)
-                joins = words.pairs & ((bits[bucket >> 3] >> (bucket & 7).astype(np.uint8)) & 1).astype(bool)
+                joins, known = words.pairs & held(words.pair_hash), held(words.word_hash)
+                joins[:-1] &= known[:-1] & known[1:]
                 at = np.flatnonzero(words.owned)
                 reach, going = at.copy(), np.ones(len(at), dtype=bool)
                 for _ in range(LONGEST - 1):
                     going &= joins[reach]
                     reach = reach + going
                 text, chunk = words.text, words.chunk[at]
-                heads = [_escaped(lang.encode()) + b"\0" for lang in words.langs]
-                spans = zip(chunk.tolist(), words.starts[at].tolist(), words.ends[reach].tolist(), strict=True)
+                bare = [_escaped(lang.encode()) for lang in words.langs]
+                heads = [lang + b"\0" for lang in bare]
+                starts = words.starts[at]
+                ends = np.where(known[at], words.ends[reach], starts)  # a rare word gives no key
+                spans = zip(chunk.tolist(), starts.tolist(), ends.tolist(), strict=True)
                 if b"\0" in text or b"\1" in text:
-                    keys = [heads[c] + _escaped(text[s:e]).replace(b" ", b"\0") for c, s, e in spans]
+                    keys = [heads[c] + _escaped(text[s:e]).replace(b" ", b"\0") if s < e else bare[c] for c, s, e in spans]
                 else:
                     text = text.replace(b" ", b"\0")
-                    keys = [heads[c] + text[s:e] for c, s, e in spans]
+                    keys = [heads[c] + text[s:e] if s < e else bare[c] for c, s, e in spans]
                 rows = pa.array(words.rows[chunk])
                 yield from _summed(["key"], [pa.array(keys, pa.binary())], rows).to_batches()
 
