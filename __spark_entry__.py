@@ -78,6 +78,11 @@ _VIEWS = {
           CAST(o_custkey AS VARCHAR(20)) || '/' || priority AS basket, label
         FROM orders_dirty WHERE label IS NOT NULL""",
 }
+_CLASSED = """
+    SELECT o_orderkey, CASE WHEN floor((o_orderkey - (SELECT min(o_orderkey) FROM {orders})) / 30) % 2 = 0
+      THEN 'a' || CAST(floor((o_orderkey - (SELECT min(o_orderkey) FROM {orders})) / 3) AS BIGINT)
+      ELSE 'b' || CAST(floor((o_orderkey - (SELECT min(o_orderkey) FROM {orders})) / 5) AS BIGINT) END AS class
+    FROM {orders}"""
 _USES = {"baskets": "orders_dirty"}
 
 
@@ -264,6 +269,22 @@ def split_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.hold_out_random(orders, 0.2, 42, key, "o_orderstatus")
 
 
+def _many_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with a class for every three or five of them, by turns of thirty."""
+    return spark.sql(_CLASSED, orders=_table(spark, sf_dir, "orders"))
+
+
+def split_many_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotas of far more classes than the driver keeps, with remainders that tie."""
+    orders = _many_classes(spark, sf_dir)
+    return split.hold_out_random(orders, 0.4, 42, row_key(orders, ["o_orderkey"]), "class")
+
+
+def folds_many_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _many_classes(spark, sf_dir)
+    return split.stratified_k_folds(orders, 4, 42, row_key(orders, ["o_orderkey"]), "class")
+
+
 def split_temporal(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     return split.hold_out_latest(orders, 0.2, ["o_orderdate"], ["o_orderkey"])
@@ -637,6 +658,7 @@ def queries() -> dict[str, Query]:
         csv_roundtrip, encode_target, unmapped_labels, clean_dataset, drop_missing_target,
         drop_invalid_values, distinct_rows, quality_profile, quality_issues, quality_processed,
         quality_target, quality_added_check, stage_summary, split_random, split_stratified,
+        split_many_classes, folds_many_classes,
         split_temporal, folds_kfold, folds_stratified, folds_repeated, folds_rolling,
         impute_scale_numeric, numeric_statistics, impute_mode, one_hot, group_rate_fit,
         group_rate_loo, group_rate_sparse, group_rate_apply, confusion, metrics_binary,
@@ -1074,6 +1096,24 @@ def oracle_sql() -> dict[str, str]:
               FROM orders)
             SELECT o_orderkey, o_orderstatus, r <= t AS is_test
             FROM ranked JOIN quota ON s = o_orderstatus""",
+        "split_many_classes": f"""WITH classed AS ({_CLASSED.format(orders="orders")}),
+            sizes AS (SELECT class AS s, count(*) AS c FROM classed GROUP BY 1),
+            total AS (SELECT CAST(sum(c) AS BIGINT) AS n,
+              CAST(sum(c) - ceil(sum(c) * CAST(0.4 AS DOUBLE)) AS BIGINT) AS train FROM sizes),
+            exact AS (SELECT s, c, train, c / n * train AS e FROM sizes, total),
+            quota AS (SELECT s, c - floor(e) - CASE WHEN row_number() OVER (ORDER BY floor(e) - e, s)
+                <= train - sum(floor(e)) OVER () THEN 1 ELSE 0 END AS t FROM exact),
+            ranked AS (SELECT *, row_number() OVER (PARTITION BY class
+                ORDER BY md5('42:' || CAST(o_orderkey AS VARCHAR))) AS r FROM classed)
+            SELECT o_orderkey, class, r <= t AS is_test FROM ranked JOIN quota ON s = class""",
+        "folds_many_classes": f"""WITH classed AS ({_CLASSED.format(orders="orders")}),
+            placed AS (SELECT *, row_number() OVER (PARTITION BY class
+                ORDER BY md5('42:0:' || CAST(o_orderkey AS VARCHAR))) - 1 AS r FROM classed),
+            starts AS (SELECT class AS s, c, sum(c) OVER (ORDER BY class) - c AS start
+              FROM (SELECT class, count(*) AS c FROM classed GROUP BY 1)),
+            dealt AS (SELECT s, p % 4 AS fold, row_number() OVER (PARTITION BY s ORDER BY p % 4, p) - 1 AS place
+              FROM (SELECT s, unnest(range(CAST(start AS BIGINT), CAST(start + c AS BIGINT))) AS p FROM starts))
+            SELECT o_orderkey, class, CAST(fold AS INTEGER) AS fold FROM placed JOIN dealt ON s = class AND place = r""",
         "split_temporal": """SELECT o_orderkey, o_orderdate,
               row_number() OVER (ORDER BY o_orderdate, o_orderkey)
                 > count(*) OVER () - ceil(count(*) OVER () * CAST(0.2 AS DOUBLE)) AS is_test

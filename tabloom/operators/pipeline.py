@@ -51,7 +51,7 @@ from tabloom.operators.group_rate import (
     load_rates,
 )
 from tabloom.operators.models import Fit, create_model
-from tabloom.operators.split import class_sizes
+from tabloom.operators.split import count_classes
 from tabloom.sources.work import WorkArea, path_exists
 from tabloom.spec import CLASSIFICATION, CLASSIFICATION_METRICS, TableSpec, check_metric_names
 
@@ -60,6 +60,8 @@ INTERNAL = "__tb_"
 FEATURES, LABEL, INDEX = "__tb_features", "__tb_label", "__tb_prediction"
 PROBABILITY, RAW = "__tb_probability", "__tb_raw_prediction"
 KNOWN_SUFFIX = "_known"
+# A model holds coefficients or trees for each class.
+MAX_CLASSES = 100_000
 
 
 class FeatureEncoder(Model, MLWritable, MLReadable):
@@ -308,7 +310,9 @@ def _label_column(df: DataFrame, spec: TableSpec) -> tuple[dict[Any, int] | None
     """Class sizes in label order, and the model's label: class index or the value itself."""
     if spec.task != CLASSIFICATION:
         return None, number_of(df, spec.target).cast("double")
-    sizes = class_sizes(df, spec.target)
+    sizes = count_classes(df, spec.target, MAX_CLASSES).few
+    if sizes is None:
+        raise ValueError(f"{spec.target!r} has more than {MAX_CLASSES} values; no model learns so many classes")
     if list(sizes) == list(range(len(sizes))):
         return sizes, number_of(df, spec.target).cast("double")
     pairs = [

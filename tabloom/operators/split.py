@@ -8,13 +8,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tabloom.functions.columns import quoted, row_key, split_hash
+from tabloom.functions.columns import field_type, quoted, row_key, split_hash
 from tabloom.operators.position import HASH, cuts_at_ranks, hash_cuts, hash_segment, segment
+from tabloom.operators.quotas import class_quotas, class_starts, hash_bounds, pass_bounds
+from tabloom.sources.work import WorkArea
 from tabloom.spec import CLASSIFICATION, TEMPORAL, TableSpec
 
 IS_TEST = "is_test"
@@ -22,17 +26,58 @@ FOLD = "fold"
 ROW_KEY = "__row_key"
 EVERYTHING = "__all"
 
-# A stratified split keeps a quota per class on the driver.
-MAX_CLASSES = 100_000
-
-
-def class_sizes(df: DataFrame, target: str) -> dict[Any, int]:
-    """Rows per class, ordered by label value."""
-    counted = df.groupBy(quoted(target).alias("label")).agg(F.count(F.lit(1)).alias("rows"))
-    found = counted.limit(MAX_CLASSES + 1).collect()
-    if len(found) > MAX_CLASSES:
-        raise ValueError(f"{target!r} has more than {MAX_CLASSES} values; it is not a class label")
-    return dict(sorted((row["label"], row["rows"]) for row in found))
+# Quotas of so many classes are kept on the driver and rows marked by a projection; those of more
+# classes are a table, joined.
+FEW_CLASSES = 1000
+
+
+@dataclass(frozen=True)
+class Classes:
+    """Rows per class: a dictionary in label order if there are few, else only a table."""
+
+    table: DataFrame
+    rows: int
+    count: int
+    least: int
+    most: int
+    few: dict[Any, int] | None
+
+
+def count_classes(df: DataFrame, target: str, few: int | None = None) -> Classes:
+    """Count the rows of every class; `HASH`, if there, must be present in all of them."""
+    few = FEW_CLASSES if few is None else few
+    nameless = F.count_if(F.col(HASH).isNull()) if HASH in df.columns else F.lit(0)
+    counted = df.groupBy(quoted(target).alias("label")).agg(
+        F.count(F.lit(1)).alias("rows"), nameless.alias("nameless")
+    )
+    found = counted.limit(few + 1).collect()
+    if len(found) <= few:
+        lost = sum(row["nameless"] for row in found)
+        unlabelled = sum(row["rows"] for row in found if row["label"] is None)
+        _refuse(lost, unlabelled, target)
+        sizes = dict(sorted((row["label"], row["rows"]) for row in found))
+        table = df.sparkSession.createDataFrame(list(sizes.items()), _class_schema(df, target))
+        bounds = min(sizes.values(), default=0), max(sizes.values(), default=0)
+        return Classes(table, sum(sizes.values()), len(sizes), *bounds, sizes)
+    table = WorkArea.until_exit(df.sparkSession, "classes").table(counted, "classes")
+    rows, count, least, most, lost, unlabelled = table.agg(
+        F.sum("rows"), F.count(F.lit(1)), F.min("rows"), F.max("rows"), F.sum("nameless"),
+        F.coalesce(F.sum(F.when(F.col("label").isNull(), F.col("rows"))), F.lit(0)),
+    ).first()
+    _refuse(lost, unlabelled, target)
+    return Classes(table.drop("nameless"), rows, count, least, most, None)
+
+
+def _class_schema(df: DataFrame, target: str) -> T.StructType:
+    label = T.StructField("label", field_type(df, target))
+    return T.StructType([label, T.StructField("rows", T.LongType())])
+
+
+def _refuse(nameless: int, unlabelled: int, target: str) -> None:
+    if nameless:
+        raise ValueError(f"{nameless} rows have no row key: a column of id_cols is empty there")
+    if unlabelled:
+        raise ValueError(f"{unlabelled} rows have no class in {target!r}, so they cannot be stratified")
 
 
 def held_out_rows(rows: int, test_size: float) -> int:
@@ -44,7 +89,7 @@ def held_out_rows(rows: int, test_size: float) -> int:
 
 
 def stratified_quota(sizes: Mapping[Any, int], draws: int) -> dict[Any, int]:
-    """Share `draws` over the classes in proportion, by largest remainder."""
+    """Share `draws` over the classes in proportion, by largest remainder, ties to the lesser label."""
     total = sum(sizes.values())
     exact = {label: size / total * draws for label, size in sizes.items()}
     quota = {label: math.floor(value) for label, value in exact.items()}
@@ -68,26 +113,41 @@ def hold_out_random(
 ) -> DataFrame:
     _check_free(df, IS_TEST)
     hashed, group = _hashed(df, key, seed, stratify)
-    _refuse_unidentified(hashed)
-    sizes = class_sizes(hashed, group)
-    rows = sum(sizes.values())
+    classes = count_classes(hashed, group)
+    rows = classes.rows
     test = held_out_rows(rows, test_size)
     if stratify is not None:
-        _check_strata(sizes, rows - test, test)
-    train = stratified_quota(sizes, rows - test)
-    wanted = {label: [size - train[label]] for label, size in sizes.items()}
-    thresholds = hash_cuts(hashed, group, wanted, sizes)
-    marked = hash_segment(hashed, group, thresholds, IS_TEST)
+        _check_strata(classes, rows - test, test)
+    if classes.few is None:
+        area = WorkArea.until_exit(df.sparkSession, "split")
+        wanted = class_quotas(classes.table, rows - test, rows).withColumn(
+            "ranks", F.array(F.col("rows") - F.col("quota"))
+        )
+        marked = _marked_by_table(hashed, group, wanted, IS_TEST, area)
+    else:
+        sizes = classes.few
+        train = stratified_quota(sizes, rows - test)
+        ranks = {label: [size - train[label]] for label, size in sizes.items()}
+        marked = hash_segment(hashed, group, hash_cuts(hashed, group, ranks, sizes), IS_TEST)
     return marked.select(*map(quoted, df.columns), (F.col(IS_TEST) == 0).alias(IS_TEST))
 
 
-def _check_strata(sizes: Mapping[Any, int], train: int, test: int) -> None:
-    small = [label for label, size in sizes.items() if size < 2]
-    if small:
-        raise ValueError(f"classes with a single row cannot be stratified: {small[:10]}")
-    if min(train, test) < len(sizes):
+def _marked_by_table(
+    hashed: DataFrame, group: str, wanted: DataFrame, out: str, area: WorkArea
+) -> DataFrame:
+    """Mark rows by thresholds kept as a table with a row per class."""
+    rows = hashed.select(quoted(group).alias("label"), HASH)
+    bounds = hash_bounds(rows, wanted.select("label", "rows", "ranks"), area)
+    return pass_bounds(hashed, quoted(group), bounds, out, area)
+
+
+def _check_strata(classes: Classes, train: int, test: int) -> None:
+    if classes.least < 2:
+        small = [row["label"] for row in classes.table.filter("rows < 2").limit(10).collect()]
+        raise ValueError(f"classes with a single row cannot be stratified: {small}")
+    if min(train, test) < classes.count:
         raise ValueError(
-            f"{train} training and {test} test rows cannot both cover {len(sizes)} classes"
+            f"{train} training and {test} test rows cannot both cover {classes.count} classes"
         )
 
 
@@ -107,8 +167,7 @@ def hold_out_latest(
 def k_folds(df: DataFrame, folds: int, seed: int, key: Column, repeat: int = 0) -> DataFrame:
     """Add `fold`: equal random parts, the first `rows % folds` of them one larger."""
     hashed, group = _hashed(df, key, f"{seed}:{repeat}", None)
-    _refuse_unidentified(hashed)
-    return _assign_folds(df, hashed, group, class_sizes(hashed, group), folds)
+    return _assign_folds(df, hashed, group, count_classes(hashed, group), folds)
 
 
 def stratified_k_folds(
@@ -116,29 +175,42 @@ def stratified_k_folds(
 ) -> DataFrame:
     """Add `fold`: random parts that keep the class shares."""
     hashed, group = _hashed(df, key, f"{seed}:{repeat}", target)
-    _refuse_unidentified(hashed)
-    sizes = class_sizes(hashed, group)
-    if max(sizes.values(), default=0) < folds:
+    classes = count_classes(hashed, group)
+    if classes.most < folds:
         raise ValueError(f"every class has fewer than {folds} rows, one per fold")
-    return _assign_folds(df, hashed, group, sizes, folds)
+    return _assign_folds(df, hashed, group, classes, folds)
 
 
 def _assign_folds(
-    df: DataFrame, hashed: DataFrame, group: str, sizes: Mapping[Any, int], folds: int
+    df: DataFrame, hashed: DataFrame, group: str, classes: Classes, folds: int
 ) -> DataFrame:
     _check_free(df, FOLD)
-    rows = sum(sizes.values())
-    if not 2 <= folds <= rows:
-        raise ValueError(f"cannot make {folds} folds of {rows} rows")
-    wanted, start = {}, 0
-    for label, size in sizes.items():
-        wanted[label] = _fold_ends(start, size, folds)
-        start += size
-    thresholds = hash_cuts(hashed, group, wanted, sizes)
-    assigned = hash_segment(hashed, group, thresholds, FOLD)
+    if not 2 <= folds <= classes.rows:
+        raise ValueError(f"cannot make {folds} folds of {classes.rows} rows")
+    if classes.few is None:
+        area = WorkArea.until_exit(df.sparkSession, "folds")
+        wanted = class_starts(classes.table, area).withColumn("ranks", _fold_end_column(folds))
+        assigned = _marked_by_table(hashed, group, wanted, FOLD, area)
+    else:
+        ranks, start = {}, 0
+        for label, size in classes.few.items():
+            ranks[label] = _fold_ends(start, size, folds)
+            start += size
+        cuts = hash_cuts(hashed, group, ranks, classes.few)
+        assigned = hash_segment(hashed, group, cuts, FOLD)
     return assigned.select(*map(quoted, df.columns), F.col(FOLD).cast("int").alias(FOLD))
 
 
+def _fold_end_column(folds: int) -> Column:
+    """`_fold_ends` of the columns start and rows: positions dealt to the folds up to each."""
+
+    def dealt(before: str, last: int) -> str:
+        return f"({before}) div {folds} * {last + 1} + least(({before}) % {folds}, {last + 1})"
+
+    ends = (F.expr(f"{dealt('start + rows', k)} - ({dealt('start', k)})") for k in range(folds - 1))
+    return F.array(*ends)
+
+
 def _fold_ends(start: int, size: int, folds: int) -> list[int]:
     """Last rank of every fold but the last, in a class at positions [start, start + size).
 
@@ -208,9 +280,3 @@ def _count_ordered(df: DataFrame, keys: Sequence[str]) -> int:
     if lacking:
         raise ValueError(f"rows without a value in the columns that order or identify them: {lacking}")
     return rows
-
-
-def _refuse_unidentified(hashed: DataFrame) -> None:
-    nameless = hashed.agg(F.count_if(F.col(HASH).isNull())).first()[0]
-    if nameless:
-        raise ValueError(f"{nameless} rows have no row key: a column of id_cols is empty there")

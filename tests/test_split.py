@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tabloom import TableSpec
 from tabloom.functions.columns import row_key
-from tabloom.operators import position, split
+from tabloom.operators import position, quotas, scan, split
 
 from tests.conftest import frame
 
@@ -282,3 +282,82 @@ def test_the_temporal_cut_reaches_the_scan(spark, tmp_path):
     marked = split.hold_out_latest(spark.read.parquet(path), 0.2, ["at"])
     plan = marked.filter("is_test").select("at")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(at), GreaterThan(at,2020-03-20T00:00)]" in plan
+
+
+# --- classes kept as a table ----------------------------------------------------------
+
+
+def both_ways(monkeypatch, build):
+    """The same split with quotas on the driver and as a table."""
+    few = sorted(map(tuple, build().collect()), key=str)
+    monkeypatch.setattr(split, "FEW_CLASSES", 0)
+    assert sorted(map(tuple, build().collect()), key=str) == few
+    return few
+
+
+@pytest.mark.parametrize("label", ["k % 7", "'c' || k % 37 % 11", "CAST(k % 5 AS DOUBLE) / 3", "k % 2 = 0", "date_add(date'2020-01-01', CAST(k % 9 AS INT))"])
+def test_quotas_as_a_table_equal_those_on_the_driver(spark, monkeypatch, label):
+    table = spark.range(900).select(F.col("id").alias("k")).withColumn("y", F.expr(label))
+    marked = both_ways(monkeypatch, lambda: split.hold_out_random(table, 0.23, 5, key(table), "y"))
+    assert sum(row[-1] for row in marked) == 207
+    both_ways(monkeypatch, lambda: split.stratified_k_folds(table, 4, 5, key(table), "y", 1))
+
+
+def test_quotas_of_uneven_classes_with_a_hot_one(spark, monkeypatch):
+    hot = F.when(F.col("k") % 3 == 0, F.lit(-1)).otherwise(F.floor(F.sqrt("k") * 4))
+    table = spark.range(100, 6100).select(F.col("id").alias("k")).withColumn("y", hot)
+    for size in (0.3, 0.41):
+        both_ways(monkeypatch, lambda: split.hold_out_random(table, size, 1, key(table), "y"))
+    both_ways(monkeypatch, lambda: split.stratified_k_folds(table, 7, 1, key(table), "y"))
+
+
+def test_more_classes_than_the_driver_used_to_hold(spark):
+    """120,000 classes of two or four rows: every class gives one of two, or two of four."""
+    table = spark.range(360_000).select(F.col("id").alias("k"))
+    table = table.withColumn("y", F.when(F.col("k") < 240_000, F.floor(F.col("k") / 4)).otherwise(F.floor(F.col("k") / 2)))
+    marked = split.hold_out_random(table, 0.5, 42, key(table), "y")
+    shares = marked.groupBy("y").agg(F.count(F.lit(1)).alias("rows"), F.count_if("is_test").alias("test"))
+    assert {tuple(r) for r in shares.groupBy("rows", "test").count().collect()} == {(4, 2, 60_000), (2, 1, 60_000)}
+    folds = split.stratified_k_folds(table, 2, 42, key(table), "y").groupBy("y", "fold").count()
+    assert {tuple(r) for r in folds.groupBy("count").agg(F.count(F.lit(1))).collect()} == {(2, 120_000), (1, 120_000)}
+
+
+def test_tables_of_classes_refuse_what_the_driver_refuses(spark, monkeypatch):
+    table = rows_table(spark, 20, 1)
+    unlabelled = table.withColumn("y", F.when(F.col("k") > 3, F.col("y")))
+    same = table.withColumn("k", F.lit(1))
+    nameless = table.withColumn("k", F.when(F.col("k") > 3, F.col("k")))
+    for few in (1000, 0):
+        monkeypatch.setattr(split, "FEW_CLASSES", few)
+        with pytest.raises(ValueError, match=r"single row cannot be stratified: \[1\]"):
+            split.hold_out_random(table, 0.25, 42, key(table), "y")
+        with pytest.raises(ValueError, match="4 rows have no class in 'y'"):
+            split.hold_out_random(unlabelled, 0.25, 42, key(unlabelled), "y")
+        with pytest.raises(ValueError, match="4 rows have no row key"):
+            split.stratified_k_folds(nameless, 2, 42, key(nameless), "y")
+        with pytest.raises(ValueError, match="identify"):
+            split.stratified_k_folds(same, 3, 42, key(same), "y")
+
+
+def test_a_large_class_table_is_joined_without_crowding(spark, monkeypatch, area):
+    """Beyond the broadcast limit frequent classes are looked up apart from the shuffled join."""
+    label = F.when(F.col("id") % 50 > 0, F.floor(F.greatest("id", F.lit(3000)) / 7))
+    table = spark.range(8000).select(F.col("id").alias("k"), label.alias("y"))
+    hashed = table.withColumn(position.HASH, F.md5(F.col("k").cast("string")))
+    bounds = table.select(F.col("y").alias("key")).distinct().filter("key % 5 > 0").withColumn("bounds", F.array(F.lit("5"), F.lit("a")))
+    wide = quotas.pass_bounds(hashed, F.col("y"), bounds, "out", area, limit=0)
+    near = quotas.pass_bounds(hashed, F.col("y"), bounds, "out", area)
+    assert sorted(map(tuple, wide.collect())) == sorted(map(tuple, near.collect()))
+    assert "__salt" in wide._jdf.queryExecution().toString()
+
+
+def test_running_totals_over_levels_of_ranges(spark, area):
+    rows = [(i * 37 % 1009, i % 5) for i in range(1009)]
+    table = spark.createDataFrame(rows, "k int, n int")
+    for per_range in (2000, 100, 7):
+        found = scan.running_totals(table, [F.col("k")], {"before": F.col("n"), "place": F.lit(1)}, area, per_range)
+        expected, before = [], 0
+        for place, (k, n) in enumerate(sorted(rows)):
+            expected.append((k, n, before, place))
+            before += n
+        assert sorted(map(tuple, found.select("k", "n", "before", "place").collect())) == expected
