@@ -83,6 +83,13 @@ _CLASSED = """
       THEN 'a' || CAST(floor((o_orderkey - (SELECT min(o_orderkey) FROM {orders})) / 3) AS BIGINT)
       ELSE 'b' || CAST(floor((o_orderkey - (SELECT min(o_orderkey) FROM {orders})) / 5) AS BIGINT) END AS class
     FROM {orders}"""
+_TICKETS = """
+    SELECT o_orderkey, o_custkey, o_orderdate, o_totalprice, o_orderpriority,
+      CASE WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 5 = 0 THEN 'open'
+           ELSE 'ticket ' || CAST(o_orderkey AS VARCHAR(20)) END AS ticket
+    FROM {orders}"""
+# How a vector is stored.
+_SPARSE = "v struct<type: tinyint, size: int, indices: array<int>, values: array<double>>"
 _USES = {"baskets": "orders_dirty"}
 
 
@@ -539,6 +546,23 @@ def encoded_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(cells.filter("value <> 0"), ["value"]).filter("value <> 0")
 
 
+def encoded_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text column with as many values as orders beside a narrow one: non-zero entries by name.
+
+    Fitted on the older orders; tickets of newer ones were never seen and have no entry.
+    """
+    orders = spark.sql(_TICKETS, orders=_table(spark, sf_dir, "orders"))
+    train = orders.filter("o_orderdate < timestamp_ntz'1997-01-01'").withColumn(LABEL, F.lit(0.0))
+    spec = TableSpec(target="o_custkey", numerical=("o_totalprice",), categorical=("ticket", "o_orderpriority"))
+    encoder, _ = fit_encoder(train, spec, WorkArea.until_exit(spark, "wide"), few_categories=100)
+    stored = F.to_json(F.struct(F.col(FEATURES).alias("v")))
+    vectors = encoder.transform(orders).select("o_orderkey", F.from_json(stored, _SPARSE)["v"].alias("v"))
+    entries = vectors.select("o_orderkey", F.explode(F.arrays_zip("v.indices", "v.values")).alias("e"))
+    named = entries.select("o_orderkey", F.col("e.indices").alias("index"), F.col("e.values").alias("value"))
+    named = named.join(encoder.names_table(spark).withColumnRenamed("name", "feature"), "index")
+    return _rounded(named.select("o_orderkey", "feature", "value"), ["value"]).filter("value <> 0")
+
+
 def quality_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Absent columns, wrong types, values above a bound, and targets absent, empty or constant."""
     orders = _table(spark, sf_dir, "orders")
@@ -660,7 +684,7 @@ def queries() -> dict[str, Query]:
         quality_target, quality_added_check, stage_summary, split_random, split_stratified,
         split_many_classes, folds_many_classes,
         split_temporal, folds_kfold, folds_stratified, folds_repeated, folds_rolling,
-        impute_scale_numeric, numeric_statistics, impute_mode, one_hot, group_rate_fit,
+        impute_scale_numeric, numeric_statistics, impute_mode, one_hot, encoded_wide, group_rate_fit,
         group_rate_loo, group_rate_sparse, group_rate_apply, confusion, metrics_binary,
         metrics_macro, metrics_known_labels, metrics_regression, rank_metrics, lift_deciles,
         lift_top_fractions, train_gbt_binary, train_gbt_multiclass, train_gbt_regression,
@@ -987,6 +1011,18 @@ def _model_sql() -> dict[str, str]:
             """SELECT total_price, priority, o_custkey, label, o_orderdate, o_orderkey,
               CAST(o_orderkey AS VARCHAR) AS __row_key FROM usable"""
         ),
+        "encoded_wide": f"""
+            WITH t AS ({_TICKETS.format(orders="orders")}),
+              train AS (SELECT * FROM t WHERE o_orderdate < TIMESTAMP '1997-01-01'),
+              cells AS (
+                SELECT o_orderkey, 'numerical__o_totalprice' AS feature, (o_totalprice - mean) / scale AS value
+                  FROM t, (SELECT avg(o_totalprice) AS mean, stddev_pop(o_totalprice) AS scale FROM train)
+                UNION ALL SELECT o_orderkey, 'categorical__ticket_' || coalesce(ticket, 'open'), 1 FROM t
+                  WHERE coalesce(ticket, 'open') IN (SELECT ticket FROM train)
+                UNION ALL SELECT o_orderkey, 'categorical__o_orderpriority_' || o_orderpriority, 1 FROM t
+                  WHERE o_orderpriority IN (SELECT o_orderpriority FROM train))
+            SELECT o_orderkey, feature, round(CAST(value AS DOUBLE), 6) AS value FROM cells
+            WHERE round(CAST(value AS DOUBLE), 6) <> 0""",
         "encoded_matrix": _dirty_usable(
             f""", sums AS (SELECT o_custkey AS k, sum(label) AS s, count(*) AS n FROM train GROUP BY 1),
               loo AS (SELECT CASE WHEN n > 1 THEN (s - label) / (n - 1) END AS rate FROM train JOIN sums ON k = o_custkey),

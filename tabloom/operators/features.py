@@ -17,12 +17,16 @@ from tabloom.functions.columns import (
     number_of,
     quoted,
 )
+from tabloom.operators.lookup import look_up, table_bytes
 from tabloom.operators.position import spots_at_ranks
+from tabloom.operators.scan import ROWS_PER_RANGE, running_totals
+from tabloom.sources.work import WorkArea
 
 # Columns with fewer distinct values than this get their median from a value count.
 COUNTED_VALUES = 200_000
-# A one-hot vector this wide belongs to a group key instead.
-MAX_CATEGORIES = 1_000_000
+# Vocabularies of up to this many values, all columns together, are kept with the column's
+# statistics; larger ones are a table.
+FEW_CATEGORIES = 10_000
 
 
 @dataclass(frozen=True)
@@ -37,11 +41,30 @@ class NumericStats:
 
 @dataclass(frozen=True)
 class CategoryStats:
-    """Most frequent value to impute with, and all values in order, as text."""
+    """Most frequent value to impute with, number of values, and the values in order, as text.
+
+    `values` is None where they are kept in the vocabulary's table.
+    """
 
     name: str
     fill: str
-    values: tuple[str, ...]
+    values: tuple[str, ...] | None
+    size: int
+
+
+@dataclass(frozen=True)
+class Vocabulary:
+    """What one-hot encoding learns. `table` holds (name, value, place) if the values are many.
+
+    A place is the element of the encoding of all columns together: columns in order, then values.
+    """
+
+    columns: list[CategoryStats]
+    table: DataFrame | None = None
+
+    @property
+    def size(self) -> int:
+        return sum(stats.size for stats in self.columns)
 
 
 def split_features_and_target(
@@ -165,15 +188,49 @@ def category_counts(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def category_stats(df: DataFrame, names: Sequence[str]) -> list[CategoryStats]:
-    """Mode and sorted values; ties go to the smallest, empty columns are left out."""
+    """Mode and sorted values of columns with few of them; ties go to the smallest, empty
+    columns are left out."""
+    counts = category_counts(df, names) if names else None
+    found = [] if counts is None else counts.limit(FEW_CATEGORIES + 1).collect()
+    if len(found) > FEW_CATEGORIES:
+        raise ValueError(f"{list(names)} hold more than {FEW_CATEGORIES} values; learn a vocabulary of them")
+    return _listed_categories(df, names, found)
+
+
+def learn_vocabulary(
+    df: DataFrame,
+    names: Sequence[str],
+    area: WorkArea,
+    few: int | None = None,
+    rows_per_range: int = ROWS_PER_RANGE,
+) -> Vocabulary:
+    """Modes and values of all columns from one scan, however many values there are.
+
+    Many values get their places by a running count over the ordered values, range by range; only
+    a row per column reaches the driver. Ties and empty columns are as in `category_stats`.
+    """
     if not names:
-        return []
-    found = category_counts(df, names).limit(MAX_CATEGORIES + 1).collect()
-    if len(found) > MAX_CATEGORIES:
-        raise ValueError(
-            f"the categorical features {list(names)} hold more than {MAX_CATEGORIES} values; "
-            "declare such a column as a group key"
-        )
+        return Vocabulary([])
+    counts = area.table(category_counts(df, names), "categories")
+    total = counts.agg(F.count(F.lit(1))).first()[0]
+    if total <= (FEW_CATEGORIES if few is None else few):
+        return Vocabulary(_listed_categories(df, names, counts.collect()))
+    numbers = [index for index, name in enumerate(names) if is_number(field_type(df, name))]
+    number = F.when(F.col("id").isin(numbers), F.col("value").cast("double"))
+    counts = counts.withColumn("number", number)
+    best = F.min(F.struct((-F.col("rows")).alias("most"), "number", "value"))
+    found = counts.groupBy("id").agg(best["value"].alias("fill"), F.count(F.lit(1)).alias("size"))
+    stats = [
+        CategoryStats(names[row["id"]], row["fill"], None, row["size"])
+        for row in sorted(found.collect(), key=lambda row: row["id"])
+    ]
+    order = [F.col("id"), F.col("number"), F.col("value")]
+    placed = running_totals(counts, order, {"place": F.lit(1)}, area, rows_per_range, total)
+    named = F.element_at(F.array(*map(F.lit, names)), F.col("id") + 1)
+    return Vocabulary(stats, area.table(placed.select(named.alias("name"), "value", "place"), "vocabulary"))
+
+
+def _listed_categories(df: DataFrame, names: Sequence[str], found: list) -> list[CategoryStats]:
     counts: dict[int, dict[str, int]] = {}
     for row in found:
         counts.setdefault(row["id"], {})[row["value"]] = row["rows"]
@@ -182,7 +239,8 @@ def category_stats(df: DataFrame, names: Sequence[str]) -> list[CategoryStats]:
         if index in counts:
             order = _value_order(field_type(df, name))
             values = tuple(sorted(counts[index], key=order))
-            stats.append(CategoryStats(name, max(values, key=counts[index].__getitem__), values))
+            fill = max(values, key=counts[index].__getitem__)
+            stats.append(CategoryStats(name, fill, values, len(values)))
     return stats
 
 
@@ -194,6 +252,16 @@ def filled(stats: CategoryStats) -> Column:
     return F.coalesce(quoted(stats.name).cast("string"), F.lit(stats.fill))
 
 
+def places(df: DataFrame, vocabulary: Vocabulary, out: Sequence[str]) -> DataFrame:
+    """Add, per column of a vocabulary kept as a table, the place of the row's value in the
+    encoding: NULL for values never trained."""
+    for stats, name in zip(vocabulary.columns, out, strict=True):
+        own = vocabulary.table.filter(F.col("name") == stats.name)
+        table = own.select(F.col("value").alias("key"), F.col("place").alias(name))
+        df = look_up(df, filled(stats), table, table_bytes(table))
+    return df
+
+
 def one_hot_long(df: DataFrame, key: str, stats: CategoryStats) -> DataFrame:
     """The ones of the encoding: a row for each row of `df` whose value was trained."""
     cells = df.select(quoted(key), filled(stats).alias("category"), F.lit(1).alias("value"))

@@ -18,6 +18,7 @@ from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.classification import OneVsRestModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import (
     DefaultParamsReader,
@@ -37,10 +38,12 @@ from tabloom.functions.columns import field_type, is_number, is_numeric, number_
 from tabloom.operators.features import (
     CategoryStats,
     NumericStats,
-    category_stats,
+    Vocabulary,
     exact_medians,
     filled,
+    learn_vocabulary,
     numeric_stats,
+    places,
     scaled,
 )
 from tabloom.operators.group_rate import (
@@ -65,7 +68,11 @@ MAX_CLASSES = 100_000
 
 
 class FeatureEncoder(Model, MLWritable, MLReadable):
-    """Adds the feature vector: numericals, one-hot categories, then rate and flag per key."""
+    """Adds the feature vector: numericals, one-hot categories, then rate and flag per key.
+
+    A vocabulary of many values is a table beside the rates; its places are joined and the vector
+    is put together from the entries that are not zero.
+    """
 
     state = Param(Params._dummy(), "state", "fitted statistics", TypeConverters.toString)
 
@@ -73,6 +80,7 @@ class FeatureEncoder(Model, MLWritable, MLReadable):
     def __init__(self, *, state: str | None = None) -> None:
         super().__init__()
         self.rates: list[GroupRates] = []
+        self.vocabulary: DataFrame | None = None
         if state is not None:
             self._set(state=state)
 
@@ -80,30 +88,53 @@ class FeatureEncoder(Model, MLWritable, MLReadable):
     def build(
         cls,
         numeric: Sequence[NumericStats],
-        categories: Sequence[CategoryStats],
+        vocabulary: Vocabulary,
         rates: Sequence[GroupRates],
         rate_medians: Sequence[float | None],
     ) -> FeatureEncoder:
         state = {
             "numeric": [asdict(stats) for stats in numeric],
-            "categories": [asdict(stats) for stats in categories],
+            "categories": [asdict(stats) for stats in vocabulary.columns],
             "keys": [group.key for group in rates],
             "rate_medians": list(rate_medians),
         }
         encoder = cls(state=json.dumps(state))
-        encoder.rates = list(rates)
+        encoder.rates, encoder.vocabulary = list(rates), vocabulary.table
         return encoder
 
     def _state(self) -> dict[str, Any]:
         return json.loads(self.getOrDefault(self.state))
 
+    def _vocabulary(self) -> Vocabulary:
+        return Vocabulary([CategoryStats(**stats) for stats in self._state()["categories"]], self.vocabulary)
+
     @property
     def feature_names(self) -> list[str]:
         """Names of the vector's elements, in order."""
-        state = self._state()
-        names = [f"numerical__{stats['name']}" for stats in state["numeric"]]
-        for stats in state["categories"]:
-            names += [f"categorical__{stats['name']}_{value}" for value in stats["values"]]
+        if self.vocabulary is not None:
+            listed = self.names_table(self.vocabulary.sparkSession).orderBy("index")
+            return [row["name"] for row in listed.collect()]
+        categories = self._vocabulary().columns
+        listed = [f"categorical__{stats.name}_{value}" for stats in categories for value in stats.values]
+        return [*self._numeric_names(), *listed, *self._rate_names()]
+
+    def names_table(self, spark: SparkSession) -> DataFrame:
+        """(index, name) of the vector's elements, without listing a large vocabulary."""
+        schema = "index long, name string"
+        if self.vocabulary is None:
+            return spark.createDataFrame(list(enumerate(self.feature_names)), schema)
+        numeric = self._numeric_names()
+        after = len(numeric) + self._vocabulary().size
+        name = F.concat(F.lit("categorical__"), "name", F.lit("_"), "value")
+        listed = self.vocabulary.select((F.col("place") + len(numeric)).alias("index"), name.alias("name"))
+        few = [*enumerate(numeric), *enumerate(self._rate_names(), after)]
+        return listed.unionByName(spark.createDataFrame(few, schema))
+
+    def _numeric_names(self) -> list[str]:
+        return [f"numerical__{stats['name']}" for stats in self._state()["numeric"]]
+
+    def _rate_names(self) -> list[str]:
+        names, state = [], self._state()
         for key, median in zip(state["keys"], state["rate_medians"], strict=True):
             names += [f"group:{key}__{key}"] if median is not None else []
             names.append(f"group:{key}__{key}{KNOWN_SUFFIX}")
@@ -114,22 +145,22 @@ class FeatureEncoder(Model, MLWritable, MLReadable):
 
     def assemble(self, df: DataFrame) -> DataFrame:
         """Feature vector of a table that already holds its group rates."""
-        state = self._state()
-        numeric = [NumericStats(**stats) for stats in state["numeric"]]
-        categories = [CategoryStats(**stats) for stats in state["categories"]]
+        numeric = [NumericStats(**stats) for stats in self._state()["numeric"]]
         added: dict[str, Column] = {
             f"__tb_num_{index}": scaled(df, stats) for index, stats in enumerate(numeric)
         }
-        added |= {f"__tb_cat_{index}": filled(stats) for index, stats in enumerate(categories)}
-        inputs = [f"__tb_num_{index}" for index in range(len(numeric))]
-        inputs += [f"__tb_hot_{index}" for index in range(len(categories))]
-        for index, median in enumerate(state["rate_medians"]):
+        before, after = list(added), []
+        for index, median in enumerate(self._state()["rate_medians"]):
             if median is not None:
                 added[f"__tb_rate_{index}"] = F.coalesce(f"__tb_rate_{index}", F.lit(median))
-                inputs.append(f"__tb_rate_{index}")
-            inputs.append(f"__tb_known_{index}")
-        encoded = _one_hot(df.withColumns(added) if added else df, categories)
-        vector = VectorAssembler(inputCols=inputs, outputCol=FEATURES).transform(encoded)
+                after.append(f"__tb_rate_{index}")
+            after.append(f"__tb_known_{index}")
+        ready = df.withColumns(added) if added else df
+        vocabulary = self._vocabulary()
+        if vocabulary.table is None:
+            vector = _assembled(ready, before, vocabulary.columns, after)
+        else:
+            vector = _assembled_sparsely(ready, before, vocabulary, after)
         kept = (FEATURES, LABEL)
         return vector.drop(
             *(n for n in vector.columns if n.startswith(INTERNAL) and n not in kept)
@@ -152,6 +183,8 @@ class _EncoderWriter(MLWriter):
         DefaultParamsWriter.saveMetadata(self.encoder, path, self.sparkSession)
         for index, group in enumerate(self.encoder.rates):
             group.table.write.parquet(f"{path}/rates/{index}")
+        if self.encoder.vocabulary is not None:
+            self.encoder.vocabulary.write.parquet(f"{path}/vocabulary")
 
 
 class _EncoderReader(MLReader):
@@ -164,6 +197,8 @@ class _EncoderReader(MLReader):
             load_rates(self.sparkSession, key, f"{path}/rates/{index}")
             for index, key in enumerate(encoder._state()["keys"])
         ]
+        if any(stats["values"] is None for stats in encoder._state()["categories"]):
+            encoder.vocabulary = self.sparkSession.read.parquet(f"{path}/vocabulary")
         return encoder
 
 
@@ -239,12 +274,12 @@ class TabularPipeline(Estimator):
 
 
 def fit_encoder(
-    train: DataFrame, spec: TableSpec, area: WorkArea
+    train: DataFrame, spec: TableSpec, area: WorkArea, few_categories: int | None = None
 ) -> tuple[FeatureEncoder, DataFrame]:
     """Fit on training rows that hold `LABEL`; also return them encoded leave-one-out."""
     target = spec.target if _summable(train, spec.target) else LABEL
     numeric = numeric_stats(train, spec.numerical)
-    categories = category_stats(train, spec.categorical)
+    vocabulary = learn_vocabulary(train, spec.categorical, area, few_categories)
     rates = [fit_rates(train, key, target, area) for key in spec.group_keys]
     looked_up = add_rates(train, rates, target)
     if rates:
@@ -252,7 +287,7 @@ def fit_encoder(
         needed += [name for name in looked_up.columns if name.startswith(("__tb_rate_", "__tb_known_"))]
         looked_up = area.table(looked_up.select(*map(quoted, needed)), "rated")
     medians = _rate_medians(looked_up, len(rates))
-    encoder = FeatureEncoder.build(numeric, categories, rates, medians)
+    encoder = FeatureEncoder.build(numeric, vocabulary, rates, medians)
     return encoder, encoder.assemble(looked_up)
 
 
@@ -282,17 +317,49 @@ def _rate_medians(rated: DataFrame, groups: int) -> list[float | None]:
     return [medians.get(name) for name in names]
 
 
+def _assembled(
+    df: DataFrame, before: list[str], categories: Sequence[CategoryStats], after: list[str]
+) -> DataFrame:
+    named = {f"__tb_cat_{index}": filled(stats) for index, stats in enumerate(categories)}
+    encoded = _one_hot(df.withColumns(named) if named else df, categories)
+    inputs = [*before, *(f"__tb_hot_{index}" for index in range(len(categories))), *after]
+    return VectorAssembler(inputCols=inputs, outputCol=FEATURES).transform(encoded)
+
+
+def _assembled_sparsely(
+    df: DataFrame, before: list[str], vocabulary: Vocabulary, after: list[str]
+) -> DataFrame:
+    """The same vector from its entries, without an attribute per element in the schema."""
+    columns = [f"__tb_place_{index}" for index in range(len(vocabulary.columns))]
+    placed = places(df, vocabulary, columns)
+    size = len(before) + vocabulary.size + len(after)
+    entry = [(F.lit(index), F.col(name)) for index, name in enumerate(before)]
+    entry += [(F.col(name) + len(before), F.lit(1.0)) for name in columns]
+    entry += [(F.lit(len(before) + vocabulary.size + index), F.col(name)) for index, name in enumerate(after)]
+    listed = F.array(*(F.struct(at.cast("int").alias("i"), value.alias("x")) for at, value in entry))
+    held = F.filter(listed, lambda e: e["i"].isNotNull() & (e["x"] != 0))
+    # The layout in which Spark stores a sparse vector; reading it as JSON turns it into one.
+    stored = F.struct(
+        F.lit(0).cast("byte").alias("type"),
+        F.lit(size).alias("size"),
+        F.transform(held, lambda e: e["i"]).alias("indices"),
+        F.transform(held, lambda e: e["x"]).alias("values"),
+    )
+    schema = T.StructType([T.StructField("v", VectorUDT())])
+    vector = F.from_json(F.to_json(F.struct(stored.alias("v"))), schema)["v"]
+    return placed.withColumn(FEATURES, vector.alias(FEATURES, metadata={"ml_attr": {"num_attrs": size}}))
+
+
 def _one_hot(df: DataFrame, categories: Sequence[CategoryStats]) -> DataFrame:
     if not categories:
         return df
-    indexes = range(len(categories))
-    indexer = StringIndexerModel.from_arrays_of_labels(
-        [list(stats.values) for stats in categories],
-        [f"__tb_cat_{index}" for index in indexes],
-        [f"__tb_pos_{index}" for index in indexes],
-        handleInvalid="keep",
-    )
-    indexed = indexer.transform(df)
+    indexes, indexed = range(len(categories)), df
+    # One model per column: a joint one takes arrays of labels of one length only.
+    for index, stats in enumerate(categories):
+        indexer = StringIndexerModel.from_labels(
+            list(stats.values), f"__tb_cat_{index}", f"__tb_pos_{index}", handleInvalid="keep"
+        )
+        indexed = indexer.transform(indexed)
     # The last position stands for untrained values and is dropped: they are all zeros.
     encoder = OneHotEncoder(
         inputCols=[f"__tb_pos_{index}" for index in indexes],

@@ -7,11 +7,12 @@ import statistics
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tabloom import TableSpec
-from tabloom.operators import features, group_rate
+from tabloom.operators import features, group_rate, lookup
 from tabloom.operators.pipeline import FEATURES, LABEL, FeatureEncoder, fit_encoder
 
 SCHEMA = "row int, load double, spin int, site string, unit string, fails int"
@@ -220,3 +221,66 @@ def test_hot_keys_do_not_crowd_the_shuffled_join(spark, request, known):
         assert largest_share(group_rate.encode_rates(rows, rates, "rate", "known")) < 2
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+# --- vocabularies kept as a table -----------------------------------------------------
+
+
+def test_a_vocabulary_as_a_table_encodes_as_a_list_does(spark, area, tmp_path):
+    train, new = machines(3, 150), machines(4, 90, strange=True)
+    spec = TableSpec(target="fails", numerical=("load",), categorical=("spin", "site"), group_keys=("unit",))
+    frames = [spark.createDataFrame(rows, SCHEMA).withColumn(LABEL, F.col("fails").cast("double")) for rows in (train, new)]
+    encoders = [fit_encoder(frames[0], spec, area, few) for few in (1000, 2)]
+    assert [encoder.vocabulary is None for encoder, _ in encoders] == [True, False]
+    assert encoders[0][0].feature_names == encoders[1][0].feature_names
+    path = str(tmp_path / "encoder")
+    encoders[1][0].write().save(path)
+    loaded = FeatureEncoder.load(path)
+    assert loaded.feature_names == encoders[0][0].feature_names
+    matrices = [encoders[0][0].transform(frames[1]), encoders[1][0].transform(frames[1]), loaded.transform(frames[1])]
+    few, many, read = (
+        np.array([r["v"] for r in m.orderBy("row").select(vector_to_array(FEATURES).alias("v")).collect()]) for m in matrices
+    )
+    assert (few == many).all() and (few == read).all()
+    sums = [np.array([r[0] for r in m.select(vector_to_array(FEATURES)).collect()]).sum(axis=0) for _, m in encoders]
+    assert sums[0] == pytest.approx(sums[1])
+
+
+@pytest.mark.parametrize("per_range", [3, 1000])
+def test_places_of_a_vocabulary_follow_the_order_of_its_columns(spark, area, per_range):
+    rows = [("b", 10, 2.5, True), ("a", 9, -1.0, None), ("ä", 100, 0.0, False), (None, 9, 2.5, False), ("b", None, 10.0, False)]
+    table = spark.createDataFrame(rows, "t string, n int, x double, b boolean")
+    names = ["t", "n", "x", "b"]
+    listed = features.learn_vocabulary(table, names, area).columns
+    learned = features.learn_vocabulary(table, names, area, 0, per_range)
+    assert [(s.name, s.fill, s.size) for s in learned.columns] == [(s.name, s.fill, s.size) for s in listed]
+    placed = [(r["name"], r["value"]) for r in learned.table.orderBy("place").collect()]
+    assert placed == [(s.name, value) for s in listed for value in s.values]
+    assert sorted(r["place"] for r in learned.table.collect()) == list(range(len(placed)))
+
+
+def test_over_a_million_values_and_a_hot_one(spark, area, monkeypatch):
+    """Nothing but a row per column reaches the driver, and the model learns from the vectors."""
+    monkeypatch.setattr(lookup, "BROADCAST_BYTES", 1 << 20)
+    ticket = F.when(F.col("id") % 3 == 0, F.lit("usual")).otherwise(F.concat(F.lit("t"), F.col("id")))
+    table = spark.range(1_600_000).select("id", ticket.alias("ticket"))
+    vocabulary = features.learn_vocabulary(table, ["ticket"], area)
+    (stats,) = vocabulary.columns
+    assert (stats.fill, stats.size, stats.values) == ("usual", 1_066_667, None)
+    new = table.filter("id % 1000 < 30").unionByName(spark.createDataFrame([(-1, None), (-2, "never seen")], "id long, ticket string"))
+    found = features.places(new, vocabulary, ["place"])
+    assert found.filter("place IS NULL").select("id").collect() == [(-2,)]
+    wrong = found.join(vocabulary.table, "place").filter("value <> coalesce(ticket, 'usual')")
+    assert wrong.count() == 0 and found.count() == 48_002
+    span = vocabulary.table.agg(F.min("place"), F.max("place"), F.countDistinct("place")).first()
+    assert tuple(span) == (0, 1_066_666, 1_066_667)
+
+
+def test_a_model_on_a_wide_text_column(spark, area):
+    rows = [(k, None, k % 5, f"site{k // 2}", None, int(k // 2 % 3 == 0)) for k in range(240)]
+    table = spark.createDataFrame(rows, SCHEMA).withColumn(LABEL, F.col("fails").cast("double"))
+    spec = TableSpec(target="fails", categorical=("site",), numerical=("spin",), model_type="logistic_regression")
+    _, matrix = fit_encoder(table, spec, area, few_categories=10)
+    model = LogisticRegression(featuresCol=FEATURES, labelCol=LABEL, maxIter=30).fit(matrix)
+    assert model.numFeatures == 121
+    assert model.transform(matrix).filter(F.col("prediction") != F.col(LABEL)).count() == 0
