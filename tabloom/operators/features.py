@@ -18,7 +18,7 @@ from tabloom.functions.columns import (
     quoted,
 )
 from tabloom.operators.lookup import look_up, table_bytes
-from tabloom.operators.position import spots_at_ranks
+from tabloom.operators.position import spots_of_columns
 from tabloom.operators.scan import ROWS_PER_RANGE, running_totals
 from tabloom.sources.work import WorkArea
 
@@ -90,18 +90,18 @@ def exact_medians(
 ) -> dict[str, float]:
     """Median of the present values; of an even number, the mean of the middle two.
 
-    Columns with few distinct values are counted by value, all in one job. For the
-    others the middle ranks are located without collecting or sorting their values.
+    Columns with few distinct values are counted by value, all in one job. For the others the
+    middle ranks are located together, without collecting or sorting their values.
     """
     present = [name for name in names if counts[name]]
     few = [name for name in present if distinct[name] <= counted_values]
     medians = _counted_medians(df, few)
-    for name in present:
-        if name not in medians:
-            column = df.select(present_number(df, name).alias("value")).dropna()
-            ranks = {(counts[name] + 1) // 2, counts[name] // 2 + 1}
-            spots = spots_at_ranks(column, "value", sorted(ranks), counts[name])
-            medians[name] = sum(spots[rank].value for rank in ranks) / len(ranks)
+    many = [name for name in present if name not in medians]
+    ranks = [sorted({(counts[name] + 1) // 2, counts[name] // 2 + 1}) for name in many]
+    values = [present_number(df, name) for name in many]
+    found = spots_of_columns(df, values, ranks, [counts[name] for name in many])
+    for name, wanted, spots in zip(many, ranks, found, strict=True):
+        medians[name] = sum(spots[rank].value for rank in wanted) / len(wanted)
     return medians
 
 

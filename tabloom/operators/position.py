@@ -27,6 +27,8 @@ from tabloom.functions.columns import any_of, field_type, quoted
 # More comparisons than this make a generated method too long for the JVM to compile.
 MAX_PIVOTS = 31
 SAMPLE_ROWS = 10_000
+# Sampled values of all columns searched together.
+SAMPLE_VALUES = 300_000
 # So few rows are counted value by value instead of between pivots.
 DIRECT_ROWS = 10_000
 # Histogram cells one pass over the hash order may return to the driver.
@@ -138,6 +140,86 @@ def spots_at_ranks(
     return found
 
 
+def spots_of_columns(
+    df: DataFrame,
+    columns: Sequence[Column],
+    ranks: Sequence[Sequence[int]],
+    rows: Sequence[int],
+    direct_rows: int = DIRECT_ROWS,
+) -> list[dict[int, Spot]]:
+    """`spots_at_ranks` for many columns of doubles at once; NULLs have no rank.
+
+    `rows` counts the present values of each column. One aggregate a pass counts the cells of
+    all columns still open, so the number of jobs doesn't depend on how many there are.
+    """
+    dtype = T.DoubleType()
+    found: list[dict[int, Spot]] = [{} for _ in columns]
+    open_ = {
+        index: [_Span(None, None, 0, count, tuple(sorted(set(wanted))))]
+        for index, (wanted, count) in enumerate(zip(ranks, rows, strict=True))
+        if wanted
+    }
+    attempt = 0
+    while open_:
+        held = {index: sum(span.rows for span in spans) for index, spans in open_.items()}
+        part = _cells_of(df, columns, open_, dtype)
+        if sum(held.values()) <= direct_rows:
+            counted = part.groupBy("id", "value").agg(F.count(F.lit(1)).alias("rows")).collect()
+            for index, spans in open_.items():
+                listed = sorted((row["value"], row["rows"]) for row in counted if row["id"] == index)
+                for span in spans:
+                    _settle(span, listed, found[index])
+            break
+        sampled = max(SAMPLE_ROWS // 20, min(SAMPLE_ROWS, SAMPLE_VALUES // len(open_)))
+        few = _cells_of(df.sample(min(1.0, sampled / max(held.values())), seed=attempt), columns, open_, dtype)
+        samples: dict[int, list[float]] = defaultdict(list)
+        for row in few.select("id", "value").toArrow().to_pylist():
+            samples[row["id"]].append(row["value"])
+        pivots = {index: _pivots_among(sorted(samples[index]), spans) for index, spans in open_.items()}
+        histograms = _count_columns(part, pivots, dtype)
+        narrowed = {}
+        for index, spans in open_.items():
+            inner = [s for span in spans for s in _narrow(span, pivots[index], histograms[index], found[index])]
+            if inner:
+                narrowed[index] = inner
+        open_ = narrowed
+        attempt += 1
+    return found
+
+
+def _cells_of(
+    df: DataFrame, columns: Sequence[Column], open_: Mapping[int, Sequence[_Span]], dtype: T.DataType
+) -> DataFrame:
+    """(id, value) for the open columns' values inside their spans."""
+    cells = F.array(
+        *(
+            F.struct(
+                F.lit(index).alias("id"),
+                F.when(any_of([_within(columns[index], span, dtype) for span in spans]), columns[index]).alias("value"),
+            )
+            for index, spans in open_.items()
+        )
+    )
+    return df.select(F.explode(cells).alias("cell")).select("cell.*").filter("value IS NOT NULL")
+
+
+def _count_columns(
+    part: DataFrame, pivots: Mapping[int, Sequence[float]], dtype: T.DataType
+) -> dict[int, dict[int, int]]:
+    """`_count_between` for all columns, each with its own pivots, in one aggregate."""
+    listed = ", ".join(
+        f"{index}, array({', '.join(sql_literal(pivot, dtype) for pivot in values)})" for index, values in pivots.items()
+    )
+    own = part.withColumn("pivots", F.expr(f"map({listed})[id]"))
+    below = F.size(F.filter("pivots", lambda pivot: pivot < F.col("value")))
+    cell = 2 * below + F.array_contains("pivots", F.col("value")).cast("int")
+    counted = own.select("id", cell.alias("cell")).groupBy("id", "cell").agg(F.count(F.lit(1)).alias("rows"))
+    histograms: dict[int, dict[int, int]] = defaultdict(dict)
+    for row in counted.collect():
+        histograms[row["id"]][row["cell"]] = row["rows"]
+    return histograms
+
+
 def cuts_at_ranks(
     df: DataFrame,
     keys: Sequence[str],
@@ -257,7 +339,10 @@ def _choose_pivots(
     """
     fraction = min(1.0, SAMPLE_ROWS / total)
     drawn = part.sample(fraction, seed=attempt).select(_to_driver(F.col("value"), dtype))
-    sample = sorted(row[0] for row in drawn.collect())
+    return _pivots_among(sorted(row[0] for row in drawn.collect()), spans)
+
+
+def _pivots_among(sample: Sequence[Any], spans: Sequence[_Span]) -> list[Any]:
     each = max(3, MAX_PIVOTS // sum(len(span.ranks) for span in spans))
     chosen = {bound for span in spans for bound in (span.low, span.high) if bound is not None}
     for span in spans:
