@@ -10,12 +10,13 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabloom.functions.columns import field_type, is_number, number_of, quoted
+from tabloom.operators.scan import running_totals
+from tabloom.sources.work import WorkArea
 from tabloom.spec import (
     CLASSIFICATION,
     CLASSIFICATION_METRICS,
@@ -24,10 +25,8 @@ from tabloom.spec import (
     check_metric_names,
 )
 
-# Distinct scores one task ranks; more are spread over that many score intervals.
+# Distinct scores one task ranks.
 SCORES_PER_TASK = 200_000
-MAX_INTERVALS = 8192
-SAMPLES_PER_INTERVAL = 16
 
 METRIC_SCHEMA = "metric string, value double"
 
@@ -139,7 +138,7 @@ def classification_metrics(
     if score is not None:
         hits = (quoted(actual) == F.lit(found["positive"]).cast(dtype)).cast("int")
         ranked = typed.select(quoted(score).cast("double").alias("score"), hits.alias("actual"))
-        metrics |= ranking_frame(ranked, rows=found["rows"]).first().asDict()
+        metrics |= ranking_frame(ranked).first().asDict()
     return metrics
 
 
@@ -148,59 +147,30 @@ def ranking_frame(
     score: str = "score",
     actual: str = "actual",
     scores_per_task: int = SCORES_PER_TASK,
-    rows: int | None = None,
 ) -> DataFrame:
     """One row with the ROC area (ties count half) and average precision of 0/1 `actual`.
 
-    Rows are first combined per distinct score. The scores are then cut into intervals,
-    each summed by its own task; interval totals, of which there are few, carry the sums
-    from one interval to the next. NULL where a class is absent. Rows without a score, or
-    with NaN for one, have no rank and are refused. `rows`, if known, saves counting the
-    scores of a small table.
+    Rows are combined per distinct score, once. Running totals over the scores, range by range,
+    then give each score the rows above it; a range holds at most `scores_per_task` scores and
+    there may be any number of ranges. NULL where a class is absent. Rows without a score, or with
+    NaN for one, have no rank and are refused.
     """
-    narrow = df.select(
-        quoted(score).cast("double").alias("score"), quoted(actual).cast("bigint").alias("actual")
+    area = WorkArea.until_exit(df.sparkSession, "ranking")
+    hit = quoted(actual).cast("bigint")
+    counts = df.groupBy(quoted(score).cast("double").alias("score")).agg(
+        F.sum(hit).alias("p"), F.sum(1 - hit).alias("n"), F.count(F.lit(1)).alias("rows")
     )
-    refuse_unranked(narrow, "score")
-    # Both uses of the counts below share one shuffle: the filter makes their plans equal.
-    narrow = narrow.filter(F.col("score").isNotNull())
-    counts = narrow.groupBy("score").agg(
-        F.sum("actual").alias("p"), F.sum(1 - F.col("actual")).alias("n")
-    )
-    small = rows is not None and rows <= scores_per_task
-    splits = [] if small else _score_splits(narrow, scores_per_task)
-    if splits:
-        bucketizer = Bucketizer(splits=splits, inputCol="score", outputCol="interval")
-        counts = bucketizer.transform(counts)
-    else:
-        counts = counts.withColumn("interval", F.lit(0.0))
-    above = Window.orderBy(F.col("interval").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    zero = F.lit(0).cast("bigint")
-    # At most MAX_INTERVALS rows, so one task may order them.
-    offsets = (
-        counts.groupBy("interval")
-        .agg(F.sum("p").alias("tp"), F.sum("n").alias("tn"))
-        .select(
-            "interval",
-            F.coalesce(F.sum("tp").over(above), zero).alias("p_above"),
-            F.coalesce(F.sum("tn").over(above), zero).alias("n_above"),
-        )
-    )
-    within = (
-        Window.partitionBy("interval")
-        .orderBy(F.col("score").desc())
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    running = counts.select(
-        "interval",
-        "p",
-        "n",
-        F.sum("p").over(within).alias("p_within"),
-        F.sum("n").over(within).alias("n_within"),
-    ).join(F.broadcast(offsets), "interval")
+    counts = area.table(counts, "scores")
+    nameless = F.col("score").isNull() | F.isnan("score")
+    scores, unranked = counts.agg(
+        F.count(F.lit(1)), F.coalesce(F.sum(F.when(nameless, F.col("rows"))), F.lit(0))
+    ).first()
+    _refuse_unranked(unranked, score)
+    above = {"p_above": F.col("p"), "n_above": F.col("n")}
+    running = running_totals(counts.drop("rows"), [F.col("score").desc()], above, area, scores_per_task, scores)
     p, n = F.col("p").cast("double"), F.col("n").cast("double")
-    cum_p = (F.col("p_above") + F.col("p_within")).cast("double")
-    cum_n = (F.col("n_above") + F.col("n_within")).cast("double")
+    cum_p = (F.col("p_above") + F.col("p")).cast("double")
+    cum_n = (F.col("n_above") + F.col("n")).cast("double")
     sums = running.agg(
         F.sum(p).alias("p"),
         F.sum(n).alias("n"),
@@ -215,24 +185,12 @@ def ranking_frame(
 
 def refuse_unranked(df: DataFrame, score: str) -> None:
     value = quoted(score).cast("double")
-    unranked = df.agg(F.count_if(value.isNull() | F.isnan(value))).first()[0]
-    if unranked:
-        raise ValueError(f"{unranked} rows have no score or NaN in {score!r}, so they have no rank")
-
-
-def _score_splits(narrow: DataFrame, scores_per_task: int) -> list[float]:
-    """Interval bounds holding about `scores_per_task` distinct scores each."""
-    distinct = narrow.agg(F.approx_count_distinct("score").alias("scores")).first()["scores"]
-    intervals = min(MAX_INTERVALS, -(-distinct // scores_per_task))
-    if intervals < 2:
-        return []
-    # Picking by hash gives each distinct score one chance, however many rows share it.
-    every = max(1, distinct // (intervals * SAMPLES_PER_INTERVAL))
-    picked = narrow.filter(F.pmod(F.xxhash64("score"), F.lit(every)) == 0)
-    sample = sorted(row["score"] for row in picked.select("score").distinct().collect())
-    step = max(1, len(sample) // intervals)
-    inner = [score for score in sample[step::step] if abs(score) != float("inf")]
-    return [float("-inf"), *inner, float("inf")] if inner else []
+    _refuse_unranked(df.agg(F.count_if(value.isNull() | F.isnan(value))).first()[0], score)
+
+
+def _refuse_unranked(rows: int, score: str) -> None:
+    if rows:
+        raise ValueError(f"{rows} rows have no score or NaN in {score!r}, so they have no rank")
 
 
 def regression_metrics(df: DataFrame, actual: str, predicted: str) -> dict[str, float]:

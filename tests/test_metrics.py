@@ -166,7 +166,15 @@ def test_ranking_plans_no_single_task_over_scores(spark, tmp_path):
     found = metrics.ranking_frame(spark.read.parquet(path), scores_per_task=100)
     found.collect()
     plan = found._jdf.queryExecution().executedPlan().toString()
-    # Windows over scores are split by interval; the unsplit one reads interval totals.
-    assert "windowspecdefinition(interval" in plan
-    # The rows are read and combined once for both uses of the score counts.
-    assert "ReusedExchange" in plan
+    # Windows over scores are split by range; the unsplit one reads the totals of ranges.
+    assert "windowspecdefinition(__range_50" in plan
+    # The rows themselves are read and combined once, before; the plan reads the scores only.
+    assert path not in plan
+
+
+def test_ranking_over_several_levels_of_ranges(spark):
+    """Ranges of seven scores: their totals are scanned in three further levels."""
+    table = spark.range(4000).select((F.col("id") * 7 % 3989 / 4000).alias("score"), (F.col("id") % 3 % 2).alias("actual"))
+    rows = table.toPandas()
+    row = metrics.ranking_frame(table, scores_per_task=7).first()
+    assert tuple(row) == pytest.approx(brute_force_ranking(rows.score.to_numpy(), rows.actual.to_numpy()))
