@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +34,19 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
+def blocks(batch: pa.RecordBatch, column: str, size: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose strings or bytes in `column` fill about `size` bytes each."""
+    if not len(batch):
+        return
+    offsets = np.frombuffer(batch[column].buffers()[1], np.int32, len(batch) + 1, batch[column].offset * 4)
+    filled, start = offsets[1:].astype(np.int64) - offsets[0], 0
+    while start < len(batch):
+        before = filled[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(filled, before + size, "right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def row_count(df: DataFrame) -> int:
     return df.agg(F.count(F.lit(1))).first()[0]
 

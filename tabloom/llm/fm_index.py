@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import whole_text
+from tabloom.llm.common import blocks, whole_text
 from tabloom.llm.word_hash import rolling, sliding_least, word_hashes
 from tabloom.sources.work import WorkArea
 
@@ -37,6 +37,8 @@ FREQUENT = 4096
 SHARD_WORDS = 200_000
 #: Windows of a segment that are searched one after the other; more are searched side by side.
 LANE = 32
+#: Bytes of text a task works on at once (a longer document is taken whole).
+BLOCK_BYTES = 2 << 20
 
 
 #: Masks of the bits before a place in a 64-bit word.
@@ -254,7 +256,7 @@ def _keys(docs: DataFrame, width: int, gram: int) -> DataFrame:
     """(place, key, times): the keys of a document's windows and how often it has their n-gram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _in_blocks(batches, "raw"):
             at, keys, times = [], [], []
             for i, raw in enumerate(batch.column("raw").to_pylist()):
                 hashes = word_hashes(raw)[0]
@@ -279,8 +281,8 @@ def _segments(marked: DataFrame, width: int, gram: int, with_words: bool) -> Dat
     """The candidate segments: doc_id, body, start (word), route, and words or their digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, starts, routes, contents = [], [], [], []
+        for batch in _in_blocks(batches, "raw"):
+            filled, found = 0, _Segments(batch)
             keys_of, often_of = (batch.column(n).to_pylist() for n in ("keys", "often"))
             for i, raw in enumerate(batch.column("raw").to_pylist()):
                 hashes = word_hashes(raw)[0]
@@ -298,23 +300,46 @@ def _segments(marked: DataFrame, width: int, gram: int, with_words: bool) -> Dat
                         spans = [(w, w + 1) for w in range(first[r], end[r])]
                     for a, b in spans:
                         content = b" ".join(words[a : b - 1 + width])
-                        at.append(i)
-                        starts.append(a)
-                        routes.append(own[a] if often[r] else keys[a])
-                        contents.append(content if with_words else digest(content))
-            names = ["doc_id", "body"]
-            columns = [
-                *(batch.column(n).take(pa.array(at, pa.int64())) for n in names),
-                pa.array(starts, pa.int64()),
-                pa.array(routes, pa.int64()),
-                pa.array(contents, pa.binary()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, [*names, "start", "route", "content"])
+                        route = own[a] if often[r] else keys[a]
+                        found.add(i, a, route, content if with_words else digest(content))
+                        filled += len(content)
+                        if filled > BLOCK_BYTES:  # windows of a frequent key repeat their words
+                            yield found.batch()
+                            filled, found = 0, _Segments(batch)
+            yield found.batch()
 
     kind = marked.schema["doc_id"].dataType.simpleString()
     return marked.mapInArrow(run, f"doc_id {kind}, body long, start long, route long, content binary")
 
 
+class _Segments:
+    """Segments of a batch's documents, collected by column."""
+
+    def __init__(self, docs: pa.RecordBatch) -> None:
+        self.docs = docs
+        self.columns: tuple[list, ...] = ([], [], [], [])
+
+    def add(self, *values) -> None:
+        for column, value in zip(self.columns, values, strict=True):
+            column.append(value)
+
+    def batch(self) -> pa.RecordBatch:
+        at, starts, routes, contents = self.columns
+        rows = pa.array(at, pa.int64())
+        columns = [
+            *(self.docs.column(name).take(rows) for name in ("doc_id", "body")),
+            pa.array(starts, pa.int64()),
+            pa.array(routes, pa.int64()),
+            pa.array(contents, pa.binary()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "body", "start", "route", "content"])
+
+
+def _in_blocks(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from blocks(batch, column, BLOCK_BYTES)
+
+
 def digest(content: bytes) -> bytes:
     return blake2b(content, digest_size=16).digest()
 
@@ -344,11 +369,12 @@ def _searched(segments: DataFrame, width: int, shard_words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = [[], [], []]
         words = 0
-        for batch in batches:
+        for batch in _in_blocks(batches, "content"):
             for route, content, times in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if words >= shard_words and route != held[0][-1]:
-                    yield search(*held)
+                    found = search(*held)
                     held, words = [[], [], []], 0
+                    yield found
                 for column, value in zip(held, (route, content, times)):
                     column.append(value)
                 words += content.count(b" ") + 1
@@ -417,7 +443,7 @@ def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and text (kept words, one space between) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _in_blocks(batches, "raw"):
             totals, removed, kept = [], [], []
             for raw, found in zip(batch.column("raw").to_pylist(), batch.column("spans").to_pylist()):
                 words, left, at = raw.split(), [], 0
