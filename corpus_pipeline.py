@@ -3,6 +3,9 @@
 Every stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and returns a
 DataFrame that `run` writes as Parquet and reads again for the next one. All stages but the last
 return the columns of `documents`.
+
+A stage's result reads work tables until it has been written. The next stage deletes them first,
+unless the table it is given still reads them.
 """
 
 from __future__ import annotations
@@ -13,6 +16,31 @@ from pyspark.sql import functions as F
 from tabloom.llm import chosen_path, content_sort, mixing, packing, quality
 from tabloom.llm.common import session_area, table, whole_text, word_count
 from tabloom.llm.queries import mix_sources
+from tabloom.sources.work import WorkArea
+
+_left: list[WorkArea] = []
+
+
+def _area(spark: SparkSession, docs: DataFrame, label: str) -> WorkArea:
+    """Work tables of a stage; those that earlier stages left are deleted."""
+    read = _folders(docs)
+    for area in [area for area in _left if not any(area.path in folder for folder in read)]:
+        area.close()
+        _left.remove(area)
+    _left.append(session_area(spark, label))
+    return _left[-1]
+
+
+def _folders(docs: DataFrame) -> list[str]:
+    """Folders of the tables a DataFrame reads, without listing their files."""
+    leaves = docs._jdf.queryExecution().analyzed().collectLeaves()
+    found = []
+    for number in range(leaves.size()):
+        leaf = leaves.apply(number)
+        if leaf.nodeName().startswith("LogicalRelation"):
+            roots = leaf.relation().location().rootPaths()
+            found += [roots.apply(at).toString() for at in range(roots.size())]
+    return found
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,13 +50,13 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the smallest id, once."""
-    found = content_sort.content_sort(docs, session_area(spark, "exact"))
+    found = content_sort.content_sort(docs, _area(spark, docs, "exact"))
     return found.filter("kept").select("row.*")
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of similar texts the document with the smallest id, once."""
-    found = chosen_path.join_similar(docs, session_area(spark, "near"))
+    found = chosen_path.join_similar(docs, _area(spark, docs, "near"))
     leading = found.filter("leads").select("class", "group_id").distinct()
     named = docs.select(F.struct("*").alias("row"), chosen_path.same_text().alias("class"))
     kept = named.join(leading, "class").filter(F.col("row.doc_id").eqNullSafe(F.col("group_id")))
@@ -41,7 +69,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A document is an id, a text and a source. Rows that repeat all three share out the copies of
     them all. A mix of words takes no document without words, so none of those is left.
     """
-    area, body = session_area(spark, "mix"), F.xxhash64(whole_text())
+    area, body = _area(spark, docs, "mix"), F.xxhash64(whole_text())
     rows = mixing.sized(docs, word_count(whole_text()), F.array("source"), area, body.alias("body"))
     copies = F.coalesce(F.round(F.try_divide("taken", "words")), F.lit(0)).cast("long")
     taken = mix_sources(rows)[0].withColumn("source", F.col("members")[0])
@@ -58,6 +86,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of training sequences, with their token ids."""
+    _area(spark, docs, "packing")
     return packing.pack_documents(docs, packing.byte_bpe_50k())
 
 
@@ -74,8 +103,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    area = session_area(spark, "pipeline")
+    """All stages one after the other; each one's output goes when the next one's is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
+        area = session_area(spark, f"pipeline-{name}")
         docs = area.table(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            before.close()
+        before = area
     return docs
