@@ -57,21 +57,21 @@ class WorkArea:
     def until_exit(cls, spark: SparkSession, label: str = "run") -> WorkArea:
         """For tables that a lazy result still reads: deleted when the process ends."""
         area = cls(spark, label)
-        atexit.register(area._forget)
+        atexit.register(area.close)
         return area
 
-    def _forget(self) -> None:
-        if self.spark.sparkContext._jsc is not None:
-            delete_path(self.spark, self.path)
-
     def table(self, df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
         return write_table(df, f"{self.path}/{name}-{uuid.uuid4().hex}", partition_by)
 
+    def close(self) -> None:
+        if self.spark.sparkContext._jsc is not None:  # else the session has been stopped
+            delete_path(self.spark, self.path)
+
     def __enter__(self) -> WorkArea:
         return self
 
     def __exit__(self, *exc: object) -> None:
-        delete_path(self.spark, self.path)
+        self.close()
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
