@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.columns import quoted
-from tabloom.llm.common import whole_text
+from tabloom.llm.common import blocks, whole_text
 from tabloom.llm.word_hash import mix, word_hashes
 from tabloom.sources.work import WorkArea
 
@@ -44,6 +44,10 @@ BLOCK_BYTES = 4 << 20
 BYTES_A_BUCKET = 32
 LEAST_BUCKETS, MOST_BUCKETS = 1 << 16, 1 << 27
 SEGMENT = 1 << 16
+#: Keys combined before they are shuffled; chunks sampled for key ranges; dictionary bytes a range.
+KEYS_AT_ONCE = 1_500_000
+SAMPLED_CHUNKS = 4000
+BYTES_A_RANGE = 32 << 20
 #: Parts of a phrase wanted by more than a thousandth of all cuts: at most a thousand of them.
 HOT_SHARE = 1000
 
@@ -96,10 +100,12 @@ def phrase_counts(
     parsed = read.mapInArrow(_parse, "lang string, chunk binary, rows long")
     chunks = parsed.groupBy("lang", "chunk").agg(F.sum("rows").alias("rows"))
     chunks = area.table(chunks, "dictionary")
-    allowed = _frequent(chunks, least)
-    keys = chunks.mapInArrow(_keys_of(allowed), "key binary, rows long")
-    ordered = keys.repartitionByRange("key").sortWithinPartitions("key")
-    runs = ordered.mapInArrow(_runs_of(least), "key binary, rows long")
+    size, entries = chunks.agg(F.sum(F.octet_length("chunk")), F.count(F.lit(1))).first()
+    allowed = _frequent(chunks, size or 0, least)
+    splits = _splitters(chunks, entries, size or 0, allowed)
+    keys = chunks.mapInArrow(_keys_of(allowed, splits), "part int, key binary, rows long")
+    ordered = keys.repartitionById(len(splits) + 1, F.col("part")).sortWithinPartitions("key")
+    runs = ordered.select("key", "rows").mapInArrow(_runs_of(least), "key binary, rows long")
     found = runs.groupBy("key").agg(F.sum("rows").alias("rows"))
     text = F.col("key").cast("string")
     cut = F.instr(text, "\0")
@@ -182,20 +188,7 @@ def _look_up(cuts: DataFrame, counts: DataFrame, part: str, out: str, everything
 # --- Parsing ----------------------------------------------------------------------------
 
 
-def _blocks(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch that hold about `BLOCK_BYTES` each."""
-    if not len(batch):
-        return
-    sizes = np.diff(np.frombuffer(batch[column].buffers()[1], np.int32, len(batch) + 1, batch[column].offset * 4))
-    filled, start = np.cumsum(sizes), 0
-    while start < len(batch):
-        before = filled[start - 1] if start else 0
-        end = max(start + 1, int(np.searchsorted(filled, before + BLOCK_BYTES, "right")))
-        yield batch.slice(start, end - start)
-        start = end
-
-
-def _summed(names: list[str], arrays: list, rows: pa.Array) -> pa.Table:
+def _summed(names: list[str], arrays: list, rows: pa.Array | pa.ChunkedArray) -> pa.Table:
     """Equal rows as one, their numbers added up."""
     table = pa.table([*arrays, rows], names=[*names, "rows"])
     grouped = table.group_by(names, use_threads=False).aggregate([("rows", "sum")])
@@ -204,7 +197,7 @@ def _summed(names: list[str], arrays: list, rows: pa.Array) -> pa.Table:
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for block in _blocks(batch, "text"):
+        for block in blocks(batch, "text", BLOCK_BYTES):
             docs, chunks = parse_texts(block["text"].to_pylist())
             langs = block["lang"].take(pa.array(docs))
             ones = pa.array(np.ones(len(docs), np.int64))
@@ -280,9 +273,8 @@ class _Words:
 # --- The filter -------------------------------------------------------------------------
 
 
-def _frequent(chunks: DataFrame, least: int):
+def _frequent(chunks: DataFrame, size: int, least: int):
     """Broadcast bits: may a word or pair of this hash occur `least` times? At most 16 MB, no misses."""
-    size = chunks.agg(F.sum(F.octet_length("chunk"))).first()[0] or 0
     buckets = LEAST_BUCKETS
     while buckets < min(size // BYTES_A_BUCKET, MOST_BUCKETS):
         buckets *= 2
@@ -304,7 +296,7 @@ def _count_cells(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(buckets, dtype=np.uint8)
         for batch in batches:
-            for block in _blocks(batch, "chunk"):
+            for block in blocks(batch, "chunk", BLOCK_BYTES):
                 words = _Words(block)
                 single, pair = np.flatnonzero(words.owned), np.flatnonzero(words.owned & words.pairs)
                 bucket = np.concatenate((words.word_hash[single], words.pair_hash[pair])) & np.uint64(buckets - 1)
@@ -357,17 +349,36 @@ def _escaped(text: bytes) -> bytes:
     return text.replace(b"\1", b"\1\2").replace(b"\0", b"\1\1")
 
 
-def _keys_of(allowed):
+def _splitters(chunks: DataFrame, entries: int, size: int, allowed) -> list[bytes]:
+    """Bounds of key ranges of like size, from a bounded sample; they never change a result."""
+    spark = chunks.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BYTES_A_RANGE)
+    some = chunks.sample(min(1.0, SAMPLED_CHUNKS / max(entries, 1)), seed=0)
+    drawn = some.mapInArrow(_keys_of(allowed, []), "part int, key binary, rows long").select("key").collect()
+    keys = sorted(bytes(row["key"]) for row in drawn)
+    return sorted({keys[len(keys) * number // parts] for number in range(1, parts)}) if keys else []
+
+
+def _keys_of(allowed, splits: list[bytes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = allowed.value
+        bits, bounds = allowed.value, np.array(splits, dtype=object)
         mask = np.uint64(len(bits) * 8 - 1)
 
         def held(hashes: np.ndarray) -> np.ndarray:
             bucket = (hashes & mask).astype(np.int64)
             return ((bits[bucket >> 3] >> (bucket & 7).astype(np.uint8)) & 1).astype(bool)
 
+        def combined(tables: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+            """Rows of several blocks, those of one key added up, with the range they belong to."""
+            table = pa.concat_tables(tables)
+            for part in _summed(["key"], [table["key"]], table["rows"]).to_batches():
+                to = np.searchsorted(bounds, part["key"].to_numpy(zero_copy_only=False), "right")
+                numbers = pa.array(to, pa.int32())
+                yield pa.record_batch([numbers, part["key"], part["rows"]], ["part", "key", "rows"])
+
+        tables: list[pa.Table] = []
         for batch in batches:
-            for block in _blocks(batch, "chunk"):
+            for block in blocks(batch, "chunk", BLOCK_BYTES):
                 words = _Words(block)
                 joins, known = words.pairs & held(words.pair_hash), held(words.word_hash)
                 joins[:-1] &= known[:-1] & known[1:]
@@ -388,7 +399,12 @@ def _keys_of(allowed):
                     text = text.replace(b" ", b"\0")
                     keys = [heads[c] + text[s:e] if s < e else bare[c] for c, s, e in spans]
                 rows = pa.array(words.rows[chunk])
-                yield from _summed(["key"], [pa.array(keys, pa.binary())], rows).to_batches()
+                tables.append(_summed(["key"], [pa.array(keys, pa.binary())], rows))
+                if sum(map(len, tables)) > KEYS_AT_ONCE:
+                    yield from combined(tables)
+                    tables = []
+        if tables:
+            yield from combined(tables)
 
     return run
 
