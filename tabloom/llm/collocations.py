@@ -9,9 +9,8 @@ an n-gram to the chunk that owns its first word: every one lies whole in exactly
 Phrases are counted by sorting: each owned word gives one key, the up to five words from it on, and
 in sorted order all occurrences of a phrase stand together as a run of keys it is a prefix of. Keys
 are range-partitioned, runs that reach the edge of a partition are added up afterwards. A filter of
-saturating counts of words and pairs, of at most `MOST_BUCKETS` cells, ends a key before a pair too
-rare to matter and leaves only the language of a word too rare; it shortens keys and never changes a
-count that is asked for.
+saturating pair counts, of at most `MOST_BUCKETS` cells, ends a key before a pair too rare to matter;
+it only shortens keys and never changes a count that is asked for.
 """
 
 from __future__ import annotations
@@ -25,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.columns import quoted
-from tabloom.llm.common import blocks, whole_text
+from tabloom.llm.common import blocks, row_count, whole_text
 from tabloom.llm.word_hash import mix, word_hashes
 from tabloom.sources.work import WorkArea
 
@@ -50,6 +49,8 @@ SAMPLED_CHUNKS = 4000
 BYTES_A_RANGE = 32 << 20
 #: Parts of a phrase wanted by more than a thousandth of all cuts: at most a thousand of them.
 HOT_SHARE = 1000
+#: Totals of so many languages are sent to every executor; more are joined.
+FEW_LANGS = 10_000
 
 # Characters between words and characters that end a piece.
 BLANKS = b" \t"
@@ -130,7 +131,6 @@ def rank_phrases(counts: DataFrame, area: WorkArea, per_lang: int) -> DataFrame:
     everything = cuts.agg(F.count(F.lit(1))).first()[0]
     scored = _look_up(cuts, counts, "first", "l", everything)
     scored = _look_up(scored, counts, "rest", "r", everything)
-    # One row per language.
     totals = counts.filter("words = 0").select("lang", F.col("rows").alias("n"))
     scored = scored.join(totals, "lang")
     wide = "decimal(20,0)"
@@ -265,16 +265,15 @@ class _Words:
         langs = block["lang"].to_pylist()
         salts = {lang: zlib.crc32(lang.encode()) for lang in set(langs)}
         self.langs, salt = langs, np.array([salts[lang] for lang in langs], dtype=np.uint64)
-        follow, salted = np.append(self.hashes[1:], np.uint64(0)), mix(salt)[self.chunk]
-        self.pair_hash = mix(self.hashes * np.uint64(31) + follow + salted)
-        self.word_hash = mix(self.hashes ^ salted)
+        follow = np.append(self.hashes[1:], np.uint64(0))
+        self.pair_hash = mix(self.hashes * np.uint64(31) + follow + mix(salt)[self.chunk])
 
 
 # --- The filter -------------------------------------------------------------------------
 
 
 def _frequent(chunks: DataFrame, size: int, least: int):
-    """Broadcast bits: may a word or pair of this hash occur `least` times? At most 16 MB, no misses."""
+    """Broadcast bits: may a pair of this hash occur `least` times? At most 16 MB, no misses."""
     buckets = LEAST_BUCKETS
     while buckets < min(size // BYTES_A_BUCKET, MOST_BUCKETS):
         buckets *= 2
@@ -298,11 +297,10 @@ def _count_cells(buckets: int):
         for batch in batches:
             for block in blocks(batch, "chunk", BLOCK_BYTES):
                 words = _Words(block)
-                single, pair = np.flatnonzero(words.owned), np.flatnonzero(words.owned & words.pairs)
-                bucket = np.concatenate((words.word_hash[single], words.pair_hash[pair])) & np.uint64(buckets - 1)
+                at = np.flatnonzero(words.owned & words.pairs)
+                bucket = words.pair_hash[at] & np.uint64(buckets - 1)
                 order = np.argsort(bucket)
-                rows = words.rows[words.chunk[np.concatenate((single, pair))[order]]]
-                bucket = bucket[order]
+                bucket, rows = bucket[order], words.rows[words.chunk[at[order]]]
                 heads = np.flatnonzero(np.diff(bucket, prepend=np.uint64(buckets)))
                 if len(heads):
                     found = bucket[heads].astype(np.int64)
@@ -380,24 +378,20 @@ def _keys_of(allowed, splits: list[bytes]):
         for batch in batches:
             for block in blocks(batch, "chunk", BLOCK_BYTES):
                 words = _Words(block)
-                joins, known = words.pairs & held(words.pair_hash), held(words.word_hash)
-                joins[:-1] &= known[:-1] & known[1:]
+                joins = words.pairs & held(words.pair_hash)
                 at = np.flatnonzero(words.owned)
                 reach, going = at.copy(), np.ones(len(at), dtype=bool)
                 for _ in range(LONGEST - 1):
                     going &= joins[reach]
                     reach = reach + going
                 text, chunk = words.text, words.chunk[at]
-                bare = [_escaped(lang.encode()) for lang in words.langs]
-                heads = [lang + b"\0" for lang in bare]
-                starts = words.starts[at]
-                ends = np.where(known[at], words.ends[reach], starts)  # a rare word gives no key
-                spans = zip(chunk.tolist(), starts.tolist(), ends.tolist(), strict=True)
+                heads = [_escaped(lang.encode()) + b"\0" for lang in words.langs]
+                spans = zip(chunk.tolist(), words.starts[at].tolist(), words.ends[reach].tolist(), strict=True)
                 if b"\0" in text or b"\1" in text:
-                    keys = [heads[c] + _escaped(text[s:e]).replace(b" ", b"\0") if s < e else bare[c] for c, s, e in spans]
+                    keys = [heads[c] + _escaped(text[s:e]).replace(b" ", b"\0") for c, s, e in spans]
                 else:
                     text = text.replace(b" ", b"\0")
-                    keys = [heads[c] + text[s:e] if s < e else bare[c] for c, s, e in spans]
+                    keys = [heads[c] + text[s:e] for c, s, e in spans]
                 rows = pa.array(words.rows[chunk])
                 tables.append(_summed(["key"], [pa.array(keys, pa.binary())], rows))
                 if sum(map(len, tables)) > KEYS_AT_ONCE:
