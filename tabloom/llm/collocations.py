@@ -132,7 +132,8 @@ def rank_phrases(counts: DataFrame, area: WorkArea, per_lang: int) -> DataFrame:
     scored = _look_up(cuts, counts, "first", "l", everything)
     scored = _look_up(scored, counts, "rest", "r", everything)
     totals = counts.filter("words = 0").select("lang", F.col("rows").alias("n"))
-    scored = scored.join(totals, "lang")
+    few = row_count(totals) <= FEW_LANGS
+    scored = scored.join(F.broadcast(totals) if few else totals, "lang")
     wide = "decimal(20,0)"
     score = F.expr(f"CAST(1000 * a AS {wide}) * CAST(n AS {wide}) div (CAST(l AS {wide}) * CAST(r AS {wide}))")
     best = scored.withColumn("score", score).groupBy("lang", "key").agg(
