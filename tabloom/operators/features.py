@@ -113,8 +113,8 @@ def _counted_medians(df: DataFrame, names: Sequence[str]) -> dict[str, float]:
     return {names[row["id"]]: row["median"] for row in middle.collect()}
 
 
-def _value_counts(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
-    """Rows per column (by position) and present value, from one scan."""
+def _value_counts(df: DataFrame, columns: Mapping[str, Column], *by: str) -> DataFrame:
+    """Rows per column (by position) and present value, and per value of `by`, from one scan."""
     cells = F.array(
         *(
             F.struct(F.lit(index).alias("id"), column.alias("value"))
@@ -122,10 +122,10 @@ def _value_counts(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
         )
     )
     return (
-        df.select(F.explode(cells).alias("cell"))
-        .select("cell.*")
+        df.select(F.explode(cells).alias("cell"), *by)
+        .select("cell.*", *by)
         .filter(F.col("value").isNotNull())
-        .groupBy("id", "value")
+        .groupBy("id", "value", *by)
         .agg(F.count(F.lit(1)).alias("rows"))
     )
 
@@ -156,18 +156,19 @@ def numeric_stats(
     medians = exact_medians(df, names, counts, distinct, counted_values)
     stats = []
     for index, name in enumerate(names):
-        if name in medians and found[f"constant_{index}"]:
-            # Its median fills any gap, so it stays constant: centred, not scaled.
-            stats.append(NumericStats(name, medians[name], medians[name], 1.0))
-        elif name in medians:
+        if name in medians:
             present = (counts[name], found[f"mean_{index}"], found[f"spread_{index}"])
-            stats.append(_after_imputing(name, found["rows"], present, medians[name]))
+            constant = found[f"constant_{index}"]
+            stats.append(numeric_stats_from(name, found["rows"], present, medians[name], constant))
     return stats
 
 
-def _after_imputing(
-    name: str, rows: int, present: tuple[int, float, float], median: float
+def numeric_stats_from(
+    name: str, rows: int, present: tuple[int, float, float], median: float, constant: bool
 ) -> NumericStats:
+    """From count, mean and population variance of the present values of so many rows."""
+    if constant:  # its median fills any gap, so it stays constant: centred, not scaled
+        return NumericStats(name, median, median, 1.0)
     count, mean, spread = present
     filled = rows - count
     overall = (count * mean + filled * median) / rows
@@ -182,9 +183,9 @@ def scaled(df: DataFrame, stats: NumericStats) -> Column:
     return (value - F.lit(stats.mean)) / F.lit(stats.scale)
 
 
-def category_counts(df: DataFrame, names: Sequence[str]) -> DataFrame:
+def category_counts(df: DataFrame, names: Sequence[str], *by: str) -> DataFrame:
     """Rows per categorical column (by position) and value, values as text."""
-    return _value_counts(df, {name: quoted(name).cast("string") for name in names})
+    return _value_counts(df, {name: quoted(name).cast("string") for name in names}, *by)
 
 
 def category_stats(df: DataFrame, names: Sequence[str]) -> list[CategoryStats]:
@@ -212,6 +213,18 @@ def learn_vocabulary(
     if not names:
         return Vocabulary([])
     counts = area.table(category_counts(df, names), "categories")
+    return vocabulary_of(counts, df, names, area, few, rows_per_range)
+
+
+def vocabulary_of(
+    counts: DataFrame,
+    df: DataFrame,
+    names: Sequence[str],
+    area: WorkArea,
+    few: int | None = None,
+    rows_per_range: int = ROWS_PER_RANGE,
+) -> Vocabulary:
+    """The vocabulary that `category_counts` of the columns of `df` give."""
     total = counts.agg(F.count(F.lit(1))).first()[0]
     if total <= (FEW_CATEGORIES if few is None else few):
         return Vocabulary(_listed_categories(df, names, counts.collect()))

@@ -76,14 +76,14 @@ def encode_leave_one_out(
     df: DataFrame, rates: GroupRates, target: str, rate: str, known: str
 ) -> DataFrame:
     """Encode the rows the rates were fitted on, each without its own label."""
-    found = _with_totals(df, rates)
+    found = with_totals(df, rates)
     others = F.col(TOTAL) - number_of(df, target)
     return _encode(found, others, F.col(ROWS) - 1, rate, known)
 
 
 def encode_rates(df: DataFrame, rates: GroupRates, rate: str, known: str) -> DataFrame:
     """Encode other rows from everything the rates were fitted on."""
-    return _encode(_with_totals(df, rates), F.col(TOTAL), F.col(ROWS), rate, known)
+    return _encode(with_totals(df, rates), F.col(TOTAL), F.col(ROWS), rate, known)
 
 
 def _encode(df: DataFrame, total: Column, rows: Column, rate: str, known: str) -> DataFrame:
@@ -95,7 +95,7 @@ def _encode(df: DataFrame, total: Column, rows: Column, rate: str, known: str) -
     )
 
 
-def _with_totals(
+def with_totals(
     df: DataFrame, rates: GroupRates, broadcast_bytes: int | None = None
 ) -> DataFrame:
     """Left join of the totals; every row of `df` stays, once."""

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabloom.functions.columns import field_type, is_number, is_numeric, number_of, quoted
+from tabloom.operators.fold_stats import EncoderFacts
 from tabloom.operators.features import (
     CategoryStats,
     NumericStats,
@@ -252,19 +253,27 @@ class LabelDecoder(Model, DefaultParamsWritable, DefaultParamsReadable):
 class TabularPipeline(Estimator):
     """Fits encoder and model on training rows, refitting every statistic it uses."""
 
-    def __init__(self, spec: TableSpec, area: WorkArea | None = None) -> None:
+    def __init__(
+        self, spec: TableSpec, area: WorkArea | None = None, facts: EncoderFacts | None = None
+    ) -> None:
         super().__init__()
         self.spec = spec
         self.area = area
+        self.facts = facts  # what the training rows teach, if it is known already
 
     def _fit(self, train: DataFrame) -> PipelineModel:
         spec = self.spec
         area = self.area or WorkArea.until_exit(train.sparkSession, "fit")
-        labels, label = _label_column(train, spec)
+        facts = self.facts
+        labels, label = _label_column(train, spec, facts.classes if facts else None)
         if labels and len(labels) != 2:
             # Ranking needs two classes; say so before fitting anything.
             check_metric_names(spec.metrics, CLASSIFICATION_METRICS[:4], spec.task)
-        encoder, encoded = fit_encoder(train.withColumn(LABEL, label), spec, area)
+        if facts is None:
+            encoder, encoded = fit_encoder(train.withColumn(LABEL, label), spec, area)
+        else:
+            encoder = FeatureEncoder.build(facts.numeric, facts.vocabulary, facts.rates, facts.rate_medians)
+            encoded = encoder.assemble(facts.rows.withColumn(LABEL, label))
         matrix = area.table(encoded.select(FEATURES, LABEL), "matrix")
         rows = sum(labels.values()) if labels else matrix.count()
         fit = Fit(rows, len(labels) if labels else None, spec.seed)
@@ -373,11 +382,13 @@ def _summable(df: DataFrame, target: str) -> bool:
     return is_numeric(field_type(df, target))
 
 
-def _label_column(df: DataFrame, spec: TableSpec) -> tuple[dict[Any, int] | None, Column]:
+def _label_column(
+    df: DataFrame, spec: TableSpec, known: dict[Any, int] | None = None
+) -> tuple[dict[Any, int] | None, Column]:
     """Class sizes in label order, and the model's label: class index or the value itself."""
     if spec.task != CLASSIFICATION:
         return None, number_of(df, spec.target).cast("double")
-    sizes = count_classes(df, spec.target, MAX_CLASSES).few
+    sizes = known or count_classes(df, spec.target, MAX_CLASSES).few
     if sizes is None:
         raise ValueError(f"{spec.target!r} has more than {MAX_CLASSES} values; no model learns so many classes")
     if list(sizes) == list(range(len(sizes))):

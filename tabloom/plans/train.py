@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.columns import quoted
+from tabloom.operators.fold_stats import EncoderFacts
 from tabloom.operators.metrics import evaluate_predictions
 from tabloom.operators.pipeline import TabularPipeline, known_labels, save_pipeline
 from tabloom.operators.quality import StageResult, class_shares, gate, issues_frame, stage_summary
@@ -73,8 +74,10 @@ def run_training(raw: DataFrame, spec: TableSpec, outputs: Outputs | None = None
         return metrics
 
 
-def fit_pipeline(train: DataFrame, spec: TableSpec, area: WorkArea | None = None) -> PipelineModel:
-    return TabularPipeline(spec, area).fit(train)
+def fit_pipeline(
+    train: DataFrame, spec: TableSpec, area: WorkArea | None = None, facts: EncoderFacts | None = None
+) -> PipelineModel:
+    return TabularPipeline(spec, area, facts).fit(train)
 
 
 def evaluate_model(

@@ -1,0 +1,81 @@
+"""Fold statistics from common counts against fitting every fold on its own rows."""
+
+from __future__ import annotations
+
+import numpy as np
+import pytest
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from tabloom import TableSpec
+from tabloom.operators import features, group_rate
+from tabloom.operators.fold_stats import training_folds
+from tabloom.operators.pipeline import FEATURES, LABEL, FeatureEncoder, fit_encoder
+from tabloom.plans.crossval import cross_validate, fold_facts
+from tests.conftest import batch_spec, batches
+from tests.test_features import SCHEMA, machines
+
+ROLES = {"numerical": ("load", "spin"), "categorical": ("site",), "group_keys": ("unit",)}
+
+
+def matrix(df):
+    cells = np.array([r[0] for r in df.select(vector_to_array(FEATURES)).collect()])
+    return np.array(sorted(cells.round(9).tolist()))
+
+
+def placed(spark, rows, temporal):
+    fold = (F.col("row") % 4 - 1) if temporal else F.col("row") * 7 % 3
+    return spark.createDataFrame(rows, SCHEMA).withColumn("fold", fold.cast("int"))
+
+
+@pytest.mark.parametrize("counted", [features.COUNTED_VALUES, 0])
+@pytest.mark.parametrize("few", [features.FEW_CATEGORIES, 0])
+@pytest.mark.parametrize("temporal", [False, True])
+def test_every_fold_learns_what_its_own_rows_teach(spark, area, monkeypatch, counted, few, temporal):
+    monkeypatch.setattr(features.exact_medians, "__defaults__", (counted,))
+    monkeypatch.setattr(features, "FEW_CATEGORIES", few)
+    order = {"split_strategy": "temporal", "order_by": ("row",)} if temporal else {}
+    spec = TableSpec(target="fails", id_cols=("row",), model_type="logistic_regression", **ROLES, **order)
+    assigned = placed(spark, machines(9, 130, strange=True), temporal)
+    numbers = sorted(r["fold"] for r in assigned.select("fold").distinct().collect())
+    for fold, facts in enumerate(fold_facts(assigned, spec, 3, area)):
+        train = assigned.filter(F.col("fold").isin(training_folds(numbers, fold, temporal)))
+        plain, encoded = fit_encoder(train.withColumn(LABEL, F.col("fails").cast("double")), spec, area)
+        for ours, theirs in zip(facts.numeric, features.numeric_stats(train, spec.numerical), strict=True):
+            assert (ours.name, ours.median) == (theirs.name, theirs.median)
+            assert (ours.mean, ours.scale) == pytest.approx((theirs.mean, theirs.scale))
+        assert facts.classes == {r["fails"]: r["count"] for r in train.groupBy("fails").count().orderBy("fails").collect()}
+        ours = FeatureEncoder.build(facts.numeric, facts.vocabulary, facts.rates, facts.rate_medians)
+        assert ours.feature_names == plain.feature_names
+        assert matrix(ours.assemble(facts.rows)) == pytest.approx(matrix(encoded))
+        new = assigned.filter(F.col("fold") == fold)
+        assert matrix(ours.transform(new)) == pytest.approx(matrix(plain.transform(new)))
+
+
+def test_columns_empty_or_constant_in_some_folds(spark, area):
+    rows = [(k, 5.0 if k % 3 else None, k % 2 if k % 3 == 1 else 4, None if k % 3 else "only", "u", k % 2) for k in range(60)]
+    spec = TableSpec(target="fails", id_cols=("row",), model_type="logistic_regression", **ROLES)
+    assigned = placed(spark, rows, False)
+    for fold, facts in enumerate(fold_facts(assigned, spec, 3, area)):
+        train = assigned.filter(F.col("fold") != fold)
+        plain, encoded = fit_encoder(train.withColumn(LABEL, F.col("fails").cast("double")), spec, area)
+        ours = FeatureEncoder.build(facts.numeric, facts.vocabulary, facts.rates, facts.rate_medians)
+        assert ours.feature_names == plain.feature_names
+        assert matrix(ours.assemble(facts.rows)) == pytest.approx(matrix(encoded))
+
+
+def test_rates_are_not_fitted_per_fold(spark, monkeypatch):
+    def refuse(*given, **settings):
+        raise AssertionError("fitted on the rows of one fold")
+
+    monkeypatch.setattr(group_rate, "fit_rates", refuse)
+    monkeypatch.setattr("tabloom.operators.pipeline.fit_rates", refuse)
+    spec = batch_spec(group_keys=("vessel",), categorical=(), model_type="logistic_regression", params={})
+    found = cross_validate(spark.createDataFrame(batches()), spec, folds=3)
+    assert found.groupBy("fold").count().count() == 3
+
+
+def test_a_text_target_with_rates_learns_per_fold(spark, area):
+    assigned = placed(spark, machines(2, 30), False).withColumn("fails", F.col("fails").cast("string"))
+    spec = TableSpec(target="fails", id_cols=("row",), model_type="logistic_regression", **ROLES)
+    assert fold_facts(assigned, spec, 3, area) == [None] * 3
