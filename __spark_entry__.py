@@ -370,6 +370,28 @@ def group_rate_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return totals.withColumnRenamed("key", "user_id")
 
 
+def group_rates_together(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of three keys in one pass: two of them share values, one is text."""
+    orders = _view(spark, sf_dir, "learnable").withColumn("agent", (F.col("o_custkey") + 7).cast("int"))
+    keys = ("o_custkey", "agent", "o_orderpriority")
+    rates = group_rate.fit_all_rates(orders, keys, "grade", WorkArea.until_exit(spark, "rates"))
+    found = None
+    for group in rates:
+        own = group.table.select(
+            F.lit(group.key).alias("name"), F.col("key").cast("string").alias("key"), "total", "rows"
+        )
+        found = own if found is None else found.unionByName(own)
+    return found
+
+
+def group_rate_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rate of a target with three codes: the mean code of the other orders of a customer."""
+    orders = _view(spark, sf_dir, "learnable").select("o_orderkey", "o_custkey", "grade")
+    rates = group_rate.fit_rates(orders, "o_custkey", "grade", WorkArea.until_exit(spark, "rates"))
+    encoded = group_rate.encode_leave_one_out(orders, rates, "grade", "rate", "known")
+    return _rounded(encoded.select("o_orderkey", "rate", "known"), ["rate"])
+
+
 def group_rate_loo(spark: SparkSession, sf_dir: str) -> DataFrame:
     purchases = _purchases(spark, sf_dir)
     rates = group_rate.fit_rates(purchases, "user_id", "label")
@@ -685,6 +707,7 @@ def queries() -> dict[str, Query]:
         split_many_classes, folds_many_classes,
         split_temporal, folds_kfold, folds_stratified, folds_repeated, folds_rolling,
         impute_scale_numeric, numeric_statistics, impute_mode, one_hot, encoded_wide, group_rate_fit,
+        group_rates_together, group_rate_codes,
         group_rate_loo, group_rate_sparse, group_rate_apply, confusion, metrics_binary,
         metrics_macro, metrics_known_labels, metrics_regression, rank_metrics, lift_deciles,
         lift_top_fractions, train_gbt_binary, train_gbt_multiclass, train_gbt_regression,
@@ -1199,6 +1222,23 @@ def oracle_sql() -> dict[str, str]:
         ),
         "group_rate_fit": """SELECT user_id, CAST(count(*) FILTER (event_type = 'purchase')
               AS BIGINT) AS total, count(*) AS rows FROM events GROUP BY 1""",
+        "group_rates_together": _with_view(
+            "learnable",
+            " UNION ALL ".join(
+                f"""SELECT '{name}' AS name, CAST({key} AS VARCHAR) AS key, CAST(sum(grade) AS BIGINT) AS total,
+                  count(*) AS rows FROM learnable GROUP BY {key}"""
+                for name, key in (
+                    ("o_custkey", "o_custkey"), ("agent", "o_custkey + 7"), ("o_orderpriority", "o_orderpriority"),
+                )
+            ),
+        ),
+        "group_rate_codes": _with_view(
+            "learnable",
+            """SELECT o_orderkey, round(CASE WHEN n > 1 THEN (s - grade) / (n - 1) END, 6) AS rate,
+                CAST(CASE WHEN n > 1 THEN 1 ELSE 0 END AS DOUBLE) AS known
+              FROM (SELECT o_orderkey, grade, count(*) OVER (PARTITION BY o_custkey) AS n,
+                sum(grade) OVER (PARTITION BY o_custkey) AS s FROM learnable)""",
+        ),
         "group_rate_loo": _LOO.format(
             key="event_id",
             rows="""(SELECT event_id, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS label,

@@ -7,13 +7,14 @@ group never seen and a group of one have no rate, which the `known` flag records
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.functions.columns import number_of, quoted
+from tabloom.functions.columns import field_type, is_floating, number_of, quoted
 from tabloom.sources.work import WorkArea
 
 # Rate tables up to this many bytes are sent whole to every executor.
@@ -68,6 +69,59 @@ def fit_rates(
     return GroupRates.from_table(key, area.table(totals, "rates"))
 
 
+def fit_all_rates(
+    df: DataFrame, keys: Sequence[str], target: str | None, area: WorkArea
+) -> list[GroupRates]:
+    """`fit_rates` of several keys by one scan and one shuffle, stored in one table by key.
+
+    The values of all keys meet as text in one column, told apart by the number of their key.
+    """
+    types = [field_type(df, key) for key in keys]
+    if len(keys) < 2 or target not in df.columns or not all(isinstance(t, _AS_TEXT) for t in types):
+        return [fit_rates(df, key, target, area) for key in keys]
+    cells = F.array(
+        *(
+            F.struct(F.lit(number).alias("number"), _as_text(quoted(key), dtype).alias("text"))
+            for number, (key, dtype) in enumerate(zip(keys, types, strict=True))
+        )
+    )
+    value = number_of(df, target).alias("value")
+    totals = (
+        df.select(F.explode(cells).alias("cell"), value)
+        .filter("cell.text IS NOT NULL")
+        .groupBy("cell.number", "cell.text")
+        .agg(F.sum("value").alias("total"), F.count(F.lit(1)).alias("rows"))
+    )
+    held = area.table(totals.withColumn("salt", F.lit(0).cast("bigint")), "rates", ["number"])
+    measured = held.groupBy("number").agg(F.sum("rows"), F.sum(F.octet_length("text") + F.lit(48)))
+    sizes = {row[0]: (row[1], row[2]) for row in measured.collect()}
+    rates = []
+    for number, (key, dtype) in enumerate(zip(keys, types, strict=True)):
+        own = held.filter(F.col("number") == number)
+        table = own.select(_from_text(F.col("text"), dtype).alias("key"), "total", "rows", "salt")
+        rates.append(GroupRates(key, table, *sizes.get(number, (0, 0))))
+    return rates
+
+
+# Types whose values are told apart by their text.
+_AS_TEXT = (
+    T.StringType, T.IntegralType, T.FractionalType, T.BooleanType, T.DateType, T.TimestampNTZType,
+    T.TimestampType,
+)
+
+
+def _as_text(value: Column, dtype: T.DataType) -> Column:
+    if isinstance(dtype, T.TimestampType):  # an hour comes twice when clocks go back
+        value = F.unix_micros(value)
+    elif is_floating(dtype):  # -0.0 and 0.0 are one value
+        value = value + F.lit(0).cast(dtype)
+    return value.cast("string")
+
+
+def _from_text(text: Column, dtype: T.DataType) -> Column:
+    return F.timestamp_micros(text.cast("bigint")) if isinstance(dtype, T.TimestampType) else text.cast(dtype)
+
+
 def load_rates(spark: SparkSession, key: str, path: str) -> GroupRates:
     return GroupRates.from_table(key, spark.read.parquet(path))
 

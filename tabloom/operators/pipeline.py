@@ -51,7 +51,7 @@ from tabloom.operators.group_rate import (
     GroupRates,
     encode_leave_one_out,
     encode_rates,
-    fit_rates,
+    fit_all_rates,
     load_rates,
 )
 from tabloom.operators.models import Fit, create_model
@@ -289,7 +289,7 @@ def fit_encoder(
     target = spec.target if _summable(train, spec.target) else LABEL
     numeric = numeric_stats(train, spec.numerical)
     vocabulary = learn_vocabulary(train, spec.categorical, area, few_categories)
-    rates = [fit_rates(train, key, target, area) for key in spec.group_keys]
+    rates = fit_all_rates(train, spec.group_keys, target, area)
     looked_up = add_rates(train, rates, target)
     if rates:
         needed = [*spec.numerical, *spec.categorical, LABEL]

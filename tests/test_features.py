@@ -318,3 +318,51 @@ def test_the_number_of_jobs_does_not_grow_with_the_columns(spark):
     few = jobs(2)
     assert jobs(60) <= few + 4  # a pass more at most
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+# --- rates of several keys ------------------------------------------------------------
+
+
+def test_rates_of_several_keys_come_from_one_aggregate(spark, area):
+    """Keys of every type, with shared values and gaps, as `fit_rates` gives them one by one."""
+    table = spark.range(400).select(
+        F.when(F.col("id") % 7 > 0, F.col("id") % 11).alias("whole"), (F.col("id") % 11).cast("string").alias("text"),
+        F.when(F.col("id") % 5 > 0, (F.col("id") % 3 - 1) * -0.1).alias("fraction"), (F.col("id") % 2 == 0).alias("flag"),
+        F.expr("date_add(date'2024-01-01', CAST(id % 13 AS INT))").alias("day"),
+        F.expr("timestamp_micros(1729990800000000 + (id % 9) * 1800000000)").alias("hour"),
+        F.expr("CAST(id % 4 AS DECIMAL(9, 2)) / 3").alias("exact"), F.lit(None).cast("int").alias("nothing"),
+        (F.col("id") % 3).alias("y"),
+    )
+    keys = [name for name in table.columns if name != "y"]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")  # clocks went back that day
+    try:
+        together = group_rate.fit_all_rates(table, keys, "y", area)
+        for key, ours in zip(keys, together, strict=True):
+            theirs = group_rate.fit_rates(table, key, "y", area)
+            assert (ours.key, ours.rows) == (theirs.key, theirs.rows)
+            assert ours.table.schema["key"].dataType == theirs.table.schema["key"].dataType
+            rows = [sorted(map(str, rates.table.select("key", "total", "rows", "salt").collect())) for rates in (ours, theirs)]
+            assert rows[0] == rows[1]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_several_keys_are_shuffled_once(spark, area, monkeypatch):
+    written = []
+    monkeypatch.setattr(type(area), "table", lambda self, df, name, by=(): written.append(df) or df)
+    table = spark.createDataFrame(machines(1, 40), SCHEMA)
+    group_rate.fit_all_rates(table, ["unit", "site", "spin"], "fails", area)
+    plan = written[0]._jdf.queryExecution().executedPlan().toString()
+    assert len(written) == 1 and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_an_encoder_with_several_keys_is_saved_and_read(spark, area, tmp_path):
+    rows = machines(5, 80)
+    table = spark.createDataFrame(rows, SCHEMA).withColumn(LABEL, F.col("fails").cast("double"))
+    spec = TableSpec(target="fails", numerical=("load",), group_keys=("unit", "site", "spin"))
+    encoder, _ = fit_encoder(table, spec, area)
+    encoder.write().save(str(tmp_path / "e"))
+    again = FeatureEncoder.load(str(tmp_path / "e"))
+    new = spark.createDataFrame(machines(6, 40, strange=True), SCHEMA)
+    assert ordered(cells(again.transform(new))) == pytest.approx(ordered(cells(encoder.transform(new))))
