@@ -26,6 +26,10 @@ from tabloom.operators.quality import COPIES, count_copies
 from tabloom.spec import ValueRange
 
 
+# Mappings of up to this many labels are an expression; longer ones are a table.
+FEW_LABELS = 64
+
+
 def validate_columns(df: DataFrame, required: Sequence[str]) -> None:
     missing = [name for name in required if name not in df.columns]
     if missing:
@@ -36,6 +40,10 @@ def unmapped_labels(df: DataFrame, target: str, mapping: Mapping[Any, int]) -> D
     """Labels present in the table but not in the mapping, with their row counts."""
     known = _usable_keys(field_type(df, target), mapping)
     value = number_of(df, target)
+    if len(known) > FEW_LABELS:
+        counted = df.filter(value.isNotNull()).groupBy(quoted(target).alias("label")).agg(F.count(F.lit(1)).alias("rows"))
+        codes = _code_table(df, target, known, mapping)
+        return counted.join(F.broadcast(codes), number_of(counted, "label") == F.col("__known"), "left_anti")
     outside = value.isNotNull() & ~value.isin(*known) if known else value.isNotNull()
     return df.filter(outside).groupBy(quoted(target).alias("label")).agg(F.count(F.lit(1)).alias("rows"))
 
@@ -53,7 +61,23 @@ def encode_target(df: DataFrame, target: str, mapping: Mapping[Any, int]) -> Dat
             f"{found['labels']} labels of {target!r}, in {found['rows']} rows, have no code, the first "
             f"being {found['first']!r}; unmapped_labels() gives the table of them"
         )
-    return df.withColumn(target, _lookup(df, target, mapping))
+    known = _usable_keys(field_type(df, target), mapping)
+    if len(known) <= FEW_LABELS:
+        return df.withColumn(target, _lookup(df, target, mapping))
+    codes = _code_table(df, target, known, mapping)
+    joined = df.join(F.broadcast(codes), number_of(df, target) == F.col("__known"), "left")
+    return joined.withColumn(target, F.col("__code")).select(*map(quoted, df.columns))
+
+
+def _code_table(
+    df: DataFrame, target: str, known: Sequence[Any], mapping: Mapping[Any, int]
+) -> DataFrame:
+    """The mapping as a table, as large as the specification that holds it."""
+    text = isinstance(field_type(df, target), T.StringType)
+    whole = all(isinstance(key, int) for key in known)
+    kind = "string" if text else "bigint" if whole else "double"
+    rows = {(key if text else int(key) if whole else float(key)): int(mapping[key]) for key in known}
+    return df.sparkSession.createDataFrame(list(rows.items()), f"__known {kind}, __code bigint")
 
 
 def _lookup(df: DataFrame, target: str, mapping: Mapping[Any, int]) -> Column:

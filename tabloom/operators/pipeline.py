@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabloom.functions.columns import field_type, is_number, is_numeric, number_of, quoted
+from tabloom.operators.clean import FEW_LABELS
 from tabloom.operators.fold_stats import EncoderFacts
 from tabloom.operators.features import (
     CategoryStats,
@@ -241,7 +242,11 @@ class LabelDecoder(Model, DefaultParamsWritable, DefaultParamsReadable):
     def _transform(self, df: DataFrame) -> DataFrame:
         texts, dtype = self._labels()
         added = {"prediction": F.col(INDEX)}
-        if texts is not None:
+        if texts is not None and len(texts) > FEW_LABELS:
+            table = df.sparkSession.createDataFrame(list(enumerate(texts)), f"{INTERNAL}at int, {INTERNAL}label_text string")
+            df = df.join(F.broadcast(table), F.col(INDEX).cast("int") == F.col(f"{INTERNAL}at"), "left")
+            added["prediction"] = F.col(f"{INTERNAL}label_text").cast(dtype)
+        elif texts is not None:
             values = F.array(*(F.lit(text).cast(dtype) for text in texts))
             added["prediction"] = F.element_at(values, F.col(INDEX).cast("int") + 1)
             if len(texts) == 2 and PROBABILITY in df.columns:
@@ -265,15 +270,15 @@ class TabularPipeline(Estimator):
         spec = self.spec
         area = self.area or WorkArea.until_exit(train.sparkSession, "fit")
         facts = self.facts
-        labels, label = _label_column(train, spec, facts.classes if facts else None)
+        labels, labelled = _with_labels(facts.rows if facts else train, spec, facts.classes if facts else None)
         if labels and len(labels) != 2:
             # Ranking needs two classes; say so before fitting anything.
             check_metric_names(spec.metrics, CLASSIFICATION_METRICS[:4], spec.task)
         if facts is None:
-            encoder, encoded = fit_encoder(train.withColumn(LABEL, label), spec, area)
+            encoder, encoded = fit_encoder(labelled, spec, area)
         else:
             encoder = FeatureEncoder.build(facts.numeric, facts.vocabulary, facts.rates, facts.rate_medians)
-            encoded = encoder.assemble(facts.rows.withColumn(LABEL, label))
+            encoded = encoder.assemble(labelled)
         matrix = area.table(encoded.select(FEATURES, LABEL), "matrix")
         rows = sum(labels.values()) if labels else matrix.count()
         fit = Fit(rows, len(labels) if labels else None, spec.seed)
@@ -382,23 +387,29 @@ def _summable(df: DataFrame, target: str) -> bool:
     return is_numeric(field_type(df, target))
 
 
-def _label_column(
+def _with_labels(
     df: DataFrame, spec: TableSpec, known: dict[Any, int] | None = None
-) -> tuple[dict[Any, int] | None, Column]:
-    """Class sizes in label order, and the model's label: class index or the value itself."""
+) -> tuple[dict[Any, int] | None, DataFrame]:
+    """Class sizes in label order, and the table with the model's label: class index or the value.
+
+    `known` are the class sizes, if they have been counted. Indexes of many classes are joined.
+    """
     if spec.task != CLASSIFICATION:
-        return None, number_of(df, spec.target).cast("double")
+        return None, df.withColumn(LABEL, number_of(df, spec.target).cast("double"))
     sizes = known or count_classes(df, spec.target, MAX_CLASSES).few
     if sizes is None:
         raise ValueError(f"{spec.target!r} has more than {MAX_CLASSES} values; no model learns so many classes")
+    dtype = field_type(df, spec.target)
     if list(sizes) == list(range(len(sizes))):
-        return sizes, number_of(df, spec.target).cast("double")
-    pairs = [
-        part
-        for index, label in enumerate(sizes)
-        for part in (F.lit(label).cast(field_type(df, spec.target)), F.lit(float(index)))
-    ]
-    return sizes, F.create_map(*pairs)[quoted(spec.target)]
+        return sizes, df.withColumn(LABEL, number_of(df, spec.target).cast("double"))
+    if len(sizes) > FEW_LABELS:
+        schema = T.StructType([T.StructField("__label_value", dtype), T.StructField(LABEL, T.DoubleType())])
+        rows = [(label, float(index)) for index, label in enumerate(sizes)]
+        table = F.broadcast(df.sparkSession.createDataFrame(rows, schema))  # at most MAX_CLASSES rows
+        joined = df.join(table, quoted(spec.target) == F.col("__label_value"), "left")
+        return sizes, joined.drop("__label_value")
+    pairs = [part for index, label in enumerate(sizes) for part in (F.lit(label).cast(dtype), F.lit(float(index)))]
+    return sizes, df.withColumn(LABEL, F.create_map(*pairs)[quoted(spec.target)])
 
 
 def _decoded_type(df: DataFrame, spec: TableSpec) -> T.DataType:

@@ -118,3 +118,25 @@ def test_filters_reach_below_the_deduplication(spark, tmp_path):
     plan = cleaned._jdf.queryExecution().executedPlan().toString()
     assert "IsNotNull(y)" in plan
     assert plan.rindex("Filter") > plan.index("Aggregate")
+
+
+# --- long label mappings --------------------------------------------------------------
+
+
+@pytest.mark.parametrize("cast", ["string", "int", "double"])
+def test_a_mapping_of_five_thousand_labels_is_a_table(spark, cast):
+    table = spark.range(10_000).select("id", (F.col("id") % 5000 * 3).cast(cast).alias("y"))
+    label = {"string": str, "int": int, "double": float}[cast]
+    mapping = {(f"{3 * k}" if cast == "string" else label(3 * k)): k + 1 for k in range(5000)}
+    coded = clean.encode_target(table, "y", mapping)
+    assert coded.columns == ["id", "y"] and coded.schema["y"].dataType.simpleString() == "bigint"
+    assert coded.filter(F.col("y") != F.col("id") % 5000 + 1).count() == 0
+    plan = coded._jdf.queryExecution().analyzed().toString()
+    assert "map(" not in plan and len(plan) < 5000
+    gone = mapping.copy()
+    del gone["6" if cast == "string" else label(6)]
+    assert [r["rows"] for r in clean.unmapped_labels(table, "y", gone).collect()] == [2]
+    with pytest.raises(ValueError, match="1 labels of 'y', in 2 rows"):
+        clean.encode_target(table, "y", gone)
+    gaps = table.withColumn("y", F.when(F.col("id") > 7, F.col("y")))
+    assert clean.encode_target(gaps, "y", mapping).filter("y IS NULL").count() == 8
