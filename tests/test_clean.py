@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,21 +58,20 @@ def test_whole_numbers_match_floating_and_boolean_labels(spark):
     assert values(clean.encode_target(flags, "y", {1: 7, 0: 3}), "y") == [3, 7]
 
 
-def test_rows_equal_over_every_column_are_dropped_once(spark):
-    table = frame(
-        spark, {"age": [1.0, 1.0, None, None], "y": [0, 0, 1, 1], "note": ["x", "x", None, None]},
-        "age double, y int, note string",
-    )
-    assert clean.clean_dataset(table, ["age"], "y").count() == 2
-
-
-def test_rows_told_apart_by_another_column_are_kept(spark):
-    table = frame(
-        spark, {"age": [1.0, 1.0], "y": [0, 0], "id": [1, 2]}, "age double, y int, id int"
-    )
-    cleaned = clean.clean_dataset(table, ["age"], "y")
-    assert cleaned.columns == ["age", "y"]
-    assert cleaned.count() == 2
+@pytest.mark.parametrize("seed", range(4))
+def test_a_row_counts_once_however_often_it_stands_there(spark, seed):
+    """Barrels drawn with repeats; some columns are not modelled, yet tell barrels apart."""
+    pick = random.Random(seed)
+    barrels = [
+        (pick.choice([None, 0.5, 2.25]), pick.choice(["oak", None]), pick.choice([10, 11]), pick.randrange(2))
+        for _ in range(40)
+    ]
+    table = spark.createDataFrame(barrels, "litres double, wood string, cellar int, leaks int").repartition(3)
+    whole = clean.clean_dataset(table, ["litres", "wood", "cellar"], "leaks")
+    assert sorted(map(str, map(tuple, whole.collect()))) == sorted(map(str, set(barrels)))
+    narrow = clean.clean_dataset(table, ["wood"], "leaks")
+    assert narrow.columns == ["wood", "leaks"]
+    assert sorted(str(tuple(r)) for r in narrow.collect()) == sorted(str((b[1], b[3])) for b in set(barrels))
 
 
 def test_nan_counts_as_missing(spark):
