@@ -1,11 +1,11 @@
 """Line dedup by content-defined chunks.
 
 A rolling hash over the hashes of neighbouring lines closes a chunk wherever it hits a chosen
-residue, so an inserted line moves the boundaries near it only. Chunks of several lines that occur
-more than once, in any documents, stay at their first place and go everywhere else. Chunks are
-found by digest and compared byte by byte: the grouping key holds the chunk's text.
-
-Chunks of one line always stay, also inside a repeated passage; see the README.
+residue, so an inserted line moves the boundaries near it only. No boundary closes a chunk of fewer
+than `LEAST_LINES` lines, and a shorter rest at the end belongs to the chunk before it: only a text
+that is shorter itself is a chunk of one line. Chunks of several lines that occur more than once, in
+any documents, stay at their first place and go everywhere else. Chunks are found by digest and
+compared byte by byte: the grouping key holds the chunk's text.
 """
 
 from __future__ import annotations
@@ -32,15 +32,21 @@ def line_hash(line: str) -> int:
     return int(md5(line.encode("utf-8", "replace")).hexdigest()[:8], 16)
 
 
-def chunks(lines: list[str], window: int = WINDOW, mean_lines: int = MEAN_LINES) -> list[tuple[int, int]]:
+def chunks(
+    lines: list[str], window: int = WINDOW, mean_lines: int = MEAN_LINES, least_lines: int = LEAST_LINES
+) -> list[tuple[int, int]]:
     """(first line, end) of every chunk; together they cover all lines."""
     out, start, recent = [], 0, []
     for at, line in enumerate(lines):
         recent = [line_hash(line), *recent[: window - 1]]
         rolled = sum(h * MULTIPLIER**k for k, h in enumerate(recent)) % MODULUS
-        if rolled % mean_lines == 0 or at == len(lines) - 1:
+        if rolled % mean_lines == 0 and at + 1 - start >= least_lines:
             out.append((start, at + 1))
             start = at + 1
+    if start < len(lines):
+        if out and len(lines) - start < least_lines:
+            start = out.pop()[0]
+        out.append((start, len(lines)))
     return out
 
 
@@ -50,7 +56,7 @@ def _chunk_rows(docs: DataFrame, with_text: bool, least_lines: int) -> DataFrame
             at, starts, ends, digests, texts = [], [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 lines = text.split("\n")
-                for start, end in chunks(lines):
+                for start, end in chunks(lines, least_lines=least_lines):
                     if end - start >= least_lines:
                         chunk = "\n".join(lines[start:end])
                         at.append(i)

@@ -304,10 +304,15 @@ ORACLES = {
         WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
           l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM d),
           h AS (SELECT *, CAST('0x' || left(md5(line), 8) AS BIGINT) AS h FROM l),
-          b AS (SELECT *, (h + 31 * coalesce(lag(h) OVER w, 0)) % 2147483647 % 3 = 0 AS closes FROM h
+          b AS (SELECT *, (h + 31 * coalesce(lag(h) OVER w, 0)) % 2147483647 % 3 = 0 AS hit FROM h
             WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+          -- Of neighbouring hits every second closes a chunk, so that each has two lines at least.
+          s AS (SELECT *, coalesce(max(pos) FILTER (NOT hit) OVER (PARTITION BY doc_id ORDER BY pos), -1) + 1 AS first,
+            count(*) OVER (PARTITION BY doc_id) AS total FROM b),
+          e AS (SELECT *, hit AND (pos - first) % 2 = CASE WHEN first = 0 THEN 1 ELSE 0 END
+            AND pos <> total - 2 AS closes FROM s),
           c AS (SELECT *, coalesce(sum(CAST(closes AS INT)) OVER (PARTITION BY doc_id ORDER BY pos
-            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM b),
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM e),
           t AS (SELECT doc_id, chunk, min(pos) AS start, count(*) AS n,
             string_agg(line, chr(10) ORDER BY pos) AS body FROM c GROUP BY ALL),
           r AS (SELECT *, n > 1 AND row_number() OVER (PARTITION BY n > 1, body

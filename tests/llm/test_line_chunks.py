@@ -78,3 +78,22 @@ def test_odd_rows_and_empty_table(spark, area):
     rows = [(r["doc_id"], r["text"]) for r in dicts(docs)]
     assert [r[0] for r in found(docs, area)] == [r[0] for r in brute(rows)]
     assert found(no_documents(spark), area) == []
+
+
+def test_no_chunk_is_shorter_than_asked_unless_its_text_is():
+    for seed in range(60):
+        pick = random.Random(seed)
+        lines = [f"line {pick.randrange(9)}" for _ in range(pick.randrange(1, 40))]
+        for least in (1, 2, 3, 5):
+            spans = line_chunks.chunks(lines, least_lines=least)
+            assert [a for a, _ in spans] == [0, *(b for _, b in spans[:-1])] and spans[-1][1] == len(lines)
+            assert all(b - a >= least for a, b in spans) or len(spans) == 1
+
+
+def test_a_later_copy_of_a_text_goes_whole(spark, area):
+    """Exact copies of texts of two lines or more lose all their lines."""
+    texts = shared_texts(8, 30)
+    rows = found(documents(spark, texts + texts), area)
+    for doc_id, n_lines, n_removed, _ in rows:
+        if doc_id >= len(texts) and n_lines > 1:
+            assert n_removed == n_lines
