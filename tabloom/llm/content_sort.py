@@ -5,7 +5,9 @@ texts next to each other, and every row is compared in full with its left neighb
 the sort key only keeps the splitters short; equality is decided by comparing bytes.
 
 A text with many copies would fill one range, so its rows are dealt to several ranges by a salt
-and their first rows, one per range and text, are sorted and compared once more. Which texts are
+and their first rows, one per range and text, are sorted and compared once more. The salt is of the row's
+place in its input partition, so rows that share an id or have none are dealt out as well; results
+don't depend on it. Which texts are
 that frequent is counted first: more than `max(ROWS_AT_ONCE, rows / FREQUENT)` rows, so there are
 at most FREQUENT of them and at most 2 * FREQUENT ranges, which bounds both broadcast tables.
 """
@@ -52,14 +54,14 @@ def content_sort(
             quoted(id_col).alias("id"),
             normalised(whole_text(quoted(text_col))).alias("body"),
         )
-        .withColumn("hash", F.xxhash64("body"))
+        .withColumns({"hash": F.xxhash64("body"), "place": F.monotonically_increasing_id()})
     )
     limit = max(rows_at_once, -(-row_count(docs) // FREQUENT))
     frequent = base.groupBy("hash").agg(F.count(F.lit(1)).alias("copies"))
     frequent = area.table(frequent.filter(F.col("copies") > limit), "frequent")
 
     ranges = F.ceil(F.col("copies") / limit)
-    salt = F.when(F.col("copies").isNotNull(), F.pmod(F.xxhash64("id"), ranges)).otherwise(-1)
+    salt = F.when(F.col("copies").isNotNull(), F.pmod(F.xxhash64("id", "place"), ranges)).otherwise(-1)
     key = ["prefix", "hash", "salt"]
     placed = (
         base.join(F.broadcast(frequent), "hash", "left")

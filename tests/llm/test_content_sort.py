@@ -4,6 +4,7 @@ import re
 from hashlib import sha256
 
 import pytest
+from pyspark.sql import functions as F
 
 from tabloom.llm import content_sort
 from tests.llm.odd import dicts, documents, no_documents, odd_documents
@@ -60,3 +61,24 @@ def test_plan_sorts_ranges_and_runs_no_python(spark, area):
     docs = documents(spark, ["a", "b", "a"])
     plan = content_sort.content_sort(docs, area)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("ids", ["null", "one"])
+def test_copies_that_share_an_id_or_have_none_are_dealt_out(spark, area, ids):
+    """Half of all rows are one text: no range holds much more than its share of them."""
+    rows = 20_000
+    shared = F.lit(None).cast("long") if ids == "null" else F.lit(5).cast("long")
+    text = F.when(F.col("id") % 2 == 0, F.lit("the same text")).otherwise(F.concat(F.lit("text "), F.col("id")))
+    docs = spark.range(rows).select(F.when(F.col("id") % 2 == 0, shared).otherwise(F.col("id") + 10).alias("doc_id"), text.alias("text"))
+    found = content_sort.content_sort(docs.repartition(6), area, rows_at_once=256)
+    whole = found.filter("row.text = 'the same text'").agg(F.count(F.lit(1)), F.min("group_size"), F.max("group_size"), F.count_if("kept")).first()
+    assert tuple(whole) == (rows // 2, rows // 2, rows // 2, 1)
+    runs = next(p for p in area_tables(area) if "runs" in p)
+    dealt = spark.read.parquet(runs).filter("salt >= 0").groupBy("salt").count().agg(F.count(F.lit(1)), F.max("count")).first()
+    assert dealt[0] >= 30 and dealt[1] < 2 * rows / 2 / dealt[0]
+
+
+def area_tables(area):
+    from pathlib import Path
+
+    return [str(path) for path in Path(area.path).iterdir()]
