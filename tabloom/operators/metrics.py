@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.functions.columns import field_type, is_number, number_of, quoted
+from tabloom.functions.columns import field_type, is_floating, is_number, number_of, quoted
 from tabloom.operators.scan import running_totals
 from tabloom.sources.work import WorkArea
 from tabloom.spec import (
@@ -28,6 +28,8 @@ from tabloom.spec import (
 # Distinct scores one task ranks.
 SCORES_PER_TASK = 200_000
 
+EXACT_IN_DOUBLE = 1 << 53
+
 METRIC_SCHEMA = "metric string, value double"
 
 
@@ -107,7 +109,10 @@ def classification_metrics(
     ones scoring 0.
     """
     names = ("precision", "recall", "f1")
-    dtype = _common_type(field_type(df, actual), field_type(df, predicted))
+    kinds = field_type(df, actual), field_type(df, predicted)
+    dtype = _common_type(*kinds)
+    # Whole numbers read as double: labels from 2^53 on would melt into their neighbours.
+    mixed = isinstance(dtype, T.DoubleType) and any(not is_floating(kind) for kind in kinds)
     typed = df.withColumns({n: quoted(n).cast(dtype) for n in (actual, predicted)})
     scored = class_metrics(class_table(confusion(typed, actual, predicted)))
     if labels is None:
@@ -124,7 +129,13 @@ def classification_metrics(
         *(F.sum(F.when(known, F.col(name))).alias(name) for name in names),
         positive.alias("positive"),
         top.alias("top"),
+        (F.max(F.abs("label")) if mixed else F.lit(None).cast("double")).alias("largest"),
     ).first()
+    if mixed and (found["largest"] or 0) >= EXACT_IN_DOUBLE:
+        raise ValueError(
+            f"{actual!r} and {predicted!r} hold whole and fractional numbers beyond {EXACT_IN_DOUBLE}, "
+            "which cannot be told apart; cast them to one type"
+        )
     if found["observed"] < 2:
         raise ValueError(
             "all evaluated rows have the same label, so class metrics would be meaningless; "

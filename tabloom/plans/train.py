@@ -99,9 +99,9 @@ def record_evidence(
     spark, spec = staged.table.sparkSession, staged.spec
     tables = []
     if outputs.issues:
-        tables.append((issues_frame(spark, reports), outputs.issues))
+        tables.append((issues_frame(spark, reports).coalesce(1), outputs.issues))
     if outputs.stages:
-        tables.append((stage_summary(spark, reports), outputs.stages))
+        tables.append((stage_summary(spark, reports).coalesce(1), outputs.stages))
     if outputs.classes and spec.task == CLASSIFICATION and spec.target in staged.table.columns:
         tables.append((class_shares(staged.table, spec), outputs.classes))
     append_evidence([(table.withColumn("run_id", F.lit(run_id)), path) for table, path in tables])

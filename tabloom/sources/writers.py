@@ -75,4 +75,4 @@ def save_metrics(
 def append_evidence(tables: Sequence[tuple[DataFrame, str]]) -> None:
     """Append quality evidence; called before a gate may raise."""
     for table, path in tables:
-        table.coalesce(1).write.mode("append").parquet(path)
+        table.write.mode("append").parquet(path)

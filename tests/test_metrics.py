@@ -178,3 +178,13 @@ def test_ranking_over_several_levels_of_ranges(spark):
     rows = table.toPandas()
     row = metrics.ranking_frame(table, scores_per_task=7).first()
     assert tuple(row) == pytest.approx(brute_force_ranking(rows.score.to_numpy(), rows.actual.to_numpy()))
+
+
+def test_whole_labels_that_a_double_cannot_tell_apart_are_refused(spark):
+    large = frame(spark, {"a": [2**53, 2**53 + 1, 5], "p": [2.0**53, 2.0**53, 5.0]}, "a bigint, p double")
+    with pytest.raises(ValueError, match="cannot be told apart"):
+        metrics.classification_metrics(large, "a", "p")
+    whole = large.withColumn("p", large.a)
+    assert metrics.classification_metrics(whole, "a", "p")["accuracy"] == 1.0
+    small = frame(spark, {"a": [2**52, 5], "p": [2.0**52, 4.5]}, "a bigint, p double")
+    assert metrics.classification_metrics(small, "a", "p")["accuracy"] == 0.5
