@@ -122,3 +122,46 @@ def test_copies_do_not_make_their_words_typical(spark, area):
     sample = spark.createDataFrame(rows, "label int, text string")
     ordinary, toxic = toxicity.train_dictionaries(sample, area)
     assert b" insult" in toxic and b"qzx" not in toxic and b" insult" not in ordinary
+
+
+def test_dictionaries_are_trained_on_their_class_and_repeat(spark, area):
+    rows = [(1, f"w{i} insult v{i} odd{i}") for i in range(300)] + [(1, None), (0, None), (0, "")]
+    rows += [(0, f"plain{i % 7} text{i} more of it and quite a few words") for i in range(300)]
+    sample = spark.createDataFrame(rows, "label int, text string")
+    ordinary, toxic = toxicity.train_dictionaries(sample, area)
+    again = toxicity.train_dictionaries(sample.repartition(5), area)
+    assert (ordinary, toxic) == again and len(ordinary) == len(toxic)
+    window = b" that insult and the insult of it "
+    plain, marked = toxicity.Distance(ordinary, toxic).compress
+    assert len(marked(window)) < len(plain(window))
+    assert b" quite a few" in ordinary
+    only = toxicity.train_dictionaries(sample.filter("label = 0"), area)
+    assert only[0] == only[1]
+    assert toxicity.train_dictionaries(sample.limit(0), area) == (b"", b"")
+
+
+def brute_features(text, ordinary, toxic):
+    """The features from one compression at a time, without held state."""
+    import zstandard
+
+    settings = zstandard.ZstdCompressionParameters(**toxicity._SETTINGS)
+
+    def size(window, content):
+        held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(dict_data=held, compression_params=settings).compress(window))
+
+    saved = [size(w, ordinary) - size(w, toxic) for w in toxicity.windows(text)]
+    best = sorted(saved, reverse=True)[:3]
+    return [
+        max(saved), sum(best), sum(saved) / len(saved),
+        sum(s >= 3 for s in saved) / len(saved), sum(s >= 5 for s in saved) / len(saved),
+        sum(s >= 3 for s in saved), sum(s >= 5 for s in saved),
+        sum(max(0, s - 2) for s in saved), np.log1p(len(saved)),
+    ]
+
+
+def test_features_against_single_compressions():
+    ordinary, toxic = b" and the words that all of them use ", b" fool and clown that you are "
+    texts = ["", "the words that you use, clown", "fool " * 200, "x" * 5000, "äöü clown " * 30]
+    found = toxicity.Distance(ordinary, toxic).table(texts)
+    assert np.allclose(found, [brute_features(t, ordinary, toxic) for t in texts])
