@@ -289,15 +289,15 @@ def _clusters_sql() -> str:
 
 ORACLES = {
     "op2_vector_file": """
-        WITH v AS (SELECT vec_id, list_transform(embedding,
+        WITH v AS (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding,
               lambda x: floor(CAST(x AS DOUBLE) * 64)) AS parts
             FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
               AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-          s AS (SELECT q.vec_id AS query_id, c.vec_id,
+          s AS (SELECT q.row AS asked, q.vec_id AS query_id, c.vec_id,
               CAST(list_inner_product(q.parts, c.parts) AS BIGINT) AS score
-            FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+            FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.row <> q.row
               AND len(q.parts) = len(c.parts))
-        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY asked ORDER BY score DESC, vec_id)
             AS INTEGER) AS rank, vec_id, score FROM s
         QUALIFY rank <= 20""",
     "op3_line_chunks": """

@@ -29,6 +29,8 @@ SHARD_ROWS = 8192
 GROUP_ROWS = 2048
 #: Queries whose bounds are held in memory at once.
 QUERY_BLOCK = 128
+#: No score of the table may be larger.
+MOST_SCORE = 2**62
 
 
 def integers(vectors: DataFrame, scale: float = SCALE) -> DataFrame:
@@ -90,15 +92,19 @@ def cell_centres(span: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
 
 def best(
     queries: np.ndarray,
-    query_ids: np.ndarray,
+    query_rows: np.ndarray,
     codes: np.ndarray,
     exact: np.ndarray,
     ids: np.ndarray,
+    rows: np.ndarray,
     span: np.ndarray,
     top: int,
     count: int = CELLS,
 ) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query number, candidate numbers, scores): the `top` highest, ties to the smaller id."""
+    """(query number, candidate numbers, scores): the `top` highest, ties to the smaller id.
+
+    `query_rows` and `rows` number the rows of the table: a row is no candidate of itself.
+    """
     centres, halves = cell_centres(span, count)
     about = centres[codes, np.arange(codes.shape[1])]
     widest = halves.max(0) if count else halves
@@ -107,7 +113,7 @@ def best(
         scores = block.astype(np.float64) @ about.T
         # Rounding of the sums stays far below one unit of the last place times the terms.
         slack = np.abs(block) @ widest + 1e-9 * (1 + np.abs(block) @ np.abs(span).max(0))
-        scores[query_ids[start : start + QUERY_BLOCK, None] == ids[None, :]] = -np.inf
+        scores[query_rows[start : start + QUERY_BLOCK, None] == rows[None, :]] = -np.inf
         for q, (bounds, error) in enumerate(zip(scores, slack, strict=True)):
             allowed = np.flatnonzero(bounds > -np.inf)
             if len(allowed) > top:
@@ -138,13 +144,17 @@ def search(
 ) -> DataFrame:
     """query_id, rank, vec_id, score: for every query row its `top` best other rows.
 
-    Rows with the query's own id are no candidates. Vectors only meet vectors of their size. Ids
-    that occur more than once are candidates as often; each query row has its own ranks. A null
-    id takes no part. Other columns are not read; an empty table gives an empty result.
+    Every row but the query's own is a candidate, others of its id included. Vectors only meet
+    vectors of their size. Ids that occur more than once are candidates as often; each query row
+    has its own ranks. A null id takes no part. Other columns are not read; an empty table gives an
+    empty result. Components so large that a score could leave 64 bits are refused.
     """
     rows = integers(vectors.filter(F.col("vec_id").isNotNull()), scale)
     kind = vectors.schema["vec_id"].dataType.simpleString()
     spans = ranges(rows)
+    for size, span in spans.items():
+        if sum(max(abs(int(low)), abs(int(high))) ** 2 for low, high in span.T) > MOST_SCORE:
+            raise ValueError(f"components of vectors of size {size} are too large: scores would leave 64 bits")
 
     def approximate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,10 +207,11 @@ def search(
             ids = c.column("vec_id").to_numpy()
             found = best(
                 matrix(q, "exact", np.int64),
-                q.column("vec_id").to_numpy(),
+                q.column("place").to_numpy(),
                 matrix(c, "codes", np.uint8),
                 matrix(c, "exact", np.int64),
                 ids,
+                c.column("place").to_numpy(),
                 spans[int(size)],
                 top,
             )

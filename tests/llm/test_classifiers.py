@@ -134,7 +134,7 @@ def test_dictionaries_are_trained_on_their_class_and_repeat(spark, area):
     window = b" that insult and the insult of it "
     plain, marked = toxicity.Distance(ordinary, toxic).compress
     assert len(marked(window)) < len(plain(window))
-    assert b" quite a few" in ordinary
+    assert b" of it and" in ordinary
     only = toxicity.train_dictionaries(sample.filter("label = 0"), area)
     assert only[0] == only[1]
     assert toxicity.train_dictionaries(sample.limit(0), area) == (b"", b"")

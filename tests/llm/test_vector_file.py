@@ -24,9 +24,10 @@ def brute(rows, top):
         if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)
     ]
     out = []
-    for i, v in usable:
+    for own, (i, v) in enumerate(usable):
         if i % 5 == 0:
-            scores = [(-sum(a * b for a, b in zip(v, w)), j) for j, w in usable if j != i and len(v) == len(w)]
+            others = usable[:own] + usable[own + 1 :]
+            scores = [(-sum(a * b for a, b in zip(v, w)), j) for j, w in others if len(v) == len(w)]
             out += [(i, k + 1, j, -s) for k, (s, j) in enumerate(sorted(scores)[:top])]
     return sorted(out)
 
@@ -77,3 +78,22 @@ def test_bounds_hold_and_few_exact_vectors_are_read():
     centres, halves = vector_file.cell_centres(span, 16)
     at = np.arange(8)
     assert (np.abs(parts - centres[codes, at]) <= halves[codes, at]).all()
+
+
+def test_other_rows_of_the_own_id_are_candidates(spark, area):
+    rows = [(0, [1.0, 0.0]), (0, [0.5, 0.5]), (1, [0.0, 1.0])]
+    got = found(spark, rows, area)
+    assert got == brute(rows, 7) and len(got) == 4
+    many = [(5 * (i % 3), v) for i, v in vectors(5, 60, 4)]
+    assert found(spark, many, area, shard_rows=20, group_rows=8) == brute(many, 7)
+
+
+@pytest.mark.parametrize("large", [1e14, 1e30])
+def test_scores_beyond_64_bits_are_refused(spark, area, large):
+    with pytest.raises(ValueError, match="64 bits"):
+        found(spark, [(5, [large, 1.0]), (6, [large, -large])], area)
+
+
+def test_large_scores_within_64_bits(spark, area):
+    rows = [(5 * i, [2.0**22 * x for x in v]) for i, v in vectors(6, 40, 3)]
+    assert found(spark, rows, area) == brute(rows, 7)
