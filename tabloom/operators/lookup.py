@@ -50,12 +50,15 @@ def look_up(
     spread = F.pmod(F.xxhash64(*map(quoted, plain)), F.lit(SALTS)).cast("int")
     done = F.col("__hot").isNotNull() | F.col("__open").isNull()
     salted = marked.withColumns({"__far": F.when(~done, F.col("__open")), "__salt": F.when(done, spread).otherwise(0)})
+    # Always 0, but no literal: a literal is moved out of the join's keys, and the salt with it.
+    zero = F.pmod(F.xxhash64("__key"), F.lit(1)).cast("int")
     joined = salted.join(
-        named.withColumn("__zero", F.lit(0)),
+        named.withColumn("__zero", zero).hint("merge"),  # its files may be small enough for a broadcast
         (F.col("__far") == F.col("__key")) & (F.col("__salt") == F.col("__zero")),
         "left",
     )
-    found = (F.when(done, F.col(f"__hot_{v}")).otherwise(F.col(v)).alias(v) for v in values)
+    near = F.col("__far").isNull()  # as `done`, of a column that is shuffled anyway
+    found = (F.when(near, F.col(f"__hot_{v}")).otherwise(F.col(v)).alias(v) for v in values)
     return joined.select(*map(quoted, df.columns), *found)
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.operators.lookup import BROADCAST_BYTES, keep_table, look_up
+from tabloom.operators.lookup import BROADCAST_BYTES, keep_table, look_up, table_bytes
 from tabloom.operators.position import HASH, cuts_at_ranks
 from tabloom.operators.scan import ROWS_PER_RANGE, running_totals
 from tabloom.sources.work import WorkArea
@@ -17,6 +17,8 @@ from tabloom.sources.work import WorkArea
 # Hexadecimal digits of the hash each pass looks at: at most 256 cells per class.
 DIGITS = 2
 HASH_LENGTH = 32
+# Cells and open ranks that one task of a pass takes: more rows make more tasks, not larger ones.
+ROWS_PER_TASK = 500_000
 
 
 def class_quotas(classes: DataFrame, draws: int, rows: int) -> DataFrame:
@@ -43,25 +45,31 @@ def class_starts(classes: DataFrame, area: WorkArea, rows_per_range: int = ROWS_
     return running_totals(classes, [F.col("label")], {"start": F.col("rows")}, area, rows_per_range)
 
 
-def hash_bounds(rows: DataFrame, wanted: DataFrame, area: WorkArea) -> DataFrame:
+def hash_bounds(
+    rows: DataFrame, wanted: DataFrame, area: WorkArea, rows_per_task: int | None = None
+) -> DataFrame:
     """(key, bounds): per class, thresholds on `HASH` covering exactly the wanted numbers of rows.
 
     `rows` has label and HASH, `wanted` label, rows and ranks (an array). Each pass counts rows by
     two more digits of the hash around the places still open and keeps only the rows there, so
     what is read shrinks by two orders of magnitude a pass.
     """
+    rows_per_task = ROWS_PER_TASK if rows_per_task is None else rows_per_task
     asked = wanted.select("label", "rows", F.posexplode("ranks").alias("nth", "rank"))
     bound = F.when(F.col("rank") <= 0, "").when(F.col("rank") >= F.col("rows"), "g")
-    asked = area.table(asked.withColumn("bound", bound), "asked")
+    asked = area.table(asked.withColumns({"bound": bound, "place": F.lit("")}), "asked")
     solved = [asked.filter("bound IS NOT NULL").select("label", "nth", "bound")]
-    open_ = asked.filter("bound IS NULL").select("label", "nth", "rank", F.lit("").alias("place"))
+    open_ = asked.filter("bound IS NULL").select("label", "nth", "rank", "place")
+    held = wanted.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
     part, length = rows.select("label", HASH), 0
-    while not open_.isEmpty():
+    while ranks := open_.count():
         if length >= HASH_LENGTH:
             raise ValueError("rows share a row key; id columns must identify each row")
-        part = _at(part, open_, length)
-        part = area.table(part, "open") if length else part
-        found = area.table(_narrowed(part, open_, length), "cells")
+        if length:
+            part = area.table(_at(part, open_, length), "open")
+            held = part.count()
+        tasks = -(-(held + ranks) // rows_per_task)
+        found = area.table(_narrowed(part, open_, length, tasks), "cells")
         length += DIGITS
         exact = F.col("rank") == F.col("before") + F.col("count")
         solved.append(found.filter(exact).select("label", "nth", F.concat("cell", F.lit("g")).alias("bound")))
@@ -75,23 +83,31 @@ def hash_bounds(rows: DataFrame, wanted: DataFrame, area: WorkArea) -> DataFrame
     return every.groupBy(F.col("label").alias("key")).agg(F.transform(listed, lambda b: b["bound"]).alias("bounds"))
 
 
-def _at(part: DataFrame, open_: DataFrame, length: int) -> DataFrame:
-    """Rows at the places still open; label and digits together spread a large class."""
+def _at(part: DataFrame, open_: DataFrame, length: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Rows at the places still open; label and digits together spread a large class.
+
+    Places are broadcast by their measured size: their files are far smaller.
+    """
     places = open_.select("label", "place").distinct()
+    places = F.broadcast(places) if table_bytes(open_, "label") <= limit else places.hint("merge")
     placed = part.withColumn("place", F.substring(HASH, 1, length))
     return placed.join(places, ["label", "place"], "left_semi").select("label", HASH)
 
 
-def _narrowed(part: DataFrame, open_: DataFrame, length: int) -> DataFrame:
-    """For each open rank the cell that holds it, the rows before that cell and in it."""
+def _narrowed(part: DataFrame, open_: DataFrame, length: int, tasks: int) -> DataFrame:
+    """For each open rank the cell that holds it, the rows before that cell and in it.
+
+    Cells and ranks are dealt to so many tasks once, for the running count and the join alike.
+    """
     cells = part.groupBy("label", F.substring(HASH, 1, length + DIGITS).alias("cell")).agg(
         F.count(F.lit(1)).alias("count")
     )
-    cells = cells.withColumn("place", F.substring("cell", 1, length))
-    earlier = Window.partitionBy("label", "place").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    keys = ["label", "place"]
+    cells = cells.withColumn("place", F.substring("cell", 1, length)).repartition(tasks, *keys)
+    earlier = Window.partitionBy(*keys).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     counted = cells.withColumn("before", F.coalesce(F.sum("count").over(earlier), F.lit(0)))
     held = (F.col("rank") > F.col("before")) & (F.col("rank") <= F.col("before") + F.col("count"))
-    return open_.join(counted, ["label", "place"]).filter(held)
+    return open_.repartition(tasks, *keys).join(counted.hint("merge"), keys).filter(held)
 
 
 def pass_bounds(

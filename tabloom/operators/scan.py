@@ -1,7 +1,7 @@
 """Running totals over an ordered table of any size, and dense positions made of them.
 
-The table is range-partitioned once. Each range sums its own rows; the totals of the ranges are
-scanned by the same code, so no task ever orders more than one range.
+The table is range-partitioned once. Each range sums its own rows in a task of its own; the totals
+of the ranges are scanned by the same code, so no task ever orders more than one range.
 """
 
 from __future__ import annotations
@@ -40,7 +40,9 @@ def running_totals(
     totals = held.groupBy(part).agg(*(F.sum(value).alias(name) for name, value in sums.items()))
     earlier = {f"__{name}": F.col(name) for name in sums}
     offsets = running_totals(totals, [F.col(part)], earlier, area, rows_per_range, ranges).drop(*sums)
-    within = _before(held, Window.partitionBy(part).orderBy(*order), sums)
+    # By id, as hashes of the ids, or merged small partitions, would put several ranges in a task.
+    apart = held.repartitionById(ranges, F.col(part))
+    within = _before(apart, Window.partitionBy(part).orderBy(*order), sums)
     joined = within.join(F.broadcast(offsets) if ranges <= FEW_RANGES else offsets, part)
     added = {name: F.col(name) + F.col(f"__{name}") for name in sums}
     return joined.withColumns(added).drop(part, *earlier)

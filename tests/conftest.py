@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import contextlib
 import os
 import sys
 from pathlib import Path
@@ -7,6 +8,7 @@ from pathlib import Path
 import pandas as pd
 import pytest
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
@@ -64,3 +66,27 @@ def batch_spec(**changes) -> TableSpec:
 
 def frame(spark, columns: dict, schema: str):
     return spark.createDataFrame(list(zip(*columns.values(), strict=True)), schema)
+
+
+@contextlib.contextmanager
+def fixed_tasks(spark, tasks: int):
+    """So many tasks a shuffle, none merged or split, and no broadcast that was not asked for."""
+    wanted = {
+        "spark.sql.shuffle.partitions": str(tasks),
+        "spark.sql.adaptive.enabled": "false",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+    }
+    before = {name: spark.conf.get(name) for name in wanted}
+    try:
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def rows_by_task(df, made: str) -> list[int]:
+    """Rows in each task of the last stage; the column `made` there is read, so it is not pruned."""
+    counted = df.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("rows"), F.max(made))
+    return [row["rows"] for row in counted.collect()]
