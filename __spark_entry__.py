@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.columns import row_key
 from tabloom.operators import clean, features, group_rate, lift, metrics, quality, split
+from tabloom.operators.lookup import look_up, table_bytes
 from tabloom.operators.pipeline import FEATURES, LABEL, fit_encoder, load_pipeline
 from tabloom.plans.crossval import cross_validate, summarize
 from tabloom.plans.lift_report import lift_report
@@ -576,12 +577,15 @@ def encoded_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.sql(_TICKETS, orders=_table(spark, sf_dir, "orders"))
     train = orders.filter("o_orderdate < timestamp_ntz'1997-01-01'").withColumn(LABEL, F.lit(0.0))
     spec = TableSpec(target="o_custkey", numerical=("o_totalprice",), categorical=("ticket", "o_orderpriority"))
-    encoder, _ = fit_encoder(train, spec, WorkArea.until_exit(spark, "wide"), few_categories=100)
+    area = WorkArea.until_exit(spark, "wide")
+    encoder, _ = fit_encoder(train, spec, area, few_categories=100)
     stored = F.to_json(F.struct(F.col(FEATURES).alias("v")))
     vectors = encoder.transform(orders).select("o_orderkey", F.from_json(stored, _SPARSE)["v"].alias("v"))
     entries = vectors.select("o_orderkey", F.explode(F.arrays_zip("v.indices", "v.values")).alias("e"))
-    named = entries.select("o_orderkey", F.col("e.indices").alias("index"), F.col("e.values").alias("value"))
-    named = named.join(encoder.names_table(spark).withColumnRenamed("name", "feature"), "index")
+    entries = entries.select("o_orderkey", F.col("e.indices").alias("index"), F.col("e.values").alias("value"))
+    # Every row has an entry for the number, so a plain join would give that index to one task.
+    names = encoder.names_table(spark).withColumnsRenamed({"index": "key", "name": "feature"})
+    named = look_up(area.table(entries, "entries"), F.col("index"), names, table_bytes(names, "feature"))
     return _rounded(named.select("o_orderkey", "feature", "value"), ["value"]).filter("value <> 0")
 
 
