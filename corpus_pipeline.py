@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabloom.llm import chosen_path, content_sort, mixing, packing, quality
-from tabloom.llm.common import session_area, table, whole_text, word_count
+from tabloom.llm.common import row_count, session_area, table, whole_text, word_count
 from tabloom.llm.queries import mix_sources
-from tabloom.sources.work import WorkArea
+from tabloom.sources.work import WorkArea, gathered
 
 _left: list[WorkArea] = []
 
@@ -60,7 +60,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     leading = found.filter("leads").select("class", "group_id").distinct()
     named = docs.select(F.struct("*").alias("row"), chosen_path.same_text().alias("class"))
     kept = named.join(leading, "class").filter(F.col("row.doc_id").eqNullSafe(F.col("group_id")))
-    return kept.dropDuplicates(["class"]).select("row.*")
+    return gathered(kept.dropDuplicates(["class"]).select("row.*"), row_count(docs))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -81,7 +81,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("row")))
     own = F.expr("copies div times + IF(place <= copies % times, 1, 0)").cast("int")
     joined = joined.withColumn("place", place).withColumn("own", own).filter("own > 0")
-    return joined.select("row", F.explode(F.sequence(F.lit(1), "own"))).select("row.*")
+    joined = joined.select("row", F.explode(F.sequence(F.lit(1), "own"))).select("row.*")
+    return gathered(joined, row_count(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import SPACES, whole_text
+from tabloom.llm.common import SPACES, blocks, row_count, whole_text
 from tabloom.llm.components import components
 from tabloom.llm.word_hash import mix, shingles, word_hashes
-from tabloom.sources.work import WorkArea
+from tabloom.sources.work import NUMBERS_PER_FILE, WorkArea, gathered
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -41,6 +41,10 @@ MARGIN = 4.0
 _SEED = np.random.default_rng(20240601)
 _FACTORS = _SEED.integers(1, 2**63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BLOCK = 1 << 12
+#: Bytes of texts that become Python values at once.
+_TEXT_BYTES = 1 << 20
+#: Rows of a tile whose pairs are judged at once.
+_ROWS = 256
 
 
 def survival(similarity: float, depth: int = DEPTH, second: float = SECOND) -> float:
@@ -121,7 +125,7 @@ def _sketched(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, class, signature) of every row; no signature without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (block for whole in batches for block in blocks(whole, "raw", _TEXT_BYTES)):
             sets = (shingle_set(raw, width) for raw in batch.column("raw").to_pylist())
             found = [signature(s).tobytes() if len(s) else None for s in sets]
             columns = [batch.column(0), batch.column(1), pa.array(found, pa.binary())]
@@ -132,8 +136,8 @@ def _sketched(docs: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, class binary, signature binary")
 
 
-def _leaves(classes: DataFrame, runs: int, area: WorkArea) -> DataFrame:
-    """(bucket, size, cid): the memberships of different leaves with two members or more."""
+def _leaves(classes: DataFrame, runs: int, area: WorkArea) -> tuple[DataFrame, int]:
+    """(bucket, size, cid): the memberships of different leaves with two members or more; their number."""
     sets = classes.filter("signature IS NOT NULL").select("cid", "signature")
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,31 +153,36 @@ def _leaves(classes: DataFrame, runs: int, area: WorkArea) -> DataFrame:
     roots = F.explode(F.transform(F.sequence(F.lit(1), F.lit(runs)), lambda r: F.xxhash64(r)))
     rows = sets.select("cid", "signature", roots.alias("path"))
     levels, leaves = [], []
+    parents = runs * row_count(sets)
     for depth in range(1, DEPTH + 1):
-        rows = area.table(rows.mapInArrow(expand, "path long, cid long"), "paths")
+        paths = rows.mapInArrow(expand, "path long, cid long")
+        number = math.ceil((1 + SECOND) * parents)
+        rows = area.table(gathered(paths, number), "paths")
         sizes = rows.groupBy("path").agg(
             F.count(F.lit(1)).alias("size"),
             F.bit_xor(F.xxhash64("cid")).alias("one"),
             F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("two"),
         )
-        sizes = area.table(sizes.filter("size > 1"), "sizes")
+        sizes = area.table(gathered(sizes.filter("size > 1"), number // 2, NUMBERS_PER_FILE), "sizes")
         levels.append(rows)
         leaves.append(sizes if depth == DEPTH else sizes.filter(F.col("size") <= SMALL))
-        large = sizes.filter(F.col("size") > SMALL).select("path")
-        if depth == DEPTH or large.isEmpty():
+        large = sizes.filter(F.col("size") > SMALL)
+        parents = large.agg(F.sum("size")).first()[0]
+        if depth == DEPTH or not parents:
             break
-        rows = rows.join(large, "path").join(sets, "cid")
+        rows = rows.join(large.select("path"), "path").join(sets, "cid")
     leaf = leaves[0]
     for more in leaves[1:]:
         leaf = leaf.unionByName(more)
     # Leaves with the same members need comparing only once.
-    leaf = leaf.groupBy("size", "one", "two").agg(F.min("path").alias("path"))
-    leaf = area.table(leaf.select("path", "size"), "leaves")
+    different = leaf.groupBy("size", "one", "two").agg(F.min("path").alias("path")).select("path", "size")
+    leaf = area.table(gathered(different, row_count(leaf), NUMBERS_PER_FILE), "leaves")
     members = [rows.join(leaf, "path") for rows in levels]
     found = members[0]
     for more in members[1:]:
         found = found.unionByName(more)
-    return found.select(F.col("path").alias("bucket"), "size", "cid")
+    memberships = leaf.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    return found.select(F.col("path").alias("bucket"), "size", "cid"), memberships
 
 
 def _tiles(members: DataFrame, *columns: str) -> DataFrame:
@@ -288,7 +297,7 @@ def _verified(members: DataFrame, classes: DataFrame, docs: DataFrame, width: in
     texts = texts.alias("t").join(wanted.alias("w"), same).select("cid", "buckets", "raw")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (block for whole in batches for block in blocks(whole, "raw", _TEXT_BYTES)):
             found = [shingle_set(raw, width).tobytes() for raw in batch.column("raw").to_pylist()]
             columns = [batch.column("cid"), batch.column("buckets"), pa.array(found, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["cid", "buckets", "tokens"])
@@ -307,9 +316,13 @@ def _verified(members: DataFrame, classes: DataFrame, docs: DataFrame, width: in
         tile, cid = tile.filter(pa.array(fresh)), cid[fresh]
         tokens = [np.frombuffer(t, dtype=np.uint64) for t in tile.column("tokens").to_pylist()]
         sizes = np.array([len(t) for t in tokens], dtype=np.float64)
-        common = common_counts(tokens).astype(np.float64)
-        linked = common + 1e-9 >= threshold * (sizes[:, None] + sizes[None, :] - common)
-        linked &= _comparable(tile)
+        common = common_counts(tokens)
+        linked = _comparable(tile)
+        for start in range(0, len(cid), _ROWS):
+            own = slice(start, start + _ROWS)
+            both = common[own].astype(np.float64)
+            linked[own] &= both + 1e-9 >= threshold * (sizes[own, None] + sizes[None, :] - both)
+        del common
         bucket = tile.column("bucket")[0].as_py()
         earlier = [np.array([n for n in names if n < bucket], np.int64) for names in tile.column("names").to_pylist()]
         counted = linked & ~(common_counts(earlier) > 0)
@@ -340,12 +353,16 @@ def join_similar(
     classes = sketched.groupBy("class").agg(
         F.min("doc_id").alias("class_id"), F.max("signature").alias("signature")
     )
-    classes = area.table(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    members = _leaves(classes, shared_runs(recall, threshold), area)
-    members = area.table(_likely(members, classes, threshold), "likely")
-    found = area.table(_verified(members, classes, docs, width, threshold), "links")
-
-    groups = components(found.filter("cid <> peer").selectExpr("cid AS a", "peer AS b"), area)
+    classes = classes.withColumn("cid", F.monotonically_increasing_id())
+    classes = area.table(gathered(classes, row_count(sketched)), "classes")
+    members, number = _leaves(classes, shared_runs(recall, threshold), area)
+    likely = gathered(_likely(members, classes, threshold), number, NUMBERS_PER_FILE)
+    members = area.table(likely, "likely")
+    verified = _verified(members, classes, docs, width, threshold)
+    found = area.table(gathered(verified, row_count(members)), "links")
+
+    edges = found.filter("cid <> peer").selectExpr("cid AS a", "peer AS b")
+    groups = components(edges, area)
     ids = groups.join(classes.select(F.col("cid").alias("node"), "class_id", "class"), "node")
     order = F.struct(F.col("class_id").isNull(), "class_id", "class")
     heads = ids.groupBy("root").agg(F.min(order).alias("head"))

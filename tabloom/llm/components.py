@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.sources.work import WorkArea
+from tabloom.llm.common import row_count
+from tabloom.sources.work import NUMBERS_PER_FILE, WorkArea, gathered
 
 
 def components(edges: DataFrame, area: WorkArea) -> DataFrame:
@@ -15,7 +16,8 @@ def components(edges: DataFrame, area: WorkArea) -> DataFrame:
     node with a large share of all edges is only ever the unsplit side's single row of a join.
     """
     pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    now = area.table(pairs.filter("a <> b").distinct(), "edges")
+    once = pairs.filter("a <> b").distinct()
+    now = area.table(gathered(once, row_count(edges), NUMBERS_PER_FILE), "edges")
     before = None
     while True:
         state = now.agg(
@@ -26,7 +28,7 @@ def components(edges: DataFrame, area: WorkArea) -> DataFrame:
                 now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
             )
         before = state
-        now = area.table(_small_star(_large_star(now)), "edges")
+        now = area.table(gathered(_small_star(_large_star(now)), state[0], NUMBERS_PER_FILE), "edges")
 
 
 def _large_star(pairs: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +24,9 @@ MAX_COPIES = 2
 SEED = 17
 #: Leading hex digits of the seeded hash: running sums are taken within one prefix at a time.
 PREFIX_DIGITS = 3
+#: The plan is made as an Arrow table: rows of Python values would start Python processes in every executor.
+_SPAN = pa.struct([("source", pa.string()), ("copy", pa.int32()), ("low", pa.int64()), ("high", pa.int64())])
+_PLAN = pa.schema([("members", pa.list_(pa.string())), ("spans", pa.list_(_SPAN))])
 
 
 def water_fill(
@@ -150,11 +154,9 @@ def select_documents(
         start = filled.get((pattern, copy), 0)
         spans.setdefault(pattern, []).append((source, copy, start, start + words))
         filled[pattern, copy] = start + words
-    schema = (
-        "members array<string>, spans array<struct<source:string,copy:int,low:bigint,high:bigint>>"
-    )
-    spark = rows.sparkSession
-    plan = spark.createDataFrame([(list(p), s) for p, s in spans.items()], schema)
+    names = ("source", "copy", "low", "high")
+    found = [{"members": list(p), "spans": [dict(zip(names, s)) for s in own]} for p, own in spans.items()]
+    plan = rows.sparkSession.createDataFrame(pa.Table.from_pylist(found, _PLAN))
 
     seeded = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     keyed = rows.withColumn("order", seeded).withColumn(

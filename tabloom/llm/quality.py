@@ -9,14 +9,17 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.llm import boosting
+from tabloom.llm.common import blocks
 from tabloom.llm.labelled import SAMPLE_ROWS, features_of, scored, training_sample
 
 THRESHOLD = 0.3
+#: Bytes of texts that become Python strings at once.
+_TEXT_BYTES = 1 << 20
 _DIGITS, _UPPER, _LOWER = (slice(ord(a), ord(z) + 1) for a, z in ("09", "AZ", "az"))
 _PROSE_MARKS = [ord(c) for c in " \t\n\r.,;:?'\"()-"]
 
@@ -97,7 +100,12 @@ def score_quality(
 
 def keep_good(docs: DataFrame, model: boosting.Trees, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of `docs` that are not rejected, with all their columns."""
-    predicted = F.pandas_udf(
-        lambda text: pd.Series(model.probability(table_of(text.fillna("")))), "double"
-    )
+
+    def probability(text: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([text.fill_null("")], ["text"])
+        parts = (block.column("text").to_pylist() for block in blocks(batch, "text", _TEXT_BYTES))
+        scores = [model.probability(table_of(part)) for part in parts]
+        return pa.array(np.concatenate([np.zeros(0), *scores]))
+
+    predicted = F.arrow_udf(probability, "double")
     return docs.filter(predicted(F.col("text")) >= threshold)

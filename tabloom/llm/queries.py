@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,10 +84,10 @@ def mix_sources(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     weights = {s: mixing.WEIGHTS[i % len(mixing.WEIGHTS)] for i, s in enumerate(order)}
     targets = mixing.water_fill(totals, weights, mixing.SHARE * sum(totals.values()))
     quotas = {s: round(target) for s, target in targets.items()}
-    facts = [(s, totals[s], float(targets[s])) for s in order]
-    sources = rows.sparkSession.createDataFrame(
-        facts, "source string, source_size long, target double"
-    )
+    kinds = {"source": pa.string(), "source_size": pa.int64(), "target": pa.float64()}
+    facts = [order, [totals[s] for s in order], [float(targets[s]) for s in order]]
+    columns = [pa.array(values, kind) for values, kind in zip(facts, kinds.values(), strict=True)]
+    sources = rows.sparkSession.createDataFrame(pa.table(columns, list(kinds)))
     return mixing.select_documents(rows, mixing.cheapest_flow(sizes, quotas)), sources
 
 

@@ -14,6 +14,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows a file of a work table is worth, and those of a table of a few numbers.
+ROWS_PER_FILE = 2_000
+NUMBERS_PER_FILE = 20_000
+
 
 def work_root(spark: SparkSession) -> str:
     """Folder for intermediate tables: the cluster's `spark.checkpoint.dir`.
@@ -40,6 +44,16 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{work_root(spark)}/tabloom-{label}-{uuid.uuid4().hex}"
 
 
+def gathered(df: DataFrame, rows: int, each: int = ROWS_PER_FILE) -> DataFrame:
+    """`df`, of about `rows` rows, in no more partitions than files of `each` rows, two a core at least.
+
+    A shuffle deals few rows to as many partitions as many rows. Every file costs its writer buffers,
+    and on a local disk, without Hadoop's native library, two child processes that set its mode.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(max(2 * cores, -(-rows // each)))
+
+
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write `df` once as Parquet and return a scan of it."""
     df.write.partitionBy(*partition_by).parquet(path)
