@@ -16,13 +16,21 @@ from pyspark.sql import functions as F
 from tabloom.llm import chosen_path, content_sort, mixing, packing, quality
 from tabloom.llm.common import row_count, session_area, table, whole_text, word_count
 from tabloom.llm.queries import mix_sources
-from tabloom.sources.work import WorkArea, gathered
+from tabloom.sources.work import WorkArea, for_files
+
+#: A task that writes or reads a file of texts holds one row group of it.
+ROW_GROUP_BYTES = 16 << 20
 
 _left: list[WorkArea] = []
 
 
 def _area(spark: SparkSession, docs: DataFrame, label: str) -> WorkArea:
-    """Work tables of a stage; those that earlier stages left are deleted."""
+    """Work tables of a stage; those that earlier stages left are deleted.
+
+    The session's row groups become small, unless it sets their size: whoever writes a stage's result uses it.
+    """
+    if spark.conf.get("parquet.block.size", None) is None:
+        spark.conf.set("parquet.block.size", str(ROW_GROUP_BYTES))
     read = _folders(docs)
     for area in [area for area in _left if not any(area.path in folder for folder in read)]:
         area.close()
@@ -45,13 +53,15 @@ def _folders(docs: DataFrame) -> list[str]:
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the quality classifier doesn't reject; it learns from `labels`."""
-    return quality.keep_good(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
+    _area(spark, docs, "quality")
+    good = quality.keep_good(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
+    return for_files(good, row_count(docs))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the smallest id, once."""
     found = content_sort.content_sort(docs, _area(spark, docs, "exact"))
-    return found.filter("kept").select("row.*")
+    return for_files(found.filter("kept").select("row.*"), row_count(docs))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +70,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     leading = found.filter("leads").select("class", "group_id").distinct()
     named = docs.select(F.struct("*").alias("row"), chosen_path.same_text().alias("class"))
     kept = named.join(leading, "class").filter(F.col("row.doc_id").eqNullSafe(F.col("group_id")))
-    return gathered(kept.dropDuplicates(["class"]).select("row.*"), row_count(docs))
+    return for_files(kept.dropDuplicates(["class"]).select("row.*"), row_count(docs))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -82,13 +92,13 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     own = F.expr("copies div times + IF(place <= copies % times, 1, 0)").cast("int")
     joined = joined.withColumn("place", place).withColumn("own", own).filter("own > 0")
     joined = joined.select("row", F.explode(F.sequence(F.lit(1), "own"))).select("row.*")
-    return gathered(joined, row_count(docs))
+    return for_files(joined, row_count(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of training sequences, with their token ids."""
     _area(spark, docs, "packing")
-    return packing.pack_documents(docs, packing.byte_bpe_50k())
+    return packing.pack_documents(for_files(docs, row_count(docs)), packing.byte_bpe_50k())
 
 
 STAGES = [

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tabloom.llm.common import SPACES, blocks, row_count, whole_text
 from tabloom.llm.components import components
 from tabloom.llm.word_hash import mix, shingles, word_hashes
-from tabloom.sources.work import NUMBERS_PER_FILE, WorkArea, gathered
+from tabloom.sources.work import NUMBERS_PER_TASK, WorkArea, for_files, gathered, numbers_for_files
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -136,8 +136,8 @@ def _sketched(docs: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, class binary, signature binary")
 
 
-def _leaves(classes: DataFrame, runs: int, area: WorkArea) -> tuple[DataFrame, int]:
-    """(bucket, size, cid): the memberships of different leaves with two members or more; their number."""
+def _leaves(classes: DataFrame, runs: int, area: WorkArea) -> tuple[DataFrame, int, list[DataFrame]]:
+    """(bucket, size, cid): the memberships of different leaves with two members or more; their number; held tables."""
     sets = classes.filter("signature IS NOT NULL").select("cid", "signature")
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,13 +157,13 @@ def _leaves(classes: DataFrame, runs: int, area: WorkArea) -> tuple[DataFrame, i
     for depth in range(1, DEPTH + 1):
         paths = rows.mapInArrow(expand, "path long, cid long")
         number = math.ceil((1 + SECOND) * parents)
-        rows = area.table(gathered(paths, number), "paths")
+        rows = area.held(gathered(paths, number))
         sizes = rows.groupBy("path").agg(
             F.count(F.lit(1)).alias("size"),
             F.bit_xor(F.xxhash64("cid")).alias("one"),
             F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("two"),
         )
-        sizes = area.table(gathered(sizes.filter("size > 1"), number // 2, NUMBERS_PER_FILE), "sizes")
+        sizes = area.table(numbers_for_files(sizes.filter("size > 1"), number // 2), "sizes")
         levels.append(rows)
         leaves.append(sizes if depth == DEPTH else sizes.filter(F.col("size") <= SMALL))
         large = sizes.filter(F.col("size") > SMALL)
@@ -176,13 +176,13 @@ def _leaves(classes: DataFrame, runs: int, area: WorkArea) -> tuple[DataFrame, i
         leaf = leaf.unionByName(more)
     # Leaves with the same members need comparing only once.
     different = leaf.groupBy("size", "one", "two").agg(F.min("path").alias("path")).select("path", "size")
-    leaf = area.table(gathered(different, row_count(leaf), NUMBERS_PER_FILE), "leaves")
+    leaf = area.table(numbers_for_files(different, row_count(leaf)), "leaves")
     members = [rows.join(leaf, "path") for rows in levels]
     found = members[0]
     for more in members[1:]:
         found = found.unionByName(more)
     memberships = leaf.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    return found.select(F.col("path").alias("bucket"), "size", "cid"), memberships
+    return found.select(F.col("path").alias("bucket"), "size", "cid"), memberships, levels
 
 
 def _tiles(members: DataFrame, *columns: str) -> DataFrame:
@@ -349,17 +349,18 @@ def join_similar(
     digest (see `same_text`). Texts without words form one class without links. Repeated rows and
     null ids stay; an empty table gives an empty result; other columns are not read.
     """
-    sketched = area.table(_sketched(docs, width), "sketched")
+    sketched = area.held(_sketched(docs, width))
     classes = sketched.groupBy("class").agg(
         F.min("doc_id").alias("class_id"), F.max("signature").alias("signature")
     )
     classes = classes.withColumn("cid", F.monotonically_increasing_id())
-    classes = area.table(gathered(classes, row_count(sketched)), "classes")
-    members, number = _leaves(classes, shared_runs(recall, threshold), area)
-    likely = gathered(_likely(members, classes, threshold), number, NUMBERS_PER_FILE)
-    members = area.table(likely, "likely")
+    classes = area.table(for_files(classes, row_count(sketched)), "classes")
+    members, number, levels = _leaves(classes, shared_runs(recall, threshold), area)
+    members = area.numbers(gathered(_likely(members, classes, threshold), number, NUMBERS_PER_TASK), "likely")
+    area.release(*levels)
+    del levels
     verified = _verified(members, classes, docs, width, threshold)
-    found = area.table(gathered(verified, row_count(members)), "links")
+    found = area.numbers(gathered(verified, row_count(members)), "links")
 
     edges = found.filter("cid <> peer").selectExpr("cid AS a", "peer AS b")
     groups = components(edges, area)

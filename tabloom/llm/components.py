@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.llm.common import row_count
-from tabloom.sources.work import NUMBERS_PER_FILE, WorkArea, gathered
+from tabloom.sources.work import WorkArea, numbers_for_files
 
 
 def components(edges: DataFrame, area: WorkArea) -> DataFrame:
@@ -17,7 +17,7 @@ def components(edges: DataFrame, area: WorkArea) -> DataFrame:
     """
     pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     once = pairs.filter("a <> b").distinct()
-    now = area.table(gathered(once, row_count(edges), NUMBERS_PER_FILE), "edges")
+    now = area.table(numbers_for_files(once, row_count(edges)), "edges")
     before = None
     while True:
         state = now.agg(
@@ -28,7 +28,7 @@ def components(edges: DataFrame, area: WorkArea) -> DataFrame:
                 now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
             )
         before = state
-        now = area.table(gathered(_small_star(_large_star(now)), state[0], NUMBERS_PER_FILE), "edges")
+        now = area.table(numbers_for_files(_small_star(_large_star(now)), state[0]), "edges")
 
 
 def _large_star(pairs: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.columns import quoted
 from tabloom.llm.common import SPACES, row_count, whole_text
-from tabloom.sources.work import WorkArea, gathered
+from tabloom.sources.work import WorkArea, for_files
 
 ROWS_AT_ONCE = 512
 FREQUENT = 100_000
@@ -59,7 +59,7 @@ def content_sort(
     rows = row_count(docs)
     limit = max(rows_at_once, -(-rows // FREQUENT))
     frequent = base.groupBy("hash").agg(F.count(F.lit(1)).alias("copies"))
-    frequent = area.table(frequent.filter(F.col("copies") > limit), "frequent")
+    frequent = area.held(frequent.filter(F.col("copies") > limit))
 
     ranges = F.ceil(F.col("copies") / limit)
     salt = F.when(F.col("copies").isNotNull(), F.pmod(F.xxhash64("id", "place"), ranges)).otherwise(-1)
@@ -81,7 +81,7 @@ def content_sort(
         first.alias("body"),
         F.sha2("body", 256).alias("text_sha256"),
     ).withColumns({"least": F.min("id").over(group), "rows": F.count(F.lit(1)).over(group)})
-    found = area.table(gathered(found.drop("id"), rows), "runs")
+    found = area.table(for_files(found.drop("id"), rows), "runs")
 
     # The first rows of the dealt-out texts: at most one for each range and text.
     heads = found.filter("body IS NOT NULL").select(*key, "run", "body", "least", "rows")

@@ -128,7 +128,7 @@ def _by_copy(capacities, flow):
 def sized(docs: DataFrame, size: Column, members: Column, area: WorkArea, *carry: Column) -> DataFrame:
     """(doc_id, words, members) and `carry`: the table the mix works on; the texts are read once."""
     narrow = docs.select("doc_id", size.alias("words"), F.array_sort(members).alias("members"), *carry)
-    return area.table(narrow, "sized")
+    return area.held(narrow)
 
 
 def pattern_sizes(rows: DataFrame) -> dict[tuple, int]:
